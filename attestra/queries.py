@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from attestra.functions import address, numbers
 from attestra.functions import text as tx
-from attestra.operators import evaluate, figures, lexicon, passages, records, retrieval, temporal, units
+from attestra.operators import edits, evaluate, figures, lexicon, passages, quantities, records, retrieval, temporal, units
+from attestra.plans import evidence
 from attestra.runtime import table
+from attestra.sources import readers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -854,3 +856,56 @@ def event_windows(spark: SparkSession, d: str) -> DataFrame:
     w = F.window("ts", "6 hours")
     g = table(spark, d, "events").groupBy("event_type", w.alias("w")).agg(F.count("*").alias("n_events"), F.count_distinct("user_id").alias("n_users"), F.round(F.sum("value"), 4).alias("total"))
     return g.select("event_type", "n_events", "n_users", "total", F.col("w.start").alias("window_start"))
+
+
+# --- scans with state, files, plans ---------------------------------------------------------------
+
+
+@query()
+def quantities_parse(spark: SparkSession, d: str) -> DataFrame:
+    own = table(spark, d, "candidates").where("text is not null").select("candidate_id", "text").distinct()
+    q = own.select("candidate_id", F.posexplode(quantities.quantities(F.col("text"))).alias("pos", "q"))
+    return q.select("candidate_id", "pos", "q.*")
+
+
+@query()
+def mask_numbers(spark: SparkSession, d: str) -> DataFrame:
+    own = table(spark, d, "text_cache").where("text is not null").select("cache_id", "text")
+    return quantities.masked(own, "text").select("cache_id", F.col("masked.text").alias("masked"), F.size("masked.slots").alias("n_slots"))
+
+
+@query()
+def word_diff(spark: SparkSession, d: str) -> DataFrame:
+    own = table(spark, d, "candidates").where("text is not null").select("candidate_id", "chunk_id", "sentence_index", "text").distinct()
+    pairs = passages.neighbours(own, ["chunk_id"], ["sentence_index", "candidate_id", "text"]).where("before is not null")
+    return pairs.select("candidate_id", F.posexplode(edits.word_diff(F.col("before"), F.col("text"))).alias("pos", "x")).select("candidate_id", "pos", "x.*")
+
+
+@query()
+def statute_clauses(spark: SparkSession, d: str) -> DataFrame:
+    return edits.clause_rows(table(spark, d, "documents"))
+
+
+@query()
+def html_text(spark: SparkSession, d: str) -> DataFrame:
+    own = table(spark, d, "units").where("text is not null and unit_type = 'html'")
+    return own.select("unit_id", readers.html_to_text(F.col("text")).alias("text"))
+
+
+@query()
+def claim_extraction(spark: SparkSession, d: str) -> DataFrame:
+    return evidence.claims(table(spark, d, "documents"), TYPES)
+
+
+@query()
+def claim_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """Fused evidence for each held-out claim, with the comparison of their figures."""
+    q = _claims(spark, d)
+    return evidence.compared(q, evidence.evidence(table(spark, d, "documents"), q))
+
+
+@query()
+def inferred_units(spark: SparkSession, d: str) -> DataFrame:
+    """The unit each unit spelling stands for, from recorded values against the numbers printed for the same quantity."""
+    facts = table(spark, d, "lineitem").select("l_suppkey", F.col("l_extendedprice").alias("price"), "l_quantity", (F.col("l_extendedprice") / F.col("l_quantity") * 1000).alias("unit_price"))
+    return units.infer_units(facts, "l_suppkey", {"price": {"full": 1.0}, "l_quantity": {"one": 1.0, "dozen": 12.0}, "unit_price": {"full": 1.0, "thousandth": 0.001}}, {"price": 1.0, "l_quantity": -1.0, "unit_price": -1.0})
