@@ -185,6 +185,7 @@ def chunk_pairs(left: DataFrame, right: DataFrame | None = None, similar: float
         .where(F.col("before") <= F.when(F.col("runs") < 2 * AIM, (1 - similar) * F.col("runs") + 1).otherwise(PREFIX * F.col("total")))
         .select("class", "side", "runs", "h", "n", "df")
     )
+    kept = cut(kept)
     cold = kept.where(F.col("df") <= HOT).select("class", "side", "runs", "n", F.col("h").alias("key"))
     hot = kept.where(F.col("df") > HOT)
     mate = kept.select("class", "side", F.col("h").alias("h2"), F.count("*").over(Window.partitionBy("class", "side")).alias("of"))
