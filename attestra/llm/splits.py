@@ -41,11 +41,9 @@ def _key(kind: str, value: Column) -> Column:
 
 def edges(*tables: DataFrame) -> DataFrame:
     """(company_id, ticker) to distinct (a, b) node names; a row without a ticker ties its company to itself."""
-    one = [
-        t.select(F.when(F.trim("company_id") != "", F.trim("company_id")).alias("c"), ticker_key(F.col("ticker")).alias("t")).distinct()
-        for t in tables
-    ]
-    both = reduce(DataFrame.unionByName, one).distinct()
+    # the spellings in use are few: they are made distinct before they are read
+    spelt = reduce(DataFrame.unionByName, [t.select("company_id", "ticker").distinct() for t in tables]).distinct()
+    both = spelt.select(F.when(F.trim("company_id") != "", F.trim("company_id")).alias("c"), ticker_key(F.col("ticker")).alias("t"))
     a, b = _key("c", F.col("c")), _key("t", F.col("t"))
     return both.where("c is not null or t is not null").select(F.coalesce(a, b).alias("a"), F.coalesce(b, a).alias("b")).distinct()
 
@@ -94,7 +92,7 @@ def _search(graph: DataFrame) -> DataFrame:
 
 def tied_companies(*tables: DataFrame) -> DataFrame:
     """Pairs (company_id_a, company_id_b), a < b, of companies in one component of company and ticker."""
-    parts = components(edges(*tables)).where(F.col("node").startswith("c")).select(F.substring("node", 2, 1 << 30).alias("c"), "component")
+    parts = components(cut(edges(*tables))).where(F.col("node").startswith("c")).select(F.substring("node", 2, 1 << 30).alias("c"), "component")
     many = parts.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
     parts = cut(parts.join(many, "component"))
     a, b = parts.select(F.col("c").alias("company_id_a"), "component"), parts.select(F.col("c").alias("company_id_b"), "component")
