@@ -12,6 +12,7 @@ Fixed by the statement of the problem: runs of three words, similarity 0.8, at l
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -19,22 +20,24 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from attestra.llm.words import U, _powers, mix, runs_of, word_hashes
 from attestra.runtime import cut
 
 RUN, SIMILAR, LEAST_WORDS = 3, 0.8, 20
-#: Chunks per text that levels aim at, coarsest level (a boundary every 2**5 words).
-AIM, TOP_LEVEL = 16, 5
-#: Share of a text's repeated chunks, rarest first, that is looked up; at level 0 the exact prefix.
-PREFIX = 0.5
+#: Chunks per text that levels aim at, coarsest level (a boundary every 2**4 words).
+AIM, TOP_LEVEL = 16, 4
+#: Share of a text's repeated chunks of a level, rarest first, that is looked up; at level 0 the exact prefix.
+PREFIX = 0.8
 #: A chunk in more classes than this is looked up together with a second chunk of the text.
 HOT = 16
-#: Candidates share chunks of at least this share of the smaller text's runs (level 0: any).
-COVER = 0.08
+#: Candidates of up to so many runs share chunks with at least this share of the smaller text's runs, and so many of
+#: them. Similar texts share more: random edits down to 0.8 leave over 0.6, 0.4, 0.18 and 0.1, in 17, 8, 4 and 6 chunks.
+COVER = ((2 * AIM, 0.0, 1), (4 * AIM, 0.35, 4), (8 * AIM, 0.2, 3), (16 * AIM, 0.12, 3), (math.inf, 0.07, 3))
 #: Ids of candidate texts up to this number are broadcast, more are joined.
 BROADCAST_IDS = 2_000_000
-TEXT_SCHEMA = "id {id}, class binary, runs int, chunks array<struct<h:bigint,n:int>>"
+TEXT_SCHEMA = "id {id}, class binary, runs int, chunks array<struct<h:bigint,n:int,level:int>>"
 
 # Query parameters that only track visits.
 TRACKING = r"^(utm_[a-z_]*|gclid|fbclid|dclid|gbraid|wbraid|msclkid|yclid|twclid|igshid|mc_cid|mc_eid|_ga|_gl|ref_src)$"
@@ -107,7 +110,7 @@ def text_class(h: np.ndarray) -> bytes:
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        row, cls, count, sizes, keys, ns = [], [], [], [0], [], []
+        row, cls, count, sizes, keys, ns, at_level = [], [], [], [0], [], [], []
         for first, h, at in word_hashes(batch.column(1).to_pylist()):
             for d in range(len(at) - 1):
                 w = h[at[d] : at[d + 1]]
@@ -123,11 +126,13 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     k, m = chunks(w, r, level)
                     keys.append(k)
                     ns.append(m)
+                    at_level.append(np.full(len(k), level, dtype=np.int32))
                     n += len(k)
                 sizes.append(sizes[-1] + n)
         flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, dtype=np.int64)
         m = np.concatenate(ns).astype(np.int32) if ns else np.zeros(0, dtype=np.int32)
-        items = pa.StructArray.from_arrays([pa.array(flat), pa.array(m)], names=["h", "n"])
+        lv = np.concatenate(at_level) if at_level else np.zeros(0, dtype=np.int32)
+        items = pa.StructArray.from_arrays([pa.array(flat), pa.array(m), pa.array(lv)], names=["h", "n", "level"])
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column(0).take(pa.array(row, pa.int64())),
@@ -165,39 +170,44 @@ def features(texts: DataFrame) -> DataFrame:
 def chunk_pairs(left: DataFrame, right: DataFrame | None = None, similar: float = SIMILAR) -> DataFrame:
     """Candidate pairs of classes (a, b) with the words of the rare chunks they share.
 
-    ``left`` has (class, runs, chunks), one row each. With ``right`` (the same columns: the history)
-    a is of ``right`` and b of ``left``, else both are of ``left`` and a < b. A text is looked up by
-    its rarest repeated chunks. A chunk held by more than ``HOT`` classes is looked up together with
+    ``left`` has (class, runs, chunks), one row each. With ``right`` (class, runs, h, n, level: the chunk table
+    of a history) a is of ``right`` and b of ``left``, else both are of ``left`` and a < b. A text is
+    looked up by its rarest repeated chunks; of the history only rows of those chunks are read on. A chunk held by more than ``HOT`` classes is looked up together with
     each other chunk of the text: similar texts share several, and the pairs stay in proportion to
     the texts. At level 0 a prefix one longer than exact makes that lossless.
     """
     sides = [left.select("class", "runs", F.explode("chunks").alias("c"), F.lit(0).alias("side"))]
+    sides = [sides[0].select("class", "runs", "side", "c.h", "c.n", "c.level")]
     if right is not None:
-        sides.append(right.select("class", "runs", F.explode("chunks").alias("c"), F.lit(1).alias("side")))
-    rows = reduce(DataFrame.unionByName, sides).select("class", "runs", "side", "c.h", "c.n")
+        asked = sides[0].select("h").distinct()
+        sides.append(right.select("class", "runs", F.lit(1).alias("side"), "h", "n", "level").join(asked, "h", "left_semi"))
+    rows = reduce(DataFrame.unionByName, sides)
     often = rows.groupBy("h").agg(F.count("*").cast("int").alias("df")).where("df > 1")
-    by_class = Window.partitionBy("class", "side").orderBy("df", "h")
-    total = F.sum("n").over(Window.partitionBy("class", "side"))
+    by_class = Window.partitionBy("class", "side", "level").orderBy("df", "h")
+    total = F.sum("n").over(Window.partitionBy("class", "side", "level"))
     # a chunk of one class only pairs nothing and isn't counted: edits make such chunks
     kept = (
         rows.join(often, "h").withColumn("before", F.sum("n").over(by_class.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
         .withColumn("total", total)
-        .where(F.col("before") <= F.when(F.col("runs") < 2 * AIM, (1 - similar) * F.col("runs") + 1).otherwise(PREFIX * F.col("total")))
+        .where((F.col("side") == 1) | (F.col("before") <= F.when(F.col("level") == 0, (1 - similar) * F.col("runs") + 1).otherwise(PREFIX * F.col("total"))))
         .select("class", "side", "runs", "h", "n", "df")
     )
     kept = cut(kept)
-    cold = kept.where(F.col("df") <= HOT).select("class", "side", "runs", "n", F.col("h").alias("key"))
+    cold = kept.where(F.col("df") <= HOT).select("class", "side", "runs", F.array(F.struct("h", "n")).alias("c"), F.col("h").alias("key"))
     hot = kept.where(F.col("df") > HOT)
-    mate = kept.select("class", "side", F.col("h").alias("h2"), F.count("*").over(Window.partitionBy("class", "side")).alias("of"))
+    mate = kept.select("class", "side", F.col("h").alias("h2"), F.col("n").alias("n2"), F.count("*").over(Window.partitionBy("class", "side")).alias("of"))
     two = hot.join(mate, ["class", "side"]).where("h <> h2 or of = 1")
-    two = two.select("class", "side", "runs", "n", F.xxhash64(F.least("h", "h2"), F.greatest("h", "h2")).alias("key")).distinct()
+    both = F.array_sort(F.array_distinct(F.array(F.struct("h", "n"), F.struct(F.col("h2").alias("h"), F.col("n2").alias("n")))))
+    two = two.select("class", "side", "runs", both.alias("c")).distinct().withColumn("key", F.xxhash64("c"))
     keys = cold.unionByName(two)
     a = keys.where("side = 1" if right is not None else "true").select("key", F.col("class").alias("a"), F.col("runs").alias("runs_a"))
-    b = keys.where("side = 0").select("key", F.col("class").alias("b"), F.col("runs").alias("runs_b"), "n")
+    b = keys.where("side = 0").select("key", F.col("class").alias("b"), F.col("runs").alias("runs_b"), "c")
     pairs = a.join(b, "key").where("a <> b" if right is not None else "a < b")
     pairs = pairs.where(F.least("runs_a", "runs_b") >= similar * F.greatest("runs_a", "runs_b"))
-    pairs = pairs.groupBy("a", "b").agg(F.sum("n").alias("shared_runs"), F.min(F.least("runs_a", "runs_b")).alias("runs"))
-    return pairs.where((F.col("runs") < 2 * AIM) | (F.col("shared_runs") >= COVER * F.col("runs")))
+    pairs = pairs.groupBy("a", "b").agg(F.array_distinct(F.flatten(F.collect_set("c"))).alias("c"), F.min(F.least("runs_a", "runs_b")).alias("runs"))
+    pairs = pairs.select("a", "b", "runs", F.aggregate("c", F.lit(0), lambda t, x: t + x["n"]).alias("shared_runs"), F.size("c").alias("shared_chunks"))
+    enough = reduce(lambda rest, c: F.when(F.col("runs") < c[0], (F.col("shared_runs") >= c[1] * F.col("runs")) & (F.col("shared_chunks") >= c[2])).otherwise(rest), reversed(COVER), F.lit(True))
+    return pairs.where(enough)
 
 
 def near_identical(texts: DataFrame, similar: float = SIMILAR) -> tuple[DataFrame, DataFrame]:
@@ -262,3 +272,89 @@ def batch_repeats(
         F.col("id").alias("record"), F.col("first.id").alias("earliest"),
         F.array_sort(F.transform(F.filter("all", lambda x: x["first"] == F.col("first")), lambda x: label[x["by"]])).alias("by"),
     )
+
+
+class History:
+    """Everything accepted so far, on storage: keys, the chunk-to-text table, sets of runs, accepted records.
+
+    Rows of a batch become visible only when its name is written to the list of commits, after all its
+    tables, so that a batch that failed half-way leaves nothing behind and can be added again.
+    """
+
+    TABLES = {
+        "keys": "by int, key binary, record {id}", "chunks": "class binary, runs int, h bigint, n int, level int", "texts": "class binary, record {id}, set binary", "accepted": "record {id}",
+    }
+
+    def __init__(self, spark: SparkSession, path: str, record_id: str = "crawl_id", id_type: str = "bigint"):
+        self.spark, self.path, self.record_id, self.id_type = spark, path.rstrip("/"), record_id, id_type
+
+    def _commits(self) -> list[str]:
+        try:
+            return [r["batch"] for r in self.spark.read.schema("batch string").parquet(f"{self.path}/commits").distinct().collect()]  # one row a batch
+        except AnalysisException:
+            return []
+
+    def table(self, name: str) -> DataFrame:
+        schema = self.TABLES[name].format(id=self.id_type)
+        done = self._commits()
+        if not done:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(f"{schema}, batch string").parquet(f"{self.path}/{name}").where(F.col("batch").isin(done)).drop("batch")
+
+    def accepted(self) -> DataFrame:
+        return self.table("accepted")
+
+    def add(self, batch: DataFrame, similar: float = SIMILAR) -> DataFrame:
+        """(record, repeats): what each record of a batch repeats, null for what is accepted and appended.
+
+        A record repeats an accepted record, or an earlier one (by id) of its own batch, with the same
+        document_id, file hash or address or a near-identical text; the smallest such id of the history
+        is given, else of the batch. Null keys and texts under 20 words match nothing, rows without id
+        are left out. Of the history the key, chunk and set tables are read, no text.
+        """
+        spark = self.spark
+        own = cut(batch.select(F.col(self.record_id).cast(self.id_type).alias("id"), F.trim("document_id").alias("document_id"), file_key(F.col("sha256")).alias("sha256"), address_key(F.col("final_url")).alias("final_url"), "text").where("id is not null"))
+        cols = ("document_id", "sha256", "final_url")
+        x = F.explode(F.array(*(F.struct(F.lit(i).alias("by"), F.when(F.col(c) != "", F.col(c)).alias("k")) for i, c in enumerate(cols))))
+        keys = cut(own.select("id", x.alias("x")).where("x.k is not null").select("id", F.col("x.by").alias("by"), F.unhex(F.md5("x.k")).alias("key")).distinct())
+        old_first = self.table("keys").groupBy("by", "key").agg(F.min("record").alias("old"))
+        new_first = keys.groupBy("by", "key").agg(F.min("id").alias("new"))
+        hits = [keys.join(old_first, ["by", "key"]).select("id", "old", F.lit(None).cast(self.id_type).alias("new"))]
+        hits.append(keys.join(new_first, ["by", "key"]).where("new < id").select("id", F.lit(None).cast(self.id_type).alias("old"), "new"))
+
+        texts = own.select("id", "text").where("text is not null")
+        f = cut(features(texts))
+        whole = cut(f.groupBy("class").agg(F.min("id").alias("id"), F.first("runs").alias("runs"), F.first("chunks").alias("chunks")))
+        sets = _sets(spark, texts, whole.select("class", "id"))
+        old_sets = self.table("texts").select("class", "set").dropDuplicates(["class"])
+        inside, across = chunk_pairs(whole, similar=similar).select("a", "b"), chunk_pairs(whole, self.table("chunks"), similar).select("a", "b")
+        asked = cut(across)
+        new_set = lambda n: sets.select(F.col("class").alias(n), F.col("set").alias({"a": "x", "b": "y"}[n]))
+        schema = "a binary, b binary, similar double"
+        old_links = asked.join(old_sets.select(F.col("class").alias("a"), F.col("set").alias("x")), "a").join(new_set("b"), "b").select("a", "b", "x", "y").mapInArrow(_similarity, schema)
+        new_links = inside.join(new_set("a"), "a").join(new_set("b"), "b").select("a", "b", "x", "y").mapInArrow(_similarity, schema).where(F.col("similar") >= similar)
+        same = whole.select(F.col("class").alias("a"), F.col("class").alias("b"))
+        held = self.table("texts").groupBy(F.col("class").alias("a")).agg(F.min("record").alias("old"))
+        old_near = old_links.where(F.col("similar") >= similar).select("a", "b").unionByName(same).join(held, "a").groupBy(F.col("b").alias("class")).agg(F.min("old").alias("old"))
+        first = whole.select(F.col("class").alias("a"), F.col("id").alias("new"))
+        both = new_links.select("a", "b").unionByName(new_links.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(same)
+        new_near = both.join(first, "a").groupBy(F.col("b").alias("class")).agg(F.min("new").alias("new"))
+        near = f.select("id", "class").join(old_near, "class", "left").join(new_near, "class", "left").select("id", "old", F.when(F.col("new") < F.col("id"), F.col("new")).alias("new"))
+        best = reduce(DataFrame.unionByName, [*hits, near]).groupBy("id").agg(F.coalesce(F.min("old"), F.min("new")).alias("repeats"))
+        out = cut(own.select("id").distinct().join(best, "id", "left").select(F.col("id").alias("record"), "repeats"))
+        self._append(out, keys, f, sets)
+        return out
+
+    def _append(self, out: DataFrame, keys: DataFrame, f: DataFrame, sets: DataFrame) -> None:
+        name = uuid.uuid4().hex
+        new = out.where("repeats is null").select("record")
+        kept = f.join(new, F.col("id") == F.col("record")).groupBy("class").agg(F.min("record").alias("record"), F.first("runs").alias("runs"), F.first("chunks").alias("chunks"))
+        tables = {
+            "keys": keys.join(new, F.col("id") == F.col("record")).select("by", "key", "record"),
+            "chunks": kept.select("class", "runs", F.explode("chunks").alias("c")).select("class", "runs", "c.h", "c.n", "c.level"),
+            "texts": kept.select("class", "record").join(sets, "class"),
+            "accepted": new,
+        }
+        for table, rows in tables.items():
+            rows.withColumn("batch", F.lit(name)).write.mode("append").parquet(f"{self.path}/{table}")
+        self.spark.createDataFrame([(name,)], "batch string").write.mode("append").parquet(f"{self.path}/commits")

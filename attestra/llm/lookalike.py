@@ -119,6 +119,7 @@ class Rewriter:
 
     def __init__(self, table: dict[str, str]):
         self.table = table
+        self.ascii = any(unit.isascii() and unit.isprintable() for unit in table)
         self.auto = ahocorasick.Automaton()
         for unit, form in table.items():
             self.auto.add_word(unit, (len(unit), form))
@@ -130,7 +131,7 @@ class Rewriter:
         self.inverse = inverse
 
     def __call__(self, text: str) -> str:
-        if self.table and (not text.isascii() or not text.isprintable()):
+        if self.table and (self.ascii or not text.isascii() or not text.isprintable()):
             out, at = [], 0
             for end, (n, form) in self.auto.iter_long(text):
                 out += (text[at : end + 1 - n], form)
