@@ -38,7 +38,7 @@ def ends(part: str) -> list[int]:
                 continue
             # a number or letter that only counts an item: nothing of a sentence stands before it
             begin = out[-1] if out else 0
-            if not part[begin : m.start()].strip() and _ENUM.match(word):
+            if not part[begin : m.start() - len(word)].strip() and _ENUM.match(word):
                 continue
         out.append(m.end())
     if not out or part[out[-1] :].strip():
