@@ -48,7 +48,7 @@ def half_unit(raw: Column) -> Column:
 
 def figure_number(raw: Column) -> Column:
     """The rule for figures: any single separator with three digits after it groups; struct of value and half."""
-    t = F.regexp_replace(raw, r"[\s ]", "")
+    t = F.regexp_replace(raw, r"[\s\u00a0]", "")
     dots, commas = _count(t, "."), _count(t, ",")
     both = (dots > 0) & (commas > 0)
     comma_last = F.instr(F.reverse(t), ",") < F.instr(F.reverse(t), ".")

@@ -72,7 +72,7 @@ NOT_TIMES = "lệ|số|trọng|suất"
 TOLERANCE = 0.005
 #: Largest log residual at which a printed number is the recorded value.
 MATCH = 0.002
-_BLANK = r"[   -   　]"
+_BLANK = r"[ \u00a0\u2000-\u200a\u202f\u205f\u3000]"
 NUMBER = rf"\d{{1,3}}(?:{_BLANK}\d{{3}})+(?!\d)(?:[.,]\d+)?|\d+(?:[.,]\d+)*"
 
 

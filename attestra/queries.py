@@ -5,12 +5,12 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from attestra.functions import address, numbers
 from attestra.functions import text as tx
-from attestra.operators import edits, evaluate, figures, lexicon, passages, quantities, records, retrieval, temporal, units
+from attestra.operators import corpus, edits, evaluate, figures, lexicon, passages, quantities, records, retrieval, temporal, units
 from attestra.plans import evidence
 from attestra.runtime import table
 from attestra.sources import readers
@@ -909,3 +909,112 @@ def inferred_units(spark: SparkSession, d: str) -> DataFrame:
     """The unit each unit spelling stands for, from recorded values against the numbers printed for the same quantity."""
     facts = table(spark, d, "lineitem").select("l_suppkey", F.col("l_extendedprice").alias("price"), "l_quantity", (F.col("l_extendedprice") / F.col("l_quantity") * 1000).alias("unit_price"))
     return units.infer_units(facts, "l_suppkey", {"price": {"full": 1.0}, "l_quantity": {"one": 1.0, "dozen": 12.0}, "unit_price": {"full": 1.0, "thousandth": 0.001}}, {"price": 1.0, "l_quantity": -1.0, "unit_price": -1.0})
+
+
+# --- corpus views ---------------------------------------------------------------------------------
+
+TOP_YEARS = r"(SELECT string_agg(y, ',' ORDER BY n DESC, y) FROM (SELECT y, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '\b(?:19|20)\d{2}\b')) AS y FROM candidates) GROUP BY y ORDER BY n DESC, y LIMIT 6))"
+
+
+@query(f"SELECT (SELECT count(*) FROM candidates) AS n_texts, (SELECT count(*) FROM candidates WHERE text IS NULL) AS n_missing, (SELECT string_agg(x, ',' ORDER BY x) FROM (SELECT candidate_type || ':' || count(*)::VARCHAR AS x FROM candidates WHERE candidate_type IS NOT NULL GROUP BY candidate_type)) AS roles, (SELECT string_agg(x, ',' ORDER BY x) FROM (SELECT source_kind || ':' || count(*)::VARCHAR AS x FROM candidates WHERE source_kind IS NOT NULL GROUP BY source_kind)) AS kinds, {TOP_YEARS} AS top_years")
+def corpus_profile(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.profile(table(spark, d, "candidates"), "candidate_type", "source_kind", "text")
+
+
+@query(
+    r"WITH n AS (SELECT source, regexp_replace(trim(unnest(regexp_extract_all(text, '(?:Công ty|Tập đoàn|Tổng công ty|Company|Group|Corporation)((?:\s+\p{Lu}[\p{L}]+){1,4})', 1))), '\s+', ' ', 'g') AS name FROM documents WHERE source IS NOT NULL), c AS (SELECT source, name, count(*) AS n FROM n GROUP BY ALL HAVING count(*) >= 3) "
+    "SELECT source, name, n FROM c QUALIFY row_number() OVER (PARTITION BY source ORDER BY n DESC, name) = 1"
+)
+def entity_names(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.entity_names(table(spark, d, "documents"), "source", "text")
+
+
+@query()
+def held_out_companies(spark: SparkSession, d: str) -> DataFrame:
+    own = table(spark, d, "candidates").where("company_id is not null").groupBy("company_id").agg(F.count("*").alias("size"))
+    return corpus.held_out(own, "company_id", "size", 0.2)
+
+
+@query("SELECT document_type, company_id, sum(k) OVER (PARTITION BY document_type)::BIGINT - k AS k_others, sum(n) OVER (PARTITION BY document_type)::BIGINT - n AS n_others FROM (SELECT document_type, company_id, count(*) FILTER (has_number) AS k, count(*) AS n FROM candidates GROUP BY ALL)")
+def leave_company_out(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.leave_group_out(table(spark, d, "candidates"), ["document_type"], "company_id", F.col("has_number"))
+
+
+TITLE_CLASSES = {"energy": ("dien nang", "nang luong", "nhien lieu", "electricity", "fuel", "solar"), "waste": ("chat thai", "waste", "residue", "bun"), "water": ("nuoc", "water", "effluent"), "air": ("bui", "khi", "dust", "exhaust")}
+
+
+@query("SELECT crawl_id, coalesce(" + ", ".join("CASE WHEN " + " OR ".join(f"contains(t, '{w}')" for w in ws) + f" THEN '{n}' END" for n, ws in TITLE_CLASSES.items()) + f", 'other') AS topic FROM (SELECT crawl_id, regexp_replace({fold_sql(chr(99) + 'oalesce(title, ' + repr('') + ')')}, '[_.\\-]+', ' ', 'g') AS t FROM crawl_documents)")
+def title_topics(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "crawl_documents").select("crawl_id", corpus.first_term(F.col("title"), TITLE_CLASSES).alias("topic"))
+
+
+@query("SELECT crawl_id, concat_ws('; ', CASE WHEN trim(source_kind) <> '' THEN 'kind: ' || source_kind END, CASE WHEN trim(ticker) <> '' THEN 'ticker: ' || ticker END, CASE WHEN trim(publication_year::VARCHAR) <> '' THEN 'year: ' || publication_year::VARCHAR END) AS qualifiers, CASE status WHEN 'downloaded' THEN 'đã tải' WHEN 'failed' THEN 'lỗi' ELSE status END AS label FROM crawl_documents")
+def record_qualifiers(spark: SparkSession, d: str) -> DataFrame:
+    q = corpus.qualifiers({"kind": F.col("source_kind"), "ticker": F.col("ticker"), "year": F.col("publication_year")})
+    return table(spark, d, "crawl_documents").select("crawl_id", F.array_join(q, "; ").alias("qualifiers"), corpus.labelled(F.col("status"), {"downloaded": "đã tải", "failed": "lỗi"}).alias("label"))
+
+
+@query("WITH a AS (SELECT url, max(status) AS v FROM crawl_documents WHERE batch_no <= 6 AND url IS NOT NULL GROUP BY url), b AS (SELECT url, max(status) AS v FROM crawl_documents WHERE batch_no > 6 AND url IS NOT NULL GROUP BY url) SELECT coalesce(a.url, b.url) AS url, a.v AS before, b.v AS after, CASE WHEN b.url IS NULL THEN 'gone' WHEN a.url IS NULL THEN 'new' WHEN a.v IS NOT DISTINCT FROM b.v THEN 'same' ELSE 'changed' END AS state FROM a FULL JOIN b ON a.url = b.url")
+def run_difference(spark: SparkSession, d: str) -> DataFrame:
+    own = table(spark, d, "crawl_documents").where("url is not null")
+    part = lambda c: own.where(c).groupBy("url").agg(F.max("status").alias("v"))
+    return corpus.paired(part("batch_no <= 6"), part("batch_no > 6"), "url", "v")
+
+
+@query("SELECT crawl_id, ((hour(downloaded_at) * 60 + minute(downloaded_at) - hour(discovered_at) * 60 - minute(discovered_at)) % 1440 + 1440) % 1440 AS minutes FROM crawl_documents WHERE downloaded_at IS NOT NULL AND discovered_at IS NOT NULL")
+def elapsed_minutes(spark: SparkSession, d: str) -> DataFrame:
+    own = table(spark, d, "crawl_documents").where("downloaded_at is not null and discovered_at is not null")
+    return own.select("crawl_id", corpus.elapsed_minutes(F.col("discovered_at"), F.col("downloaded_at")).cast("long").alias("minutes"))
+
+
+@query("SELECT document_id, crawl_id, status FROM crawl_documents WHERE document_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY CASE status WHEN 'downloaded' THEN 0 WHEN 'failed' THEN 1 WHEN 'skipped' THEN 2 ELSE 3 END, crawl_id) = 1")
+def best_status_merge(spark: SparkSession, d: str) -> DataFrame:
+    own = table(spark, d, "crawl_documents").where("document_id is not null").select("document_id", "crawl_id", "status", "batch_no")
+    return corpus.ranked_merge([own.where("batch_no <= 6").drop("batch_no"), own.where("batch_no > 6").drop("batch_no")], "document_id", "status", {"downloaded": 0, "failed": 1, "skipped": 2}, "crawl_id")
+
+
+@query(
+    f"WITH f AS (SELECT DISTINCT {COMPARE_COLS} FROM numeric_facts WHERE company_id IS NOT NULL AND subject_text IS NOT NULL AND metric IS NOT NULL AND period IS NOT NULL) SELECT a.quantity_id AS a_id, b.quantity_id AS b_id, "
+    "CASE WHEN a.unit IS DISTINCT FROM b.unit THEN 'unit' WHEN a.value IS DISTINCT FROM b.value THEN 'value' WHEN a.half IS DISTINCT FROM b.half THEN 'half' WHEN a.is_target IS DISTINCT FROM b.is_target THEN 'is_target' END AS field FROM f a JOIN f b USING (company_id, subject_text, metric, period) WHERE a.quantity_id < b.quantity_id"
+)
+def error_first_field(spark: SparkSession, d: str) -> DataFrame:
+    key, rest = ["company_id", "subject_text", "metric", "period"], ("unit", "value", "half", "is_target")
+    own = table(spark, d, "numeric_facts").select("quantity_id", *key, *rest).dropna(subset=key).distinct()
+    a, b = (own.select(*key, *(F.col(c).alias(f"{s}_{c}") for c in ("quantity_id", *rest))) for s in "ab")
+    both = a.join(b, key).where("a_quantity_id < b_quantity_id")
+    field = corpus.error_field({c: F.col(f"a_{c}") for c in rest}, {c: F.col(f"b_{c}") for c in rest})
+    return both.select(F.col("a_quantity_id").alias("a_id"), F.col("b_quantity_id").alias("b_id"), field.alias("field"))
+
+
+@query(
+    "SELECT doc_id, n_words, CASE WHEN n_words >= 6 THEN round(len(list_intersect(g, h)) / len(g), 6) END AS share FROM (SELECT doc_id, len(w) AS n_words, list_distinct(list_transform(range(1, len(w) - 4), i -> array_to_string(w[i:i + 5], ' '))) AS g, list_distinct(list_transform(range(1, len(v) - 4), i -> array_to_string(v[i:i + 5], ' '))) AS h FROM "
+    r"(SELECT doc_id, list_filter(regexp_split_to_array(lower(title), '\s+'), t -> t <> '') AS w, list_filter(regexp_split_to_array(lower(text), '\s+'), t -> t <> '') AS v FROM documents WHERE title IS NOT NULL AND text IS NOT NULL))"
+)
+def title_containment(spark: SparkSession, d: str) -> DataFrame:
+    own = table(spark, d, "documents").where("title is not null and text is not null")
+    words = F.size(F.filter(F.split(F.lower("title"), r"\s+"), lambda t: t != "")).cast("long")
+    return own.select("doc_id", words.alias("n_words"), F.round(corpus.contained_ngrams(F.col("title"), F.col("text")), 6).alias("share"))
+
+
+@query()
+def figure_places(spark: SparkSession, d: str) -> DataFrame:
+    own = table(spark, d, "numeric_facts").where("value is not null and sentence is not null").select("quantity_id", "value", "sentence").distinct()
+    return own.select("quantity_id", corpus.figure_place(F.col("value"), F.col("sentence")).alias("place"))
+
+
+@query(f"SELECT doc_id, array_to_string(list_sort(list_distinct(flatten(list_transform(regexp_extract_all({fold_sql(sq('text'))}, '(?:scope|pham vi)\\s*((?:[123]\\b\\s*(?:,|va\\b|and\\b|&|\\+|-|to\\b|den\\b)?\\s*)+)', 1), r -> regexp_extract_all(r, '[123]'))))), ',') AS scopes FROM documents WHERE text IS NOT NULL")
+def emission_scopes(spark: SparkSession, d: str) -> DataFrame:
+    own = table(spark, d, "documents").where("text is not null")
+    return own.select("doc_id", F.array_join(tx.emission_scopes(F.col("text")).cast("array<string>"), ",").alias("scopes"))
+
+
+@query("SELECT source_kind, document_type, count(*) AS n, sum(count(*)) OVER (PARTITION BY source_kind)::BIGINT AS n_kind FROM crawl_documents GROUP BY source_kind, document_type")
+def tallies(spark: SparkSession, d: str) -> DataFrame:
+    g = table(spark, d, "crawl_documents").groupBy("source_kind", "document_type").agg(F.count("*").alias("n"))
+    return g.withColumn("n_kind", F.sum("n").over(Window.partitionBy("source_kind")))
+
+
+@query("SELECT company_id, count(*) FILTER (unit_type = 'pdf_page' AND length(coalesce(text, '')) < 80) AS n_scanned, count(*) AS n_units, sum(length(coalesce(text, '')))::BIGINT AS n_chars FROM units GROUP BY company_id")
+def unit_inspection(spark: SparkSession, d: str) -> DataFrame:
+    n = F.length(F.coalesce("text", F.lit("")))
+    return table(spark, d, "units").groupBy("company_id").agg(F.count_if((F.col("unit_type") == "pdf_page") & (n < 80)).alias("n_scanned"), F.count("*").alias("n_units"), F.sum(n).cast("long").alias("n_chars"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 # Separators that line readers of other systems split at.
-SEPARATORS = ((" ", "\\u2028"), (" ", "\\u2029"), ("\x85", "\\u0085"))
+SEPARATORS = (("\u2028", "\\u2028"), ("\u2029", "\\u2029"), ("\x85", "\\u0085"))
 
 
 def json_line(*cols: str) -> Column:

@@ -17,15 +17,20 @@ STATES = "run_id string, item_id string, state string, n_entries long, n_rejecte
 KEPT = "state string, n long, bad long"
 
 
+def _timed(events: DataFrame) -> DataFrame:
+    """Watermarks need timestamps with a zone."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def windowed_counts(events: DataFrame, length: str = "6 hours", late: str = "1 hour") -> DataFrame:
     """Counts and sums of each event type in tumbling windows; rows later than ``late`` are dropped on a stream."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", length).alias("w"), "event_type").agg(
+    return _timed(events).withWatermark("ts", late).groupBy(F.window("ts", length).alias("w"), "event_type").agg(
         F.count("*").alias("n_events"), F.round(F.sum("value"), 4).alias("total")
     ).select("event_type", "n_events", "total", F.col("w.start").alias("window_start"))
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
-    return events.withWatermark("ts", late).groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n_events")).select("user_id", "n_events", F.col("w.start").alias("begin"), F.col("w.end").alias("end"))
+    return _timed(events).withWatermark("ts", late).groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n_events")).select("user_id", "n_events", F.col("w.start").alias("begin"), F.col("w.end").alias("end"))
 
 
 def log_states(log: DataFrame, allowed: dict[str, tuple[str, ...]]) -> DataFrame:
