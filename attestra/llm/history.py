@@ -30,7 +30,7 @@ RUN, SIMILAR, LEAST_WORDS = 3, 0.8, 20
 AIM, TOP_LEVEL = 16, 4
 #: Share of a text's repeated chunks of a level, rarest first, that is looked up; at level 0 the exact prefix.
 PREFIX = 0.8
-#: A chunk in more classes than this is looked up together with a second chunk of the text.
+#: A chunk in more classes than this is looked up together with a second such chunk of the text.
 HOT = 16
 #: Candidates of up to so many runs share chunks with at least this share of the smaller text's runs, and so many of
 #: them. Similar texts share more: random edits down to 0.8 leave over 0.6, 0.4, 0.18 and 0.1, in 17, 8, 4 and 6 chunks.
@@ -172,9 +172,10 @@ def chunk_pairs(left: DataFrame, right: DataFrame | None = None, similar: float
 
     ``left`` has (class, runs, chunks), one row each. With ``right`` (class, runs, h, n, level: the chunk table
     of a history) a is of ``right`` and b of ``left``, else both are of ``left`` and a < b. A text is
-    looked up by its rarest repeated chunks; of the history only rows of those chunks are read on. A chunk held by more than ``HOT`` classes is looked up together with
-    each other chunk of the text: similar texts share several, and the pairs stay in proportion to
-    the texts. At level 0 a prefix one longer than exact makes that lossless.
+    looked up by its rarest repeated chunks; of the history only rows of those chunks are read on. A
+    chunk held by more than ``HOT`` classes is looked up together with each other such chunk of the text
+    and level: texts that are similar by common chunks only share several, and the pairs stay in
+    proportion to the texts. At level 0 a prefix one longer than exact makes that lossless.
     """
     sides = [left.select("class", "runs", F.explode("chunks").alias("c"), F.lit(0).alias("side"))]
     sides = [sides[0].select("class", "runs", "side", "c.h", "c.n", "c.level")]
@@ -190,15 +191,15 @@ def chunk_pairs(left: DataFrame, right: DataFrame | None = None, similar: float
         rows.join(often, "h").withColumn("before", F.sum("n").over(by_class.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
         .withColumn("total", total)
         .where((F.col("side") == 1) | (F.col("before") <= F.when(F.col("level") == 0, (1 - similar) * F.col("runs") + 1).otherwise(PREFIX * F.col("total"))))
-        .select("class", "side", "runs", "h", "n", "df")
+        .select("class", "side", "level", "runs", "h", "n", "df")
     )
     kept = cut(kept)
     cold = kept.where(F.col("df") <= HOT).select("class", "side", "runs", F.array(F.struct("h", "n")).alias("c"), F.col("h").alias("key"))
     hot = kept.where(F.col("df") > HOT)
-    mate = kept.select("class", "side", F.col("h").alias("h2"), F.col("n").alias("n2"), F.count("*").over(Window.partitionBy("class", "side")).alias("of"))
-    two = hot.join(mate, ["class", "side"]).where("h <> h2 or of = 1")
-    both = F.array_sort(F.array_distinct(F.array(F.struct("h", "n"), F.struct(F.col("h2").alias("h"), F.col("n2").alias("n")))))
-    two = two.select("class", "side", "runs", both.alias("c")).distinct().withColumn("key", F.xxhash64("c"))
+    group = ["class", "side", "level"]
+    mate = hot.select(*group, F.col("h").alias("h2"), F.col("n").alias("n2"))
+    both = F.array(F.struct("h", "n"), F.struct(F.col("h2").alias("h"), F.col("n2").alias("n")))
+    two = hot.join(mate, group).where("h < h2").select("class", "side", "runs", both.alias("c"), F.xxhash64("h", "h2").alias("key"))
     keys = cold.unionByName(two)
     a = keys.where("side = 1" if right is not None else "true").select("key", F.col("class").alias("a"), F.col("runs").alias("runs_a"))
     b = keys.where("side = 0").select("key", F.col("class").alias("b"), F.col("runs").alias("runs_b"), "c")
@@ -254,7 +255,7 @@ def batch_repeats(
     ).where("id is not null")
     names = ("document_id", "sha256", "final_url")
     keys = own.select("id", "at", F.explode(F.array(*(F.struct(F.lit(i).alias("by"), F.when(F.col(c) != "", F.col(c)).alias("k")) for i, c in enumerate(names)))).alias("x"))
-    keys = keys.where("x.k is not null").select("id", "at", F.col("x.by").alias("by"), F.unhex(F.md5("x.k")).alias("key"))
+    keys = cut(keys.where("x.k is not null").select("id", "at", F.col("x.by").alias("by"), F.unhex(F.md5("x.k")).alias("key")))
     first = keys.groupBy("by", "key").agg(F.min("at").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     hits = keys.join(first, ["by", "key"]).where("first < at").select("id", "at", "by", "first")
 
