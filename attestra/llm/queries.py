@@ -102,4 +102,24 @@ QUERIES: dict[str, Query] = {
         p7_found, p7_leaks, p8_mixture, p8_shares, p9_found, p9_levels, p9_profile,
     )
 }
-ORACLES: dict[str, str] = {}
+# --- SQL ------------------------------------------------------------------------------------------
+
+_WIDE, _NARROW = splits.WIDE
+_PLAIN = f"trim(regexp_replace(regexp_replace(upper(translate(ticker, '{_WIDE}', '{_NARROW.replace(chr(39), chr(39) * 2)}')), '[\\p{{Cf}}\\p{{Cc}}]+', '', 'g'), '[\\p{{Z}}\\s]+', ' ', 'g'))"
+_BARE = f"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({_PLAIN}, '^(?:HOSE|HNX|UPCOM) ?[:./|_ -] ?([A-Z])', '\\1'), '([A-Z]) ?[:./|_ -] ?(?:HOSE|HNX|UPCOM)$', '\\1'), '([A-Z]) ?[(\\[](?:HOSE|HNX|UPCOM)[)\\]]$', '\\1'), '^[$(\\[] ?', ''), ' ?[)\\]]$', '')"
+_VERDICT = "CASE regexp_replace(upper(resolved.holistic_verdict.value), '[\\s\\p{Z}_-]+', '', 'g') " + " ".join(f"WHEN '{v.replace('_', '')}' THEN '{v}'" for v in consensus.VERDICTS) + " END"
+_VOTES = f"""SELECT item_id, labeler, arg_max(verdict, {{'t': labeled_at, 'i': annotation_id}}) AS verdict FROM (SELECT item_id, nullif(lower(trim(labeler)), '') AS labeler, {_VERDICT} AS verdict, labeled_at, annotation_id FROM adjudicated_b03
+WHERE lower(trim(coalesce(review_status, ''))) <> 'withdrawn') WHERE item_id IS NOT NULL AND labeler IS NOT NULL AND verdict IS NOT NULL GROUP BY item_id, labeler"""
+
+ORACLES: dict[str, str] = {
+    "p1_found": f"""WITH RECURSIVE s AS (SELECT company_id, ticker FROM crawl_documents UNION SELECT company_id, ticker FROM candidates),
+e AS (SELECT DISTINCT nullif(trim(company_id), '') AS c, CASE WHEN regexp_full_match(b, '[A-Z]{{3,5}}') AND b NOT IN {(*splits.EXCHANGES, *splits.PLACEHOLDERS)} THEN b END AS t FROM (SELECT company_id, {_BARE} AS b FROM s)),
+l AS (SELECT DISTINCT x.c AS a, y.c AS b FROM e x JOIN e y ON x.t = y.t WHERE x.c IS NOT NULL AND y.c IS NOT NULL),
+r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a) SELECT DISTINCT a AS company_id_a, b AS company_id_b FROM r WHERE a < b""",
+    "p2_found": """SELECT DISTINCT unit_id FROM units u LEFT JOIN intake_settings s ON u.settings_id = s.settings_id
+WHERE length(u.text) > coalesce(s.chunk_size_chars, (SELECT chunk_size_chars FROM intake_settings WHERE profile = 'default')) AND unit_id IS NOT NULL""",
+    "p5_found": f"SELECT item_id, verdict FROM (SELECT item_id, verdict, count(*) AS c, sum(count(*)) OVER (PARTITION BY item_id) AS n FROM ({_VOTES}) GROUP BY item_id, verdict) WHERE n >= 2 AND 2 * c > n",
+    "p5_agreement": f"""WITH v AS ({_VOTES}), c AS (SELECT item_id, verdict, count(*) AS k FROM v GROUP BY ALL), i AS (SELECT item_id, sum(k) AS n, sum(k * (k - 1)) AS same FROM c GROUP BY 1 HAVING sum(k) > 1),
+t AS (SELECT verdict, sum(k) AS k FROM c WHERE item_id IN (SELECT item_id FROM i) GROUP BY 1), e AS (SELECT sum(k * (k - 1)) / (sum(k) * (sum(k) - 1)) AS e FROM t), o AS (SELECT count(*) AS n_items, sum(n)::BIGINT AS n_pairable, sum(same / (n - 1)) / sum(n) AS o FROM i)
+SELECT n_items, n_pairable, round(o, 9) AS observed, round(e, 9) AS expected, round((o - e) / (1 - e), 9) AS alpha FROM o CROSS JOIN e""",
+}
