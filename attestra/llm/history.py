@@ -82,63 +82,66 @@ def levels(runs: int, similar: float = SIMILAR) -> list[int]:
     return sorted({level(runs), level(runs * similar)})
 
 
-def chunks(h: np.ndarray, runs: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the chunks of a text and the runs in each; a chunk begins where its run's low bits are zero.
+def chunks(sums: np.ndarray, down: np.ndarray, at: int, runs: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the chunks of the text at word ``at`` and the runs in each; a chunk begins where its run's low bits are zero.
 
-    Chunks under half the level's mean length tell little and are left out.
+    ``sums`` are prefix sums over the words of many texts. Chunks under half the level's mean length
+    tell little and are left out.
     """
     start = np.flatnonzero((runs & U((1 << level) - 1)) == 0)
     if not len(start) or start[0]:
-        start = np.concatenate([[0], start])
-    end = np.append(start[1:], len(runs))
-    up, down = _powers(max(1 << 21, 1 << (len(h) + 1).bit_length()))
-    sums = np.zeros(len(h) + 1, dtype=U)
-    np.cumsum(h * up[: len(h)], out=sums[1:])
-    key = mix((sums[end + RUN - 1] - sums[start]) * down[start] + (end - start).astype(U) * U(64) + U(level))
-    size = end - start
-    key, first = np.unique(key[2 * size >= 1 << level], return_index=True)
-    return key, size[2 * size >= 1 << level][first]
+        start = np.concatenate([_ZERO, start])
+    size = np.diff(start, append=len(runs))
+    kept = 2 * size >= 1 << level
+    start, size = start[kept] + at, size[kept]
+    key, first = np.unique((sums[start + size + RUN - 1] - sums[start]) * down[start] + size.astype(U) * U(64) + U(level), return_index=True)
+    return key, size[first]
 
 
-def text_class(h: np.ndarray) -> bytes:
-    """128 bits that stand for the text's words."""
-    up, down = _powers(max(1 << 21, 1 << (len(h) + 1).bit_length()))
-    a = mix(np.sum(h * up[: len(h)], dtype=U, keepdims=True) + U(len(h)))
-    b = mix(np.sum(mix(h + U(1)) * down[: len(h)], dtype=U, keepdims=True))
-    return a.tobytes() + b.tobytes()
+_ZERO = np.zeros(1, dtype=np.int64)
+
+
+def _sums(x: np.ndarray, up: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(x) + 1, dtype=U)
+    np.cumsum(x * up[: len(x)], out=out[1:])
+    return out
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Everything that can be done for many texts at once is: hashes of runs, prefix sums, mixing."""
     for batch in batches:
-        row, cls, count, sizes, keys, ns, at_level = [], [], [], [0], [], [], []
+        row, count, sizes, keys, ns, at_level, classes = [], [], [0], [], [], [], []
         for first, h, at in word_hashes(batch.column(1).to_pylist()):
-            for d in range(len(at) - 1):
-                w = h[at[d] : at[d + 1]]
-                if len(w) < LEAST_WORDS:
-                    continue
-                r = runs_of(w, RUN)
+            up, down = _powers(max(1 << 21, 1 << (len(h) + 1).bit_length()))
+            runs, sums = runs_of(h, RUN), _sums(h, up)
+            long = np.flatnonzero(np.diff(at) >= LEAST_WORDS)
+            a, b = at[long], at[long + 1]
+            # 128 bits that stand for a text's words
+            other = _sums(mix(h + U(1)), up)
+            classes.append(np.stack([mix((s[b] - s[a]) * down[a] + (b - a).astype(U)) for s in (sums, other)], axis=1))
+            for d, i, j in zip(long.tolist(), a.tolist(), b.tolist()):
+                r = runs[i : j - RUN + 1]
                 u = len(np.unique(r))
                 row.append(first + d)
-                cls.append(text_class(w))
                 count.append(u)
                 n = 0
                 for level in levels(u):
-                    k, m = chunks(w, r, level)
+                    k, m = chunks(sums, down, i, r, level)
                     keys.append(k)
                     ns.append(m)
-                    at_level.append(np.full(len(k), level, dtype=np.int32))
+                    at_level.append((level, len(k)))
                     n += len(k)
                 sizes.append(sizes[-1] + n)
-        flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, dtype=np.int64)
+        flat = mix(np.concatenate(keys)).view(np.int64) if keys else np.zeros(0, dtype=np.int64)
         m = np.concatenate(ns).astype(np.int32) if ns else np.zeros(0, dtype=np.int32)
-        lv = np.concatenate(at_level) if at_level else np.zeros(0, dtype=np.int32)
-        items = pa.StructArray.from_arrays([pa.array(flat), pa.array(m), pa.array(lv)], names=["h", "n", "level"])
+        lv = np.repeat(*np.array(at_level, dtype=np.int32).T) if at_level else np.zeros(0, dtype=np.int32)
+        cls = np.concatenate(classes) if classes else np.zeros((0, 2), dtype=U)
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column(0).take(pa.array(row, pa.int64())),
-                pa.array(cls, pa.binary()),
+                pa.array([c.tobytes() for c in cls], pa.binary()),
                 pa.array(count, pa.int32()),
-                pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), items),
+                pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.StructArray.from_arrays([pa.array(flat), pa.array(m), pa.array(lv)], names=["h", "n", "level"])),
             ],
             names=["id", "class", "runs", "chunks"],
         )
