@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from attestra.runtime import cut
+
 # Spellings of units by kind, with the factor to the common unit that is named first.
 UNITS: dict[str, tuple[str, dict[float, tuple[str, ...]]]] = {
     "mass": ("kg", {
@@ -275,7 +277,8 @@ def amounts(ir_figures: DataFrame, numeric_facts: DataFrame) -> DataFrame:
     both = _read(ir_figures, ("value_text", "unit_text", "multiplier_text", "sentence"), text_figure).unionByName(
         _read(numeric_facts, ("value", "unit", "sentence"), number_figure)
     )
-    rows = both.where("quantity_id is not null").distinct()
+    # written once: both the sure and the open records are taken from it
+    rows = cut(both.where("quantity_id is not null").distinct())
     rows = rows.select(*_KEYS, F.size("readings").alias("n"), F.explode_outer("readings").alias("r")).select(*_KEYS, "n", "r.*")
     key = ["company_id", "subject_text", "metric", "period"]
     sure, open_ = rows.where("n <= 1"), rows.where("n > 1")
