@@ -15,14 +15,12 @@ def profile(docs: DataFrame, role: str, kind: str, text: str, top: int = 6) -> D
     """One row: texts, texts by role and kind as sorted ``name:count`` lists, the most mentioned years, whether each is present."""
     one = docs.agg(F.count("*").alias("n_texts"), F.count_if(F.col(text).isNull()).alias("n_missing"))
 
-    def tally(c: str, name: str) -> DataFrame:
-        counts = docs.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("n"))
-        return counts.agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", F.col(c), F.col("n").cast("string")))), ",").alias(name))
-
-    y = docs.select(F.explode(tx.years(F.col(text))).alias("y")).groupBy("y").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "y").limit(top)
-    top_years = y.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "y"))), lambda s: s["y"]), ",").alias("top_years"))
-    # each side is one row
-    return one.crossJoin(tally(role, "roles")).crossJoin(tally(kind, "kinds")).crossJoin(top_years)
+    def tally(c: str) -> str:
+        counts = docs.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("n")).collect()  # one row a class
+        return ",".join(sorted(f"{r[c]}:{r['n']}" for r in counts))
+
+    y = docs.select(F.explode(tx.years(F.col(text))).alias("y")).groupBy("y").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "y").limit(top).collect()
+    return one.withColumns({"roles": F.lit(tally(role)), "kinds": F.lit(tally(kind)), "top_years": F.lit(",".join(r["y"] for r in y))})
 
 
 def entity_names(docs: DataFrame, key: str, text: str, least: int = 3) -> DataFrame:

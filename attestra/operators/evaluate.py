@@ -56,21 +56,15 @@ def cohen_kappa(pairs: DataFrame, weights: dict[str, int] | None = None) -> Data
 
     kappa is null where no disagreement is expected.
     """
-    c = confusion(pairs)
-    g = c.groupBy("gold").agg(F.sum("n").alias("ng"))
-    p = c.groupBy("pred").agg(F.sum("n").alias("np"))
-    total = c.agg(F.sum("n").alias("t")).first()["t"] or 0
-    # both margins have one row a class
-    grid = g.crossJoin(p).join(c, ["gold", "pred"], "left").fillna(0, ["n"])
-    if weights:
-        order = F.create_map(*(x for k, v in weights.items() for x in (F.lit(k), F.lit(v))))
-        span = max(1, max(weights.values()) - min(weights.values()))
-        w = F.pow((order[F.col("gold")] - order[F.col("pred")]) / float(span), 2)
-    else:
-        w = F.when(F.col("gold") == F.col("pred"), 0.0).otherwise(1.0)
-    t = float(max(total, 1))
-    s = grid.agg(F.sum(w * F.col("n") / t).alias("o"), F.sum(w * F.col("ng") * F.col("np") / t / t).alias("e"))
-    return s.select(F.lit(total).cast("long").alias("n"), F.round(1 - F.col("o"), 6).alias("observed"), F.round(1 - F.col("e"), 6).alias("expected"), F.round(F.when(F.col("e") > 0, 1 - F.col("o") / F.col("e")), 6).alias("kappa"))
+    cells = {(r["gold"], r["pred"]): r["n"] for r in confusion(pairs).collect()}  # classes squared, at most
+    total = sum(cells.values())
+    gold, pred = ({c: sum(n for k, n in cells.items() if k[i] == c) for c in {k[i] for k in cells}} for i in (0, 1))
+    span = max(1, max(weights.values()) - min(weights.values())) if weights else 1
+    cost = (lambda x, y: ((weights[x] - weights[y]) / span) ** 2) if weights else (lambda x, y: float(x != y))
+    off = sum(cost(*k) * n for k, n in sorted(cells.items())) / max(total, 1)
+    chance = sum(cost(x, y) * m * n for x, m in sorted(gold.items()) for y, n in sorted(pred.items())) / max(total, 1) ** 2
+    row = (total, round(1 - off, 6), round(1 - chance, 6), round(1 - off / chance, 6) if chance > 0 else None)
+    return pairs.sparkSession.createDataFrame([row], "n long, observed double, expected double, kappa double")
 
 
 def fleiss_kappa(ratings: DataFrame) -> DataFrame:
@@ -78,9 +72,9 @@ def fleiss_kappa(ratings: DataFrame) -> DataFrame:
     cell = ratings.where("item_id is not null and label is not null").groupBy("item_id", "label").agg(F.count("*").alias("c"))
     item = cell.groupBy("item_id").agg(F.sum("c").alias("n"), F.sum(F.col("c") * (F.col("c") - 1)).alias("same")).where("n > 1")
     share = cell.join(item.select("item_id"), "item_id", "left_semi").groupBy("label").agg(F.sum("c").alias("c"))
-    e = share.agg((F.sum(F.col("c") * F.col("c")) / F.sum("c") / F.sum("c")).alias("e"))
+    by_chance = share.agg((F.sum(F.col("c") * F.col("c")) / F.sum("c") / F.sum("c")).alias("e")).first()["e"]
     o = item.agg(F.count("*").alias("n_items"), F.avg(F.col("same") / (F.col("n") * (F.col("n") - 1))).alias("o"))
-    return o.crossJoin(e).select("n_items", F.round("o", 6).alias("observed"), F.round("e", 6).alias("expected"), F.round(F.when(F.col("e") < 1, (F.col("o") - F.col("e")) / (1 - F.col("e"))), 6).alias("kappa"))
+    return o.withColumn("e", F.lit(by_chance).cast("double")).select("n_items", F.round("o", 6).alias("observed"), F.round("e", 6).alias("expected"), F.round(F.when(F.col("e") < 1, (F.col("o") - F.col("e")) / (1 - F.col("e"))), 6).alias("kappa"))
 
 
 def spearman(rows: DataFrame, x: str, y: str, by: str) -> DataFrame:
@@ -143,8 +137,9 @@ def bootstrap(rows: DataFrame, value: str, cluster: str | None = None, replicate
 
     sums = own.mapInPandas(run, "r int, s double, n double").groupBy("r").agg((F.sum("s") / F.nullif(F.sum("n"), F.lit(0.0))).alias("m"))
     lo, hi = (1 - level) / 2, 1 - (1 - level) / 2
-    ends = sums.agg(F.percentile("m", lo).alias("low"), F.percentile("m", hi).alias("high"))
-    return own.agg(F.count("*").alias("n"), F.avg("v").alias("mean")).crossJoin(ends)
+    ends = sums.agg(F.percentile("m", lo).alias("low"), F.percentile("m", hi).alias("high")).first()
+    whole = own.agg(F.count("*").alias("n"), F.avg("v").alias("mean"))
+    return whole.withColumns({"low": F.lit(ends["low"]).cast("double"), "high": F.lit(ends["high"]).cast("double")})
 
 
 def weighted_share(sample: DataFrame, population: DataFrame, stratum: str, hit: Column) -> DataFrame:

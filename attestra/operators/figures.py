@@ -79,3 +79,55 @@ def queue(rows: DataFrame, score: str, id_col: str, threshold: float, least: int
     size = min(max(n, least), most)
     top = rows.orderBy(F.desc(score), id_col).limit(size)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(score), id_col)))
+
+
+def year_columns(cells: DataFrame) -> DataFrame:
+    """Figures of tables whose heads name years: (doc_id, line_no, label, year, value).
+
+    ``cells`` has (doc_id, line_no, col_no, label, value). A row with a year as value in a column is a
+    head for that column until the next head; rows before any head have no year and are left out, as
+    are values that are no number.
+    """
+    from attestra.functions import numbers
+
+    w = Window.partitionBy("doc_id", "col_no").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    is_year = F.col("value").rlike(r"^(?:19|20)\d{2}$")
+    c = cells.withColumn("year", F.last(F.when(is_year, F.col("value")), ignorenulls=True).over(w))
+    return c.where(~is_year & F.col("year").isNotNull()).select("doc_id", "line_no", "label", F.col("year").cast("int").alias("year"), numbers.locale_number(F.col("value")).alias("value")).where("value is not null")
+
+
+def beta_lower(rows: DataFrame, k: str, n: str, q: float = 0.05, name: str = "lower") -> DataFrame:
+    """The q-quantile of Beta(k + 1, n - k + 1), the lower bound of a share; null for null counts.
+
+    The distribution function is the binomial tail, summed in logs and inverted by bisection.
+    """
+    from collections.abc import Iterator
+
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    base = rows.drop(name)
+
+    def tail(x: np.ndarray, k_: np.ndarray, n_: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(x))
+        for i, (p, a, m) in enumerate(zip(x, k_, n_)):
+            j = np.arange(a + 1, m + 2)
+            logs = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, m + 2)))])
+            out[i] = np.exp(logs[m + 1] - logs[j] - logs[m + 1 - j] + j * np.log(p) + (m + 1 - j) * np.log1p(-p)).sum()
+        return out
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            ok = b[k].notna() & b[n].notna()
+            k_, n_ = b.loc[ok, k].astype(int).to_numpy(), b.loc[ok, n].astype(int).to_numpy()
+            lo, hi = np.full(len(k_), 1e-12), np.full(len(k_), 1 - 1e-12)
+            for _ in range(45):
+                mid = (lo + hi) / 2
+                below = tail(mid, k_, n_) < q
+                lo, hi = np.where(below, mid, lo), np.where(below, hi, mid)
+            out = pd.Series(np.nan, index=b.index)
+            out[ok] = lo
+            yield b.assign(**{name: out})
+
+    return base.mapInPandas(run, T.StructType([*base.schema.fields, T.StructField(name, T.DoubleType())]))

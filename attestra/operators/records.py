@@ -147,13 +147,13 @@ def new_numbers(before: Column, after: Column) -> Column:
 def profile(docs: DataFrame, group: str) -> DataFrame:
     """Texts of a group: count, distinct texts, lengths (median, and p95 as the value at int(n * 0.95) of the sorted ones)."""
     own = docs.select(group, F.length(F.coalesce("text", F.lit(""))).alias("len"), F.md5(F.lower(F.trim("text"))).alias("h"))
-    n = F.count("*").over(Window.partitionBy(group))
-    place = F.row_number().over(Window.partitionBy(group).orderBy("len"))
-    ranked = own.withColumns({"n": n, "place": place})
-    return ranked.groupBy(group).agg(
-        F.count("*").alias("n_texts"), F.count_distinct("h").alias("n_distinct"), F.median("len").alias("len_median"),
-        F.max(F.when(F.col("place") == F.floor(F.col("n") * 0.95) + 1, F.col("len"))).alias("len_p95"),
-    )
+    whole = own.groupBy(group).agg(F.count("*").alias("n_texts"), F.count_distinct("h").alias("n_distinct"), F.median("len").alias("len_median"))
+    # a group's texts are reduced to a count for each length before they are put in order
+    by_len = own.groupBy(group, "len").agg(F.count("*").alias("c"))
+    w = Window.partitionBy(group)
+    ordered = by_len.withColumns({"n": F.sum("c").over(w), "end": F.sum("c").over(w.orderBy("len"))})
+    p95 = ordered.where(F.col("end") > F.floor(F.col("n") * 0.95)).groupBy(group).agg(F.min("len").alias("len_p95"))
+    return whole.alias("w").join(p95.alias("p"), F.col(f"w.{group}").eqNullSafe(F.col(f"p.{group}"))).select("w.*", "len_p95")
 
 
 def concentration(rows: DataFrame, key: str) -> DataFrame:

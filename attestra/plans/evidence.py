@@ -5,7 +5,7 @@ Each stage is a lazy DataFrame; lexicons are given as data.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestra.functions import text as tx
@@ -29,11 +29,12 @@ def claims(docs: DataFrame, types: list[lexicon.Bucket]) -> DataFrame:
         F.size(F.regexp_extract_all("text", F.lit(r"\d+(?:[.,]\d+)*"), F.lit(0))).alias("n_figures"), F.get(y, F.lit(0)).alias("period"),
         F.when(F.size(y) > 1, F.try_element_at(y, F.lit(-1))).alias("baseline"), tx.heading_reason(F.col("text")).alias("reason"), F.regexp_replace("m", r"\s+", " ").alias("m"),
     )
-    order = Window.partitionBy("key").orderBy("doc_id", "block", "pos")
     # only statements take part in the search for repeats; the key of others is their own id
     keyed = rows.withColumn("key", F.when(F.col("reason").isNull(), F.md5("m")).otherwise(F.concat(F.lit("-"), "claim_id", F.col("pos").cast("string"))))
-    repeat = (F.row_number().over(order) > 1) & F.col("reason").isNull()
-    return keyed.withColumn("reject_reason", F.when(repeat, "repeat").otherwise(F.col("reason"))).drop("key", "reason", "m")
+    at = F.struct("doc_id", "block", "pos")
+    first = keyed.groupBy("key").agg(F.min(at).alias("first"))
+    repeat = (F.col("first") < at) & F.col("reason").isNull()
+    return keyed.join(first, "key").withColumn("reject_reason", F.when(repeat, "repeat").otherwise(F.col("reason"))).drop("key", "reason", "m", "first")
 
 
 def evidence(docs: DataFrame, queries: DataFrame, k: int = 5, least: float = 0.12) -> DataFrame:

@@ -1018,3 +1018,98 @@ def tallies(spark: SparkSession, d: str) -> DataFrame:
 def unit_inspection(spark: SparkSession, d: str) -> DataFrame:
     n = F.length(F.coalesce("text", F.lit("")))
     return table(spark, d, "units").groupBy("company_id").agg(F.count_if((F.col("unit_type") == "pdf_page") & (n < 80)).alias("n_scanned"), F.count("*").alias("n_units"), F.sum(n).cast("long").alias("n_chars"))
+
+
+# --- more views of records and tables -------------------------------------------------------------
+
+
+@query(
+    f"WITH c AS ({ORACLES['table_cells']}), y AS (SELECT *, regexp_full_match(value, '(?:19|20)\\d{{2}}') AS is_year, last_value(CASE WHEN regexp_full_match(value, '(?:19|20)\\d{{2}}') THEN value END IGNORE NULLS) OVER (PARTITION BY doc_id, col_no ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS year FROM c), "
+    "v AS (SELECT doc_id, line_no, label, year::INT AS year, regexp_replace(trim(value), '[.,]+$', '') AS t FROM y WHERE NOT is_year AND year IS NOT NULL), w AS (SELECT *, length(t) - length(replace(t, '.', '')) AS d, length(t) - length(replace(t, ',', '')) AS c FROM v) "
+    f"SELECT doc_id, line_no, label, year, {NUMBER_SQL} AS value FROM w WHERE {NUMBER_SQL} IS NOT NULL"
+)
+def disclosed_figures(spark: SparkSession, d: str) -> DataFrame:
+    return figures.year_columns(passages.table_cells(table(spark, d, "documents")))
+
+
+@query("SELECT source_kind, count(*) AS n, round(avg((status = 'failed')::INT), 6) AS failed_share, median(epoch(downloaded_at - discovered_at))::DOUBLE AS latency_s FROM (SELECT source_kind, status, CASE WHEN status = 'downloaded' THEN downloaded_at END AS downloaded_at, discovered_at FROM crawl_documents) GROUP BY source_kind")
+def source_health(spark: SparkSession, d: str) -> DataFrame:
+    seconds = (F.unix_micros(F.col("downloaded_at").cast("timestamp")) - F.unix_micros(F.col("discovered_at").cast("timestamp"))) / 1e6
+    own = table(spark, d, "crawl_documents")
+    return own.groupBy("source_kind").agg(F.count("*").alias("n"), F.round(F.avg((F.col("status") == "failed").cast("int")), 6).alias("failed_share"), F.median(F.when(F.col("status") == "downloaded", seconds)).alias("latency_s"))
+
+
+@query(r"SELECT crawl_id, coalesce(publication_year, TRY_CAST(nullif(regexp_extract(title, '\b(?:19|20)\d{2}\b'), '') AS INT), TRY_CAST(nullif(regexp_extract(url, '\b(?:19|20)\d{2}\b'), '') AS INT)) AS year FROM crawl_documents")
+def year_resolution(spark: SparkSession, d: str) -> DataFrame:
+    y = lambda c: tx.first_year(F.col(c)).cast("int")
+    return table(spark, d, "crawl_documents").select("crawl_id", F.coalesce("publication_year", y("title"), y("url")).alias("year"))
+
+
+@query(
+    "WITH c AS (SELECT DISTINCT document_id, candidate_id, candidate_type FROM candidates WHERE document_id IS NOT NULL), e AS (SELECT document_id, string_agg(candidate_id, ',' ORDER BY candidate_id) AS evidence FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY candidate_id) AS r FROM c WHERE candidate_type = 'evidence') WHERE r <= 5 GROUP BY document_id) "
+    "SELECT candidate_id, evidence FROM c LEFT JOIN e ON c.document_id = e.document_id WHERE candidate_type = 'claim'"
+)
+def training_view(spark: SparkSession, d: str) -> DataFrame:
+    """Claims with the first five evidence sentences of their document."""
+    own = table(spark, d, "candidates").where("document_id is not null").select("document_id", "candidate_id", "candidate_type").distinct()
+    w = Window.partitionBy("document_id").orderBy("candidate_id")
+    first = own.where("candidate_type = 'evidence'").withColumn("r", F.row_number().over(w)).where("r <= 5")
+    e = first.groupBy("document_id").agg(F.array_join(F.array_sort(F.collect_list("candidate_id")), ",").alias("evidence"))
+    return own.where("candidate_type = 'claim'").join(e, "document_id", "left").select("candidate_id", "evidence")
+
+
+@query(
+    "SELECT 'raw' AS layer, crawl_id::VARCHAR AS record_id, document_id, company_id, publication_year FROM crawl_documents UNION ALL SELECT 'clean', unit_id, document_id, company_id, publication_year FROM units UNION ALL SELECT 'extract', candidate_id, document_id, company_id, publication_year FROM candidates"
+)
+def contract_layers(spark: SparkSession, d: str) -> DataFrame:
+    shared = ("document_id", "company_id", "publication_year")
+    layer = lambda name, t, key: table(spark, d, t).select(F.lit(name).alias("layer"), F.col(key).cast("string").alias("record_id"), *shared)
+    return temporal.union_all([layer("raw", "crawl_documents", "crawl_id"), layer("clean", "units", "unit_id"), layer("extract", "candidates", "candidate_id")])
+
+
+@query("SELECT (u.document_id IS NOT NULL) AS has_clean, (r.document_id IS NOT NULL) AS has_raw, count(*) AS n FROM candidates c LEFT JOIN (SELECT DISTINCT document_id FROM units) u ON c.document_id = u.document_id LEFT JOIN (SELECT DISTINCT document_id FROM crawl_documents) r ON c.document_id = r.document_id GROUP BY ALL")
+def provenance_chain(spark: SparkSession, d: str) -> DataFrame:
+    ids = lambda t, n: table(spark, d, t).where("document_id is not null").select("document_id").distinct().withColumn(n, F.lit(True))
+    # candidates of one document are counted before they meet the other layers
+    c = table(spark, d, "candidates").groupBy("document_id").agg(F.count("*").alias("n"))
+    both = c.join(ids("units", "u"), "document_id", "left").join(ids("crawl_documents", "r"), "document_id", "left")
+    return both.groupBy(F.col("u").isNotNull().alias("has_clean"), F.col("r").isNotNull().alias("has_raw")).agg(F.sum("n").alias("n"))
+
+
+@query("SELECT company_id FROM candidates WHERE split = 'train' INTERSECT SELECT company_id FROM candidates WHERE split = 'test'")
+def split_intersection(spark: SparkSession, d: str) -> DataFrame:
+    part = lambda s: table(spark, d, "candidates").where(F.col("split") == s).select("company_id")
+    return part("train").intersect(part("test"))
+
+
+@query("SELECT company_id, publication_year FROM crawl_documents EXCEPT SELECT company_id, publication_year FROM units")
+def unparsed_company_years(spark: SparkSession, d: str) -> DataFrame:
+    pair = lambda t: table(spark, d, t).select("company_id", "publication_year")
+    return pair("crawl_documents").subtract(pair("units"))
+
+
+@query(
+    r"SELECT candidate_id, CASE WHEN i >= 3 OR g >= 2 OR (g >= 1 AND i >= 2) THEN 'layout_glue' WHEN regexp_matches(t, '(?:(?:19|20)\d{2}[\s|,]+){3}') THEN 'layout_glue' "
+    r"WHEN (regexp_matches(t, '[\w.+-]+@[\w-]+\.[\w.]+|\+84[\s\d.]{6,}') OR regexp_matches(lower(t), '(?:điện thoại|tel|fax|hotline)\s*[:.]')) AND len(regexp_split_to_array(t, '\s+')) < 20 THEN 'contact_line' "
+    r"WHEN regexp_matches(t, '^\s*(?:ISO|TCVN|IFRS|ISSB|SASB|TCFD)\s*[\w.-]*\s*:') THEN 'standard_title' WHEN l >= 2 AND NOT regexp_matches(lower(t), 'công ty|tập đoàn|chúng tôi|nhà máy|tuân thủ|thực hiện|the company|the group|comply|complied') THEN 'legal_text' END AS reason "
+    r"FROM (SELECT candidate_id, t, len(regexp_extract_all(t, '(?:^|\s)(\d{1,3})(?:\s|$)', 1)) AS i, len(regexp_extract_all(t, '\b(?:20[1-9]|30[1-9]|4[01]\d)-\d{1,2}\b')) AS g, len(regexp_extract_all(lower(t), 'luật|nghị định|thông tư|quyết định')) AS l FROM (SELECT candidate_id, trim(text) AS t FROM candidates WHERE text IS NOT NULL))"
+)
+def suspect_reasons(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "candidates").where("text is not null").select("candidate_id", tx.suspect_reason(F.col("text")).alias("reason"))
+
+
+@query("SELECT company_id, avg(score_pct)::DOUBLE AS mean_score, count(*) FILTER (missing = '') AS complete_years FROM (" + ORACLES["coverage_grid"] + ") GROUP BY company_id")
+def coverage_summary(spark: SparkSession, d: str) -> DataFrame:
+    return coverage_grid(spark, d).groupBy("company_id").agg(F.avg("score_pct").alias("mean_score"), F.count_if(F.col("missing") == "").alias("complete_years"))
+
+
+@query()
+def share_lower_bounds(spark: SparkSession, d: str) -> DataFrame:
+    counts = table(spark, d, "candidates").groupBy("document_type").agg(F.count_if("has_number").alias("k"), F.count("*").alias("n"))
+    return figures.beta_lower(counts, "k", "n").withColumn("lower", F.round("lower", 6))
+
+
+@query("SELECT event_id, event_type, json_extract_string(props, '$.' || k) AS value, k AS key FROM events, unnest(json_keys(props)) AS t(k) WHERE props IS NOT NULL")
+def event_properties(spark: SparkSession, d: str) -> DataFrame:
+    props = F.from_json("props", "map<string,string>")
+    return table(spark, d, "events").where("props is not null").select("event_id", "event_type", F.explode(props).alias("key", "value"))
