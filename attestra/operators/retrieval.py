@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestra.functions import text as tx
+from attestra.runtime import cut
 
 K1, B, SQUASH = 1.5, 0.75, 3.0
 #: Distinct query terms up to this number are broadcast, more are joined.
@@ -41,8 +42,10 @@ def bm25(corpus: DataFrame, queries: DataFrame, words=tx.tokens) -> DataFrame:
     whole = sized.agg(F.count("*").alias("n"), F.avg("len").alias("avg")).first()
     n, avg = max(1, whole["n"]), max(1.0, whole["avg"] or 0.0)
     terms = _small(_terms(queries, words(F.col("text"))))
-    counts = sized.select("doc_id", "len", F.explode("t").alias("term")).join(_small(terms.select("term").distinct()), "term", "left_semi")
-    tf = counts.groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
+    # outer: an inner explode would put a filter on the tokens' number before it, and take the tokens twice
+    counts = sized.select("doc_id", "len", F.explode_outer("t").alias("term")).join(_small(terms.select("term").distinct()), "term", "left_semi")
+    # by text once: counts of its terms, its scores and the first cut to the best of a task need no further shuffle
+    tf = counts.repartition("doc_id").groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / avg))
@@ -69,7 +72,8 @@ def tfidf_cosine(corpus: DataFrame, queries: DataFrame, grams=char_ngrams) -> Da
 
     Raw counts, smooth idf ln((1+N)/(1+df))+1. Query n-grams that the corpus lacks are dropped.
     """
-    tf = corpus.select("doc_id", F.explode(grams(F.coalesce("text", F.lit("")))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    # written once: document frequencies, norms and products are all taken from it
+    tf = cut(corpus.select("doc_id", F.explode_outer(grams(F.coalesce("text", F.lit("")))).alias("term")).where("term is not null").groupBy("doc_id", "term").agg(F.count("*").alias("tf")))
     n = corpus.count()
     df = tf.groupBy("term").agg((F.log((1.0 + n) / (1 + F.count("*"))) + 1).alias("idf"))
     weighed = tf.join(df, "term").select("doc_id", "term", (F.col("tf") * F.col("idf")).alias("w"))

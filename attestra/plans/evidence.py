@@ -21,8 +21,9 @@ def claims(docs: DataFrame, types: list[lexicon.Bucket]) -> DataFrame:
     """
     cut_docs = passages.passages(docs)
     rows = cut_docs.select("doc_id", "passage_id", "block", F.posexplode(tx.split_sentences(F.col("text"))).alias("pos", "text"))
-    rows = rows.withColumn("m", tx.match_form(F.col("text")))
-    rows = rows.withColumn("claim_type", lexicon.best_bucket(F.col("m"), types)).where("claim_type is not null")
+    rows = rows.withColumn("m", tx.match_form(F.col("text"))).withColumn("claim_type", lexicon.best_bucket(F.col("m"), types))
+    # written before it is filtered: pushed below, the filter would compute the matching form once for each term
+    rows = cut(rows).where("claim_type is not null")
     y = tx.years(F.col("text"))
     rows = rows.select(
         tx.stable_id(F.col("passage_id"), F.col("text")).alias("claim_id"), "doc_id", "passage_id", "block", "pos", "text", "claim_type",

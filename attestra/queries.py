@@ -8,13 +8,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from attestra import runtime
 from attestra.functions import address, numbers
 from attestra.functions import text as tx
 from attestra.operators import corpus, edits, evaluate, figures, lexicon, passages, quantities, records, retrieval, temporal, units
 from attestra.plans import evidence
-from attestra.runtime import table
+from attestra.runtime import cut
 from attestra.sources import readers
 
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return runtime.spread(runtime.table(spark, d, name))
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -35,7 +41,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 @query()
 def p3_amounts(spark: SparkSession, d: str) -> DataFrame:
-    return units.amounts(table(spark, d, "ir_figures"), table(spark, d, "numeric_facts"))
+    return units.amounts(runtime.table(spark, d, "ir_figures"), runtime.table(spark, d, "numeric_facts"))
 
 
 @query()
@@ -354,8 +360,8 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def passages_topk(spark: SparkSession, d: str) -> DataFrame:
     """The five best passages of all documents for each held-out claim."""
-    cut = passages.passages(table(spark, d, "documents")).select(F.concat_ws(":", F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lpad(F.col("block").cast("string"), 6, "0")).alias("doc_id"), "text")
-    return retrieval.top_k(retrieval.bm25(cut, _claims(spark, d)).withColumn("score", F.round("score", 6)), 5)
+    own = passages.passages(table(spark, d, "documents")).select(F.concat_ws(":", F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lpad(F.col("block").cast("string"), 6, "0")).alias("doc_id"), "text")
+    return retrieval.top_k(retrieval.bm25(cut(own), _claims(spark, d)).withColumn("score", F.round("score", 6)), 5)
 
 
 def _grams_sql(x: str) -> str:
