@@ -60,3 +60,28 @@ def compared(queries: DataFrame, found: DataFrame) -> DataFrame:
     return both.withColumns({"error": error, "one": one}).groupBy("query_id", "doc_id", "rank").agg(
         F.coalesce(F.min_by("one", F.coalesce("error", F.lit(float("inf")))), F.lit("N")).alias("label"), F.round(F.min("error"), 6).alias("error")
     )
+
+
+def stances(queries: DataFrame, found: DataFrame, refuting: tuple[str, ...], supporting: tuple[str, ...], negations: tuple[str, ...] = (), close: float = 0.5) -> DataFrame:
+    """(query_id, doc_id, rank, stance, method): figures first, then cues, then closeness of the words; else CONTEXT.
+
+    A figure equal as printed SUPPORTS, one apart REFUTES; a refuting cue comes before a supporting one.
+    Closeness alone supports nothing: it only tells RELATED from CONTEXT.
+    """
+    n = compared(queries, found).select("query_id", "doc_id", "label")
+    both = found.join(n, ["query_id", "doc_id"], "left")
+    cue = lambda terms: tx.any_of(lexicon.cue_present(F.col("text"), t, negations) for t in terms)
+    pick = lambda s, m: F.struct(F.lit(s).alias("stance"), F.lit(m).alias("method"))
+    out = (
+        F.when(F.col("label") == "S", pick("SUPPORTS", "figure")).when(F.col("label") == "C", pick("REFUTES", "figure"))
+        .when(cue(refuting), pick("REFUTES", "cue")).when(cue(supporting), pick("SUPPORTS", "cue"))
+        .when(F.col("score") >= close, pick("RELATED", "words")).otherwise(pick("CONTEXT", "none"))
+    )
+    return both.select("query_id", "doc_id", "rank", out.alias("x")).select("query_id", "doc_id", "rank", "x.*")
+
+
+def verdicts(judged: DataFrame) -> DataFrame:
+    """(query_id, verdict, n_passages): CONTRADICTED by any refuting passage, else SUPPORTED by any supporting one, else INSUFFICIENT_EVIDENCE."""
+    has = lambda s: F.bool_or(F.col("stance") == s)
+    v = F.when(has("REFUTES"), "CONTRADICTED").when(has("SUPPORTS"), "SUPPORTED").otherwise("INSUFFICIENT_EVIDENCE")
+    return judged.groupBy("query_id").agg(v.alias("verdict"), F.count("*").alias("n_passages"))

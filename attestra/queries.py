@@ -1119,3 +1119,31 @@ def share_lower_bounds(spark: SparkSession, d: str) -> DataFrame:
 def event_properties(spark: SparkSession, d: str) -> DataFrame:
     props = F.from_json("props", "map<string,string>")
     return table(spark, d, "events").where("props is not null").select("event_id", "event_type", F.explode(props).alias("key", "value"))
+
+
+CASES = "(VALUES ('R1', array('energy', 'water'), DATE '1992-01-01', NULL), ('R2', array(), NULL, DATE '2021-12-31'), ('R3', array('waste'), NULL, NULL)) AS r(rule_id, kinds, effective_from, effective_to)"
+
+
+@query(
+    f"SELECT rule_id, claim_type, count(*) AS n FROM (SELECT candidate_id, publication_year, {BEST_SQL} AS claim_type FROM (SELECT candidate_id, publication_year, {fold_sql(sq('text'))} AS m FROM candidates WHERE text IS NOT NULL AND publication_year IS NOT NULL)) "
+    "JOIN (VALUES ('R1', ['energy', 'water'], DATE '1992-01-01', NULL::DATE), ('R2', []::VARCHAR[], NULL, DATE '2021-12-31'), ('R3', ['waste'], NULL, NULL)) AS r(rule_id, kinds, f, t) ON (len(kinds) = 0 OR claim_type IS NULL OR list_contains(kinds, claim_type)) AND coalesce(f <= make_date(publication_year, 12, 31), TRUE) AND coalesce(make_date(publication_year, 12, 31) <= t, TRUE) GROUP BY ALL"
+)
+def rule_applicability(spark: SparkSession, d: str) -> DataFrame:
+    """Rules that name a claim's type, or none, and are in force at the end of its year: claims are counted by type and year first."""
+    own = table(spark, d, "candidates").where("text is not null and publication_year is not null")
+    typed = own.select("publication_year", tx.match_form(F.col("text")).alias("m")).select("publication_year", lexicon.best_bucket(F.col("m"), TYPES).alias("claim_type"))
+    counted = typed.groupBy("publication_year", "claim_type").agg(F.count("*").alias("n")).withColumn("on", F.make_date("publication_year", F.lit(12), F.lit(31)))
+    rules = F.broadcast(spark.sql(f"SELECT rule_id, cast(kinds AS array<string>) AS kinds, effective_from, effective_to FROM {CASES}"))
+    fits = temporal.applies(F.col("kinds"), F.col("claim_type")) & temporal.in_force(F.col("effective_from"), F.col("effective_to"), F.col("on"))
+    return counted.join(rules, fits).groupBy("rule_id", "claim_type").agg(F.sum("n").alias("n"))
+
+
+REFUTING, SUPPORTING, NEGATIONS = ("thiếu", "vi phạm", "lack", "found no"), ("đã đối chiếu", "checked", "confirmed"), ("không", "not", "no")
+
+
+@query()
+def claim_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """Verdicts on the held-out claims from their five best passages."""
+    q = _claims(spark, d)
+    found = cut(evidence.evidence(table(spark, d, "documents"), q))
+    return evidence.verdicts(evidence.stances(q, found, REFUTING, SUPPORTING, NEGATIONS))

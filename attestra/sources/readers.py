@@ -191,3 +191,38 @@ def page_inspection(pages: DataFrame) -> DataFrame:
     """(doc_id, page, text) to page count, native characters, share of scanned pages (under 80 characters) and whether a page needs OCR (under 40)."""
     n = F.length(F.coalesce("text", F.lit("")))
     return pages.groupBy("doc_id").agg(F.count("*").alias("n_pages"), F.sum(n).alias("n_chars"), F.avg((n < 80).cast("int")).alias("scanned_share"), F.count_if(n < 40).alias("n_ocr_pages"))
+
+
+def read_rules(spark: SparkSession, path: str, schema: str, key: str = "rules") -> DataFrame:
+    """The list under a key of a YAML file as a table of a given schema; a field that the schema lacks raises, a missing one is null."""
+    try:
+        import yaml
+    except ImportError as e:
+        raise RuntimeError("reading YAML needs PyYAML") from e
+    with open(path, encoding="utf-8") as f:
+        rows = (yaml.safe_load(f) or {}).get(key) or []
+    fields = spark.createDataFrame([], schema).schema
+    unknown = sorted({k for r in rows for k in r} - set(fields.fieldNames()))
+    if unknown:
+        raise ValueError(f"{path}: unknown fields {', '.join(unknown)}")
+    return spark.createDataFrame([tuple(r.get(n) for n in fields.fieldNames()) for r in rows], fields)
+
+
+def read_case_pack(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Cases (cases/*/case.json), claims (claims.jsonl) and evidence (evidence.jsonl) of a pack, the last two with their case's fields.
+
+    Claims and evidence of an unknown case keep null case fields; evidence of no known claim is kept too.
+    """
+    cases = spark.read.schema("case_id string, organization string, jurisdiction string, split string, case_status string").option("multiLine", "true").json(f"{path}/cases/*/case.json")
+    claims = read_json_lines(spark, f"{path}/claims.jsonl", "claim_id string, case_id string, text string, expected_status string")
+    evidence = read_json_lines(spark, f"{path}/evidence.jsonl", "evidence_id string, case_id string, source_id string, page int, evidence_type string, text string")
+    small = cases.select("case_id", "organization", "split")
+    return cases, claims.join(small, "case_id", "left"), evidence.join(small, "case_id", "left")
+
+
+def read_label_sessions(spark: SparkSession, path: str) -> DataFrame:
+    """Labelled sessions to one row a candidate passage: (claim_id, split, evidence_id, rank, relation); a label by id comes before one by rank."""
+    schema = "claim_id string, split string, evidence_candidates array<struct<rank:int,evidence_id:string,text:string>>, labels struct<verdict:string,evidence:map<string,string>>"
+    rows = read_json_lines(spark, path, schema).select("claim_id", "split", "labels", F.explode("evidence_candidates").alias("c"))
+    by = lambda k: F.try_element_at("labels.evidence", k)
+    return rows.select("claim_id", "split", "c.evidence_id", "c.rank", F.coalesce(by(F.col("c.evidence_id")), by(F.col("c.rank").cast("string"))).alias("relation"))

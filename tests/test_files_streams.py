@@ -137,3 +137,29 @@ def test_compared(spark):
     f = spark.createDataFrame([(1, 10, 1, "đã dùng 12 MWh"), (1, 11, 2, "đã dùng 40 MWh"), (1, 12, 3, "12 ha"), (2, 10, 1, "12 MWh")], "query_id long, doc_id long, rank int, text string")
     got = {(r["query_id"], r["doc_id"]): r["label"] for r in evidence.compared(q, f).collect()}
     assert got == {(1, 10): "S", (1, 11): "C", (1, 12): "N", (2, 10): "N"}
+
+
+def test_stances_and_verdicts(spark):
+    q = spark.createDataFrame([(1, "dùng 12,0 MWh"), (2, "xanh"), (3, "xanh")], "query_id long, text string")
+    f = spark.createDataFrame([(1, 10, 1, 0.9, "đã dùng 40 MWh"), (1, 11, 2, 0.9, "đã dùng 12 MWh"), (2, 10, 1, 0.9, "không vi phạm gì"), (2, 11, 2, 0.1, "được chứng nhận"), (3, 1, 1, 0.9, "xanh")], "query_id long, doc_id long, rank int, score double, text string")
+    s = evidence.stances(q, f, ("vi phạm",), ("chứng nhận",), ("không",))
+    got = {(r["query_id"], r["doc_id"]): (r["stance"], r["method"]) for r in s.collect()}
+    assert got == {(1, 10): ("REFUTES", "figure"), (1, 11): ("SUPPORTS", "figure"), (2, 10): ("RELATED", "words"), (2, 11): ("SUPPORTS", "cue"), (3, 1): ("RELATED", "words")}
+    assert {r["query_id"]: r["verdict"] for r in evidence.verdicts(s).collect()} == {1: "CONTRADICTED", 2: "SUPPORTED", 3: "INSUFFICIENT_EVIDENCE"}
+
+
+def test_packs_sessions_and_rules(spark, tmp_path):
+    (tmp_path / "cases" / "a").mkdir(parents=True)
+    (tmp_path / "cases" / "a" / "case.json").write_text(json.dumps({"case_id": "a", "organization": "o", "split": "test"}, indent=1))
+    (tmp_path / "claims.jsonl").write_text(json.dumps({"claim_id": "1", "case_id": "a", "text": "t"}) + "\n" + json.dumps({"claim_id": "2", "case_id": "zz"}) + "\n")
+    (tmp_path / "evidence.jsonl").write_text(json.dumps({"evidence_id": "e", "case_id": "a", "page": 3}) + "\n")
+    cases, claims, ev = readers.read_case_pack(spark, str(tmp_path))
+    assert cases.count() == 1 and {r["claim_id"]: r["organization"] for r in claims.collect()} == {"1": "o", "2": None} and ev.first()["split"] == "test"
+    row = {"claim_id": "c", "split": "dev", "evidence_candidates": [{"rank": 1, "evidence_id": "x"}, {"rank": 2, "evidence_id": "y"}, {"rank": 3, "evidence_id": "z"}], "labels": {"verdict": "S", "evidence": {"x": "SUPPORTS", "2": "CONTEXT"}}}
+    (tmp_path / "s.jsonl").write_text(json.dumps(row) + "\n")
+    assert {r["evidence_id"]: r["relation"] for r in readers.read_label_sessions(spark, f"{tmp_path}/s.jsonl").collect()} == {"x": "SUPPORTS", "y": "CONTEXT", "z": None}
+    pytest.importorskip("yaml")
+    (tmp_path / "r.yaml").write_text("rules:\n- {rule_id: r1, terms: [a, b]}\n- {rule_id: r2}\n")
+    assert sorted((r["rule_id"], r["terms"]) for r in readers.read_rules(spark, f"{tmp_path}/r.yaml", "rule_id string, terms array<string>").collect()) == [("r1", ["a", "b"]), ("r2", None)]
+    with pytest.raises(ValueError, match="unknown fields terms"):
+        readers.read_rules(spark, f"{tmp_path}/r.yaml", "rule_id string")
