@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -10,6 +11,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Temporary folders of local sessions, by application.
+_OWN: dict[str, str] = {}
+
+
 def local_session(app: str = "attestra", cores: str | int = "*", partitions: int = 8) -> SparkSession:
     """A local session for tests and the bench; a cluster session comes from spark-submit."""
     return ship(
@@ -49,12 +54,18 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``. A local session without it gets a temporary one, a cluster raises."""
     where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="attestra-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
+    if where:
+        return where.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        path = tempfile.mkdtemp(prefix="attestra-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
+        _OWN[app] = "file://" + path
+    return _OWN[app]
 
 
 def cut(df: DataFrame, drop: str | None = None) -> DataFrame:
