@@ -1,18 +1,19 @@
 """New batches of documents against everything accepted before.
 
-A text is cut into chunks at places that its own words choose (a rolling hash over three words), so
-an edit changes only the chunks around it. Chunk hashes with the text that holds them form a table;
-texts that share enough of their chunks are compared in full. Identical texts are one class and are
-never paired with each other. ``batch_repeats`` checks a whole delivery at once, ``History`` keeps
-the chunk table on storage and checks batch by batch.
+A text's distinct three-word runs are dealt by their own hash into chunks, so an edit changes only the
+chunks of the runs that it touches. There are so many chunks that similar texts must have several of
+them whole in common, whatever the edits. Chunk hashes with the text that holds them form a table; texts
+that share enough chunks are compared in full, and no pair of similar texts is missed. Identical texts
+are one class and are never paired with each other. ``batch_repeats`` checks a whole delivery at once,
+``History`` keeps the chunk table on storage and checks batch by batch.
 
 Fixed by the statement of the problem: runs of three words, similarity 0.8, at least 20 words.
 """
 
 from __future__ import annotations
 
-import math
 import uuid
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import reduce
 
@@ -26,15 +27,21 @@ from attestra.llm.words import U, _powers, mix, runs_of, word_hashes
 from attestra.runtime import cut
 
 RUN, SIMILAR, LEAST_WORDS = 3, 0.8, 20
-#: Chunks per text that levels aim at, coarsest level (a boundary every 2**4 words).
-AIM, TOP_LEVEL = 16, 4
-#: Share of a text's repeated chunks of a level, rarest first, that is looked up; at level 0 the exact prefix.
-PREFIX = 0.8
-#: A chunk in more classes than this is looked up together with a second such chunk of the text.
+#: Texts of fewer runs are looked up by single runs (level 0), others by chunks (level 1 and up).
+LEAST_RUNS = 32
+#: A single run in more classes than this is looked up together with a second such run of the text.
 HOT = 16
-#: Candidates of up to so many runs share chunks with at least this share of the smaller text's runs, and so many of
-#: them. Similar texts share more: random edits down to 0.8 leave over 0.6, 0.4, 0.18 and 0.1, in 17, 8, 4 and 6 chunks.
-COVER = ((2 * AIM, 0.0, 1), (4 * AIM, 0.35, 4), (8 * AIM, 0.2, 3), (16 * AIM, 0.12, 3), (math.inf, 0.07, 3))
+#: Largest number of runs of the texts whose level this is (level 1 first). A text similar to one of a level has at
+#: most a quarter more runs, so it is of that level or of the next.
+TOP = [LEAST_RUNS * 5 // 4 - 1]
+while TOP[-1] < 2**31:
+    TOP.append(TOP[-1] * 5 // 4)
+#: Of a text of n runs and a similar one no shorter, at most n / 4 runs are in one of them only, each in one chunk. With
+#: ``SHARE`` chunks more than that, so many chunks at least are equal (of both texts without a run, or the same in both).
+APART = [top // 4 for top in TOP]
+SHARE = [3 * x // 10 + 2 for x in APART]
+#: Equal chunks that a lookup must find; so many fewer than ``SHARE`` of the commonest chunks aren't looked up.
+FOUND = [x // 8 + 1 for x in SHARE]
 #: Ids of candidate texts up to this number are broadcast, more are joined.
 BROADCAST_IDS = 2_000_000
 TEXT_SCHEMA = "id {id}, class binary, runs int, chunks array<struct<h:bigint,n:int,level:int>>"
@@ -76,29 +83,26 @@ def file_key(sha: Column) -> Column:
 # --- texts ---------------------------------------------------------------------------------------
 
 
-def levels(runs: int, similar: float = SIMILAR) -> list[int]:
-    """Levels of a text of so many distinct runs; two texts whose numbers differ by less than ``similar`` share one."""
-    level = lambda x: min(TOP_LEVEL, max(0, math.floor(math.log2(max(x, 1) / AIM))))
-    return sorted({level(runs), level(runs * similar)})
+def levels(runs: int) -> list[int]:
+    """Levels of a text of so many distinct runs: its own and the one below; two similar texts share that of the shorter one."""
+    own = 1 + bisect_left(TOP, runs) if runs >= LEAST_RUNS else 0
+    return [own - 1, own] if own else [0]
 
 
-def chunks(sums: np.ndarray, down: np.ndarray, at: int, runs: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the chunks of the text at word ``at`` and the runs in each; a chunk begins where its run's low bits are zero.
+def chunks(runs: np.ndarray, sums: np.ndarray, level: int) -> tuple[np.ndarray, int]:
+    """Keys of a level's chunks that have a run, and the number of those without; ``runs`` are distinct and sorted.
 
-    ``sums`` are prefix sums over the words of many texts. Chunks under half the level's mean length
-    tell little and are left out.
+    ``sums`` are prefix sums of the mixed runs. The chunk of a run follows from its upper bits, so
+    chunks are stretches of the sorted runs.
     """
-    start = np.flatnonzero((runs & U((1 << level) - 1)) == 0)
-    if not len(start) or start[0]:
-        start = np.concatenate([_ZERO, start])
-    size = np.diff(start, append=len(runs))
-    kept = 2 * size >= 1 << level
-    start, size = start[kept] + at, size[kept]
-    key, first = np.unique((sums[start + size + RUN - 1] - sums[start]) * down[start] + size.astype(U) * U(64) + U(level), return_index=True)
-    return key, size[first]
+    k = APART[level - 1] + SHARE[level - 1]
+    place = ((runs >> U(32)) * U(k)) >> U(32)
+    start = np.flatnonzero(np.concatenate([_TRUE, place[1:] != place[:-1]]))
+    end = np.append(start[1:], len(runs))
+    return sums[end] - sums[start] + place[start] * U(0x9FB21C651E98DF25) + U(level * 0xD1B54A32D192ED03 % (1 << 64)), k - len(start)
 
 
-_ZERO = np.zeros(1, dtype=np.int64)
+_TRUE = np.ones(1, dtype=bool)
 
 
 def _sums(x: np.ndarray, up: np.ndarray) -> np.ndarray:
@@ -110,7 +114,7 @@ def _sums(x: np.ndarray, up: np.ndarray) -> np.ndarray:
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Everything that can be done for many texts at once is: hashes of runs, prefix sums, mixing."""
     for batch in batches:
-        row, count, sizes, keys, ns, at_level, classes = [], [], [0], [], [], [], []
+        row, count, sizes, keys, at_level, classes = [], [], [0], [], [], []
         for first, h, at in word_hashes(batch.column(1).to_pylist()):
             up, down = _powers(max(1 << 21, 1 << (len(h) + 1).bit_length()))
             runs, sums = runs_of(h, RUN), _sums(h, up)
@@ -120,21 +124,30 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             other = _sums(mix(h + U(1)), up)
             classes.append(np.stack([mix((s[b] - s[a]) * down[a] + (b - a).astype(U)) for s in (sums, other)], axis=1))
             for d, i, j in zip(long.tolist(), a.tolist(), b.tolist()):
-                r = runs[i : j - RUN + 1]
-                u = len(np.unique(r))
+                r = np.unique(runs[i : j - RUN + 1])
+                u = len(r)
                 row.append(first + d)
                 count.append(u)
-                n = 0
+                n, total = 0, np.zeros(u + 1, dtype=U)
+                np.cumsum(mix(r), out=total[1:])
+                single = False
                 for level in levels(u):
-                    k, m = chunks(sums, down, i, r, level)
+                    if level == 0:
+                        single = True
+                        continue
+                    k, empty = chunks(r, total, level)
+                    # chunks without a run aren't stored; texts with so many of them that these could be all that is equal are looked up by runs too
+                    single |= empty >= SHARE[level - 1]
                     keys.append(k)
-                    ns.append(m)
-                    at_level.append((level, len(k)))
+                    at_level.append((level, empty, len(k)))
                     n += len(k)
+                if single:
+                    keys.append(r)
+                    at_level.append((0, 0, u))
+                    n += u
                 sizes.append(sizes[-1] + n)
         flat = mix(np.concatenate(keys)).view(np.int64) if keys else np.zeros(0, dtype=np.int64)
-        m = np.concatenate(ns).astype(np.int32) if ns else np.zeros(0, dtype=np.int32)
-        lv = np.repeat(*np.array(at_level, dtype=np.int32).T) if at_level else np.zeros(0, dtype=np.int32)
+        lv, m = (np.repeat(x[:, i], x[:, 2]) for i in (0, 1)) if len(x := np.array(at_level, dtype=np.int32)) else (np.zeros(0, dtype=np.int32),) * 2
         cls = np.concatenate(classes) if classes else np.zeros((0, 2), dtype=U)
         yield pa.RecordBatch.from_arrays(
             [
@@ -171,47 +184,52 @@ def features(texts: DataFrame) -> DataFrame:
 
 
 def chunk_pairs(left: DataFrame, right: DataFrame | None = None, similar: float = SIMILAR) -> DataFrame:
-    """Candidate pairs of classes (a, b) with the words of the rare chunks they share.
+    """Candidate pairs of classes (a, b): all that can be similar, and others that share as many chunks.
 
     ``left`` has (class, runs, chunks), one row each. With ``right`` (class, runs, h, n, level: the chunk table
-    of a history) a is of ``right`` and b of ``left``, else both are of ``left`` and a < b. A text is
-    looked up by its rarest repeated chunks; of the history only rows of those chunks are read on. A
-    chunk held by more than ``HOT`` classes is looked up together with each other such chunk of the text
-    and level: texts that are similar by common chunks only share several, and the pairs stay in
-    proportion to the texts. At level 0 a prefix one longer than exact makes that lossless.
+    of a history) a is of ``right`` and b of ``left``, else both are of ``left`` and a < b. Two similar
+    texts have ``SHARE`` equal chunks of a level, so a text needn't be looked up by its commonest ones:
+    without ``SHARE - FOUND`` of them, ``FOUND`` equal ones remain, less those that have no run in
+    either text (n is the number of a text's chunks without a run; these are the commonest). Of the
+    history only rows of the chunks looked up are read on. Single runs (level 0) go the same way, 80 %
+    of a text's being shared; one held by more than ``HOT`` classes is looked up together with each other such
+    run of the text, for which one run more than needed is kept.
     """
-    sides = [left.select("class", "runs", F.explode("chunks").alias("c"), F.lit(0).alias("side"))]
-    sides = [sides[0].select("class", "runs", "side", "c.h", "c.n", "c.level")]
+    if similar < SIMILAR:
+        raise ValueError(f"chunks are made for a similarity of {SIMILAR} and above")
+    text = F.xxhash64("class").alias("text")
+    sides = [left.select(text, "runs", F.explode("chunks").alias("c"), F.lit(0).alias("side"))]
+    sides = [sides[0].select("text", "runs", "side", "c.h", "c.n", "c.level")]
+    names = left.select(text, "class")
     if right is not None:
         asked = sides[0].select("h").distinct()
-        sides.append(right.select("class", "runs", F.lit(1).alias("side"), "h", "n", "level").join(asked, "h", "left_semi"))
+        sides.append(right.select(text, "runs", F.lit(1).alias("side"), "h", "n", "level").join(asked, "h", "left_semi"))
     rows = reduce(DataFrame.unionByName, sides)
     often = rows.groupBy("h").agg(F.count("*").cast("int").alias("df")).where("df > 1")
-    by_class = Window.partitionBy("class", "side", "level").orderBy("df", "h")
-    total = F.sum("n").over(Window.partitionBy("class", "side", "level"))
-    # a chunk of one class only pairs nothing and isn't counted: edits make such chunks
-    kept = (
-        rows.join(often, "h").withColumn("before", F.sum("n").over(by_class.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
-        .withColumn("total", total)
-        .where((F.col("side") == 1) | (F.col("before") <= F.when(F.col("level") == 0, (1 - similar) * F.col("runs") + 1).otherwise(PREFIX * F.col("total"))))
-        .select("class", "side", "level", "runs", "h", "n", "df")
-    )
-    kept = cut(kept)
-    cold = kept.where(F.col("df") <= HOT).select("class", "side", "runs", F.array(F.struct("h", "n")).alias("c"), F.col("h").alias("key"))
-    hot = kept.where(F.col("df") > HOT)
-    group = ["class", "side", "level"]
-    mate = hot.select(*group, F.col("h").alias("h2"), F.col("n").alias("n2"))
-    both = F.array(F.struct("h", "n"), F.struct(F.col("h2").alias("h"), F.col("n2").alias("n")))
-    two = hot.join(mate, group).where("h < h2").select("class", "side", "runs", both.alias("c"), F.xxhash64("h", "h2").alias("key"))
-    keys = cold.unionByName(two)
-    a = keys.where("side = 1" if right is not None else "true").select("key", F.col("class").alias("a"), F.col("runs").alias("runs_a"))
-    b = keys.where("side = 0").select("key", F.col("class").alias("b"), F.col("runs").alias("runs_b"), "c")
-    pairs = a.join(b, "key").where("a <> b" if right is not None else "a < b")
-    pairs = pairs.where(F.least("runs_a", "runs_b") >= similar * F.greatest("runs_a", "runs_b"))
-    pairs = pairs.groupBy("a", "b").agg(F.array_distinct(F.flatten(F.collect_set("c"))).alias("c"), F.min(F.least("runs_a", "runs_b")).alias("runs"))
-    pairs = pairs.select("a", "b", "runs", F.aggregate("c", F.lit(0), lambda t, x: t + x["n"]).alias("shared_runs"), F.size("c").alias("shared_chunks"))
-    enough = reduce(lambda rest, c: F.when(F.col("runs") < c[0], (F.col("shared_runs") >= c[1] * F.col("runs")) & (F.col("shared_chunks") >= c[2])).otherwise(rest), reversed(COVER), F.lit(True))
-    return pairs.where(enough)
+    # by level: chunks that aren't looked up, those to find, most runs (level 0 follows from the text)
+    rules = [(0, 0, 1, 2**31 - 1), *((i + 1, s - f, f, min(top, 2**31 - 1)) for i, (s, f, top) in enumerate(zip(SHARE, FOUND, TOP)))]
+    rules = F.broadcast(left.sparkSession.createDataFrame(rules, "level int, spare int, found int, top int"))
+    skip = F.when(F.col("level") == 0, F.ceil(similar * F.col("runs") - 1e-6).cast("int") - 2).otherwise(F.col("spare") - F.col("n"))
+    need = F.when(F.col("level") == 0, 1).otherwise(F.col("found") - F.greatest(F.col("n") - F.col("spare"), F.lit(0)))
+    after = F.row_number().over(Window.partitionBy("text", "side", "level").orderBy(F.desc("df"), F.desc("h"))) - 1
+    # a chunk of one class only pairs nothing: edits make such chunks
+    kept = rows.join(often, "h").withColumn("after", after).join(rules, "level").where((F.col("side") == 1) | (F.col("after") >= skip))
+    kept = cut(kept.select("text", "side", "level", "runs", "h", "df", need.cast("int").alias("need"), (F.col("runs") <= F.col("top")).alias("own")))
+    cols = ["text", "side", "level", "runs", "need", "own"]
+    hot = (F.col("level") == 0) & (F.col("df") > HOT) & (F.col("runs") > 1)
+    two = kept.where(hot).join(kept.where(hot).select("text", "side", F.col("h").alias("h2")), ["text", "side"]).where("h < h2")
+    keys = kept.where(~hot).select(*cols, F.col("h").alias("key")).unionByName(two.select(*cols, F.xxhash64("h", "h2").alias("key")))
+    side = lambda x, c: keys.where(c).select("key", "level", *(F.col(k).alias(f"{k}_{x}") for k in ("text", "runs", "need", "own")))
+    pairs = side("a", "side = 1" if right is not None else "true").join(side("b", "side = 0"), ["key", "level"]).where("text_a <> text_b" if right is not None else "text_a < text_b")
+    pairs = pairs.where((F.least("runs_a", "runs_b") >= similar * F.greatest("runs_a", "runs_b") - 1e-6) & ((F.col("level") == 0) | F.col("own_a") | F.col("own_b")))
+    # as many as both texts need
+    pairs = pairs.groupBy("text_a", "text_b", "level").agg(F.count("*").alias("found"), F.max(F.greatest("need_a", "need_b")).alias("need"))
+    pairs = cut(pairs.where("found >= need").select("text_a", "text_b").distinct())
+    if right is not None:
+        held = right.select(text, "class").join(pairs.select(F.col("text_a").alias("text")).distinct(), "text", "left_semi").distinct()
+    name = lambda of, x: of.select(F.col("text").alias(f"text_{x}"), F.col("class").alias(x))
+    pairs = pairs.join(name(names if right is None else held, "a"), "text_a").join(name(names, "b"), "text_b")
+    return pairs.where("a <> b").select(F.col("a"), F.col("b")) if right is not None else pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def near_identical(texts: DataFrame, similar: float = SIMILAR) -> tuple[DataFrame, DataFrame]:

@@ -105,3 +105,28 @@ def test_history_batch_by_batch(spark, tmp_path):
     assert {r["record"]: r["repeats"] for r in two.collect()} == {10: 2, 11: 1, 12: None, 13: 12, 14: None}
     assert store.add(spark.createDataFrame([], schema)).count() == 0
     assert store.accepted().count() == 8
+
+
+def links_and_truth(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    members, links = h.near_identical(df)
+    cls = {r["id"]: bytes(r["class"]) for r in members.collect()}
+    got = {(bytes(r["a"]), bytes(r["b"])) for r in links.collect()}
+    sets = [runs(t) for t in texts]
+    similar = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in range(len(texts)) for j in range(i + 1, len(texts)) if cls[i] != cls[j]}
+    return got, {tuple(sorted((cls[i], cls[j]))): s for (i, j), s in similar.items() if s >= 0.8}
+
+
+def edited(words, places):
+    return " ".join(f"new{k}x{len(words)}" if k in places else w for k, w in enumerate(words))
+
+
+def test_evenly_spaced_edits_lose_no_link(spark):
+    rng = random.Random(5)
+    texts = []
+    for n in (400, 400, 400, 400, 500, 600):
+        for _ in range(12):
+            w = rng.choices([f"v{i}" for i in range(20000)], k=n)
+            texts += [" ".join(w), edited(w, set(range(rng.randrange(4, 24), n, 28)))]
+    got, want = links_and_truth(spark, texts)
+    assert len(want) > 50 and max(want.values()) < 0.83 and got == set(want)
