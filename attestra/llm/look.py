@@ -11,13 +11,14 @@ import functools
 import re
 import unicodedata
 
-# Letters of other scripts drawn like a Latin letter, as (Latin, others).
+# Letters of other alphabets (Cyrillic, Greek, Armenian, Cherokee, Lisu) and of the Latin one
+# itself that are drawn as the letter named first, in its case.
 LOOK_ALIKE = (
-    ("A", "АΑ"), ("B", "ВΒ"), ("C", "СϹ"), ("E", "ЕΕ"), ("H", "НΗ"), ("I", "ІΙӀ"), ("J", "ЈͿ"),
-    ("K", "КΚ"), ("M", "МΜ"), ("N", "Ν"), ("O", "ОΟ"), ("P", "РΡ"), ("Q", "Ԛ"), ("S", "Ѕ"), ("T", "ТΤ"),
-    ("V", "Ѵ"), ("W", "Ԝ"), ("X", "ХΧ"), ("Y", "УΥҮ"), ("Z", "Ζ"),
+    ("A", "АΑᎪꓮ"), ("B", "ВΒᏴꓐ"), ("C", "СϹᏟꓚ"), ("D", "Ꭰꓓ"), ("E", "ЕΕᎬꓰ"), ("F", "ꓝ"), ("G", "Ԍꓖ"), ("H", "НΗᎻꓧ"), ("I", "ІΙӀꓲ"), ("J", "ЈͿᎫꓙ"),
+    ("K", "КΚᏦꓗ"), ("L", "Ꮮꓡ"), ("M", "МΜᎷꓟ"), ("N", "Νꓠ"), ("O", "ОΟꓳ"), ("P", "РΡᏢꓑ"), ("Q", "Ԛ"), ("R", "ꓣ"), ("S", "ЅՏᏚꓢ"), ("T", "ТΤᎢꓔ"),
+    ("U", "Սꓴ"), ("V", "ѴᏙꓦ"), ("W", "ԜᎳꓪ"), ("X", "ХΧꓫ"), ("Y", "УΥҮꓬ"), ("Z", "ΖᏃꓜ"), ("Đ", "ÐƉ"), ("Æ", "Ӕ"), ("Ə", "Ә"),
     ("a", "аɑ"), ("c", "сϲ"), ("d", "ԁ"), ("e", "е"), ("g", "ɡ"), ("h", "һ"), ("i", "і"), ("j", "јϳ"),
-    ("l", "ӏ"), ("o", "оο"), ("p", "р"), ("q", "ԛ"), ("s", "ѕ"), ("v", "νѵ"), ("w", "ԝ"), ("x", "х"), ("y", "у"),
+    ("l", "ӏ"), ("o", "оοօ"), ("p", "р"), ("q", "ԛ"), ("s", "ѕ"), ("u", "ս"), ("v", "νѵ"), ("w", "ԝ"), ("x", "х"), ("y", "у"), ("æ", "ӕ"), ("ə", "ә"),
     ("µ", "μ"), ("-", "‐‑"),
 )
 # Default-ignorable code points outside category Cf, and Cf code points that are drawn.

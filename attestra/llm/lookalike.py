@@ -1,45 +1,61 @@
 """Texts that look the same brought to one form.
 
-A unit is a character with the marks and unseen characters that follow it. Units of the corpus that
-are drawn alike are united (union-find over strings and code points, step by step: width, look-alike
-letter, composition, blanks, unseen characters); the most frequent unit of a class stands for it. A
+A unit is a letter with its marks as written, if both are drawn as one composed character, and else a
+single code point. Unicode bounds the number of units, whatever the corpus. Units that are drawn
+alike are united (union-find over strings and code points, step by step: width, look-alike letter,
+composition, blanks, unseen characters); the most frequent unit of a class stands for it. A
 multi-pattern automaton rewrites the others, the longest match first.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from attestra.llm.look import _odd, fold, relations, unseen
+from attestra.llm.words import points
+from attestra.runtime import cut
 
-#: Units longer than this are rewritten by rule and not through the automaton, which bounds its table.
-UNIT_POINTS = 6
-#: Units held in the automaton: the number of distinct units is that of an alphabet. Beyond it the rule rewrites.
-UNIT_LIMIT = 200_000
 
-
-def _unit_pattern() -> re.Pattern:
+@functools.cache
+def _patterns() -> tuple[re.Pattern, re.Pattern]:
+    """Unseen characters; a line end of two characters, or a letter with marks."""
     hidden = "".join(f"\\U{ord(c):08x}" for c in sorted(unseen()))
     marks = "".join(f"\\U{c:08x}" for c in range(0x300, 0x10000) if unicodedata.combining(chr(c)) or 0xFF9E <= c <= 0xFF9F)
-    return re.compile(f"(?s)\\r\\n|[{hidden}]+(?=[^{hidden}{marks}]|$)|.[{marks}{hidden}]*[{marks}]|.")
+    return re.compile(f"[{hidden}]+"), re.compile(f"(?s)\\r\\n|[^{marks}][{marks}]+|[{marks}]+")
 
 
-_UNITS: list[re.Pattern] = []
+def split_units(text: str) -> tuple[list[str], list[str]]:
+    """(stretches of single code points, units of several) of a text without unseen characters, in turn: one stretch more."""
+    single, several, at = [], [], 0
+    for m in _patterns()[1].finditer(text):
+        unit, before = m.group(), text[at : m.start()]
+        at = m.end()
+        # marks that compose with nothing, or not with all of the letter, are units of their own
+        if unit != "\r\n" and len(form := fold(unit) or unit) > 1:
+            unit, before = form[-1], before + form[:-1]
+        single.append(before)
+        several.append(unit)
+    return [*single, text[at:]], several
 
 
 def units(text: str) -> list[str]:
-    if not _UNITS:
-        _UNITS.append(_unit_pattern())
-    return _UNITS[0].findall(text)
+    """The units of a text, unseen characters left out."""
+    single, several = split_units(_patterns()[0].sub("", text))
+    out = list(single[0])
+    for unit, rest in zip(several, single[1:]):
+        out += (unit, *rest)
+    return out
 
 
 def plain(text: str) -> bool:
@@ -48,11 +64,24 @@ def plain(text: str) -> bool:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: Counter[str] = Counter()
+    alone = np.zeros(0x110000, dtype=np.int64)
+    hidden = _patterns()[0]
     for batch in batches:
+        stretches = []
         for text in batch.column(0).to_pylist():
-            total.update(text if plain(text) else units(text))
-    items = [(u, n) for u, n in total.items() if len(u) <= UNIT_POINTS]
-    yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in items], pa.string()), pa.array([n for _, n in items], pa.int64())], names=["unit", "n"])
+            if not (text.isascii() and text.isprintable()) and _odd().search(text):
+                single, several = split_units(hidden.sub("", text))
+                stretches += single
+                total.update(several)
+            else:
+                stretches.append(text)
+        at = points("".join(stretches))
+        if len(at):
+            counted = np.bincount(at)
+            alone[: len(counted)] += counted
+    seen = np.flatnonzero(alone)
+    total.update({chr(c): int(n) for c, n in zip(seen.tolist(), alone[seen])})
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["unit", "n"])
 
 
 class Alike:
@@ -107,11 +136,9 @@ class Alike:
 
 
 def unit_rewrites(texts: DataFrame, column: str = "text") -> dict[str, str]:
-    """The rewriting table of a corpus. The driver gets one count for each distinct unit, not for each text."""
+    """The rewriting table of a corpus. The driver gets one count for each distinct unit, of which Unicode has a bounded number."""
     counted = texts.select(F.col(column).alias("text")).where("text is not null").mapInArrow(_count, "unit string, n long")
-    counted = counted.groupBy("unit").agg(F.sum("n").alias("n"))
-    rows = counted.orderBy(F.desc("n"), "unit").limit(UNIT_LIMIT).collect()
-    return Alike({r["unit"]: r["n"] for r in rows}).rewrites()
+    return Alike({r["unit"]: r["n"] for r in counted.groupBy("unit").agg(F.sum("n").alias("n")).collect()}).rewrites()
 
 
 class Rewriter:
@@ -131,20 +158,23 @@ class Rewriter:
         self.inverse = inverse
 
     def __call__(self, text: str) -> str:
-        if self.table and (self.ascii or not text.isascii() or not text.isprintable()):
-            out, at = [], 0
-            for end, (n, form) in self.auto.iter_long(text):
-                out += (text[at : end + 1 - n], form)
-                at = end + 1
-            text = "".join(out) + text[at:]
-        if not plain(text):
-            text = "".join(self._rule(u) for u in units(text))
+        if self.ascii or not text.isascii() or not text.isprintable():
+            # a mark right of an unseen character still belongs to the letter left of it
+            text = _patterns()[0].sub("", text)
+            if self.table:
+                out, at = [], 0
+                for end, (n, form) in self.auto.iter_long(text):
+                    out += (text[at : end + 1 - n], form)
+                    at = end + 1
+                text = "".join(out) + text[at:]
+            if not plain(text):
+                text = "".join(map(self._rule, units(text)))
         return text.strip(" ")
 
     def _rule(self, unit: str) -> str:
         form = self.table.get(unit)
         if form is None:
-            form = unit if plain(unit) else (fold(unit) if unit.strip(" ") else unit)
+            form = fold(unit) if unit.strip(" ") else unit
             form = self.inverse.get(form, form)
         return form
 
@@ -173,7 +203,8 @@ def one_form(texts: DataFrame, column: str = "text", table: dict[str, str] | Non
 def same_look(texts: DataFrame, key: str = "cache_id", column: str = "text") -> DataFrame:
     """(key_a, key_b), a < b: rows whose texts have one form but aren't equal. Null and blank texts pair with nothing."""
     own = one_form(texts.select(F.col(key).alias("id"), F.col(column).alias("text")).where("id is not null and text is not null"))
-    own = own.where("one_form <> ''").select("id", F.unhex(F.md5("one_form")).alias("form"), F.unhex(F.md5("text")).alias("exact")).distinct()
+    # written once: the rewriting isn't repeated for the forms that vary and for their rows
+    own = cut(own.where("one_form <> ''").select("id", F.unhex(F.md5("one_form")).alias("form"), F.unhex(F.md5("text")).alias("exact")).distinct())
     varied = own.groupBy("form").agg(F.min("exact").alias("lo"), F.max("exact").alias("hi")).where("lo <> hi").select("form")
     own = own.join(varied, "form")
     a, b = own.select("form", F.col("id").alias("a"), F.col("exact").alias("x")), own.select("form", F.col("id").alias("b"), F.col("exact").alias("y"))

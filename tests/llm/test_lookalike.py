@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import itertools
+import unicodedata
 
 import pytest
 
@@ -56,6 +57,35 @@ def test_empty_and_long(spark):
     assert {tuple(r) for r in l.same_look(frame(spark, [long, "a" * 200_000, long])).collect()} == {(0, 1), (1, 2)}
 
 
-@pytest.mark.parametrize("text", ["", "a", "é", "​", "á̂̃̄̅̆̇̈"])
+@pytest.mark.parametrize("text", ["", "a", "é", "x̣́", "á̂̃̄̅̆̇̈", "á̂", "é́ a\r\nb"])
 def test_units_cover_the_text(text):
-    assert "".join(l.units(text)) == text
+    assert fold("".join(l.units(text))) == fold(text)
+    assert all(len(u) == 1 or len(fold(u)) == 1 for u in l.units(text))
+
+
+def test_many_marks_and_rare_units_follow_the_same_classes(spark):
+    texts = ["x" + "\u0301" * 9, "х" + "\u0301" * 9, "á̂", "á̂", "ạ́", "á̩̣", "ạ̩́", "a\u200b\u0301", "á"]
+    forms = {r["cache_id"]: r["one_form"] for r in l.one_form(frame(spark, texts)).collect()}
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        assert (forms[a] == forms[b]) == (fold(texts[a]) == fold(texts[b])), (texts[a], texts[b])
+
+
+# public confusables that are drawn with a visible difference: (Latin, other)
+VISIBLE = {("a", "α"), ("i", "ı"), ("i", "ɩ"), ("i", "ι"), ("i", "ӏ"), ("o", "σ"), ("p", "ρ"), ("p", "ϱ"), ("y", "ɣ"), ("y", "γ"), ("y", "ү"), ("s", "ƽ"), ("e", "ҽ"), ("v", "υ"), ("Y", "ϒ"), ("M", "Ϻ"), ("J", "Ɉ")}
+
+
+def test_the_relation_has_the_capitals_of_the_public_confusables(spark):
+    checker = spark.sparkContext._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
+    latin = {checker.getSkeleton(c): c for c in "ABCEHIJKMNOPSTXYZĐaceijopsxyv" if c != "I"} | {checker.getSkeleton("l"): None}
+    kind = lambda c: (unicodedata.category(c), len(unicodedata.normalize("NFD", c)))
+    missing = []
+    for c in map(chr, (*range(0xC0, 0x250), *range(0x370, 0x530))):
+        base = latin.get(checker.getSkeleton(c))
+        if base and unicodedata.category(c) == unicodedata.category(base) and kind(c)[1] == 1 and fold(c) != fold(base) and (base, c) not in VISIBLE:
+            missing.append((base, c))
+    assert not missing
+
+
+def test_stroked_d(spark):
+    got = {tuple(r) for r in l.same_look(frame(spark, ["Đồng", "Ðồng", "Ɖồng", "Dồng", "đồng"])).collect()}
+    assert got == {(0, 1), (0, 2), (1, 2)}
