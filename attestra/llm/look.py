@@ -10,6 +10,7 @@ from __future__ import annotations
 import functools
 import re
 import unicodedata
+from collections.abc import Iterable
 
 # Letters of other alphabets (Cyrillic, Greek, Armenian, Cherokee, Lisu) and of the Latin one
 # itself that are drawn as the letter named first, in its case.
@@ -51,6 +52,17 @@ def relations() -> tuple[tuple[str, str], ...]:
     return tuple(pairs)
 
 
+def spans(points: Iterable[int]) -> str:
+    """Code points as the ranges of a pattern's character class."""
+    out: list[list[int]] = []
+    for c in sorted(points):
+        if out and c == out[-1][1] + 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in out)
+
+
 @functools.cache
 def _step() -> dict[int, str]:
     return {ord(b): a for a, b in relations() if len(b) == 1}
@@ -63,14 +75,7 @@ def _odd() -> re.Pattern:
     points += [c for c in range(0x370, 0x10000) if unicodedata.normalize("NFC", chr(c)) != chr(c)]
     # Cyrillic and Greek letters with accents hide a look-alike base
     points += [c for c in (*range(0x370, 0x530), *range(0x1F00, 0x2000)) if unicodedata.decomposition(chr(c))]
-    points = sorted(set(points) - {0x0A})
-    spans: list[list[int]] = []
-    for c in points:
-        if spans and c == spans[-1][1] + 1:
-            spans[-1][1] = c
-        else:
-            spans.append([c, c])
-    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in spans) + "]")
+    return re.compile(f"[{spans(set(points) - {0x0A})}]")
 
 
 def fold(text: str) -> str:

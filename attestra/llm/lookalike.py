@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attestra.llm.look import _odd, fold, relations, unseen
+from attestra.llm.look import _odd, fold, relations, spans, unseen
 from attestra.llm.words import points
 from attestra.runtime import cut
 
@@ -30,8 +30,8 @@ from attestra.runtime import cut
 @functools.cache
 def _patterns() -> tuple[re.Pattern, re.Pattern]:
     """Unseen characters; a line end of two characters, or a letter with marks."""
-    hidden = "".join(f"\\U{ord(c):08x}" for c in sorted(unseen()))
-    marks = "".join(f"\\U{c:08x}" for c in range(0x300, 0x10000) if unicodedata.combining(chr(c)) or 0xFF9E <= c <= 0xFF9F)
+    hidden = spans(map(ord, unseen()))
+    marks = spans(c for c in range(0x300, 0x10000) if unicodedata.combining(chr(c)) or 0xFF9E <= c <= 0xFF9F)
     return re.compile(f"[{hidden}]+"), re.compile(f"(?s)\\r\\n|[^{marks}][{marks}]+|[{marks}]+")
 
 
