@@ -42,7 +42,7 @@ def _consensus(spark: SparkSession, d: str) -> consensus.Consensus:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return consensus.majority(_consensus(spark, d).items)
+    return consensus.majority(_consensus(spark, d).start)
 
 
 def p5_items(spark: SparkSession, d: str) -> DataFrame:
