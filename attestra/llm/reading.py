@@ -1,13 +1,15 @@
 """How demanding a text is to read.
 
 Features of each text (lexical diversity, word rarity in the corpus, connectives, a proxy of clause
-depth, lengths) go into a regularised ordinal regression, fitted on graded texts. Without grades of
-one's own the texts are graded by words a sentence, in the steps of ``GRADES``.
+depth, lengths of text and words) go into a regularised ordinal regression, fitted on graded texts.
+Without grades of one's own the texts are graded by words a sentence, in the steps of ``GRADES``; no
+feature knows where a sentence ends, so that the level is an estimate and not the grade read back.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 
 from attestra.llm import sentences
 from attestra.llm.words import U, word_hashes
-from attestra.runtime import cut
+from attestra.runtime import cut, cut_path, forget
 
 # Connectives, and words that open a subordinate clause.
 CONNECTIVES = (
@@ -29,11 +31,14 @@ SUBORDINATORS = (
 )
 #: Upper bounds of words a sentence of the grades 0 to 3; grade 4 is above.
 GRADES = (10.0, 20.0, 30.0, 45.0)
-#: Word counts are kept by hash bucket, which bounds the table whatever the vocabulary.
-BUCKET_BITS = 18
+#: Bits of surprise of the rarest words. Words are counted exactly; those that make up less than 2 ** -RARE_BITS of all
+#: words are equally rare, so that at most 2 ** RARE_BITS words have a count of their own in the tasks, at any corpus size.
+RARE_BITS = 18
+#: Distinct words that a task holds before it hands their counts on.
+HELD = 1 << 20
 #: Graded texts that the regression is fitted on, at most.
 FIT_ROWS = 4000
-FEATURES = ("log_words", "log_sentence", "word_chars", "diversity", "rarity", "connectives", "clauses")
+FEATURES = ("log_words", "word_chars", "diversity", "rarity", "connectives", "clauses")
 
 
 def _table(words: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
@@ -55,26 +60,46 @@ def _hits(h: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     return found
 
 
-def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(1 << BUCKET_BITS, dtype=np.int64)
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    word, n = np.zeros(0, dtype=U), np.zeros(0, dtype=np.int64)
     for batch in batches:
         for _, h, _ in word_hashes(batch.column(0).to_pylist()):
-            total += np.bincount((h >> U(64 - BUCKET_BITS)).astype(np.int64), minlength=len(total))
-    k = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(total[k])], names=["bucket", "n"])
-
-
-def word_rarity(texts: DataFrame, text: str = "text") -> np.ndarray:
-    """Bits of surprise of each hash bucket's words, from the counts of all texts."""
-    counted = texts.select(F.col(text).alias("text")).where("text is not null").mapInArrow(_bucket_counts, "bucket int, n long")
-    rows = counted.groupBy("bucket").agg(F.sum("n").alias("n")).collect()  # at most 2 ** BUCKET_BITS rows
-    n = np.ones(1 << BUCKET_BITS)
-    for r in rows:
-        n[r["bucket"]] += r["n"]
-    return np.log2(n.sum() / n).astype(np.float32)
-
-
-def features(texts: DataFrame, key: str = "doc_id", text: str = "text", rarity: np.ndarray | None = None) -> DataFrame:
+            more, times = np.unique(h, return_counts=True)
+            both, at = np.unique(np.concatenate([word, more]), return_inverse=True)
+            word, n = both, np.bincount(at, np.concatenate([n, times]), len(both)).astype(np.int64)
+        if len(word) > HELD:
+            yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], names=["word", "n"])
+            word, n = word[:0], n[:0]
+    yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], names=["word", "n"])
+
+
+@dataclass
+class Rarity:
+    """Bits of surprise of the words, as sorted hashes, that aren't rarest."""
+
+    words: np.ndarray
+    bits: np.ndarray
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        if not len(self.words):
+            return np.full(len(h), float(RARE_BITS))
+        at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
+        return np.where(self.words[at] == h, self.bits[at], float(RARE_BITS))
+
+
+def word_rarity(texts: DataFrame, text: str = "text") -> Rarity:
+    """The rarity of words in all texts, from their exact counts."""
+    counted = texts.select(F.col(text).alias("text")).where("text is not null").mapInArrow(_word_counts, "word long, n long")
+    counted = cut(counted.groupBy("word").agg(F.sum("n").alias("n")))
+    total = counted.agg(F.sum("n")).first()[0] or 1
+    rows = counted.where(F.col("n") > total / 2.0**RARE_BITS).collect()  # fewer than 2 ** RARE_BITS rows
+    forget(texts.sparkSession, cut_path(counted))
+    words = np.array([r["word"] for r in rows], dtype=np.int64).view(U)
+    order = np.argsort(words)
+    return Rarity(words[order], np.log2(total / np.array([r["n"] for r in rows], dtype=np.float64))[order])
+
+
+def features(texts: DataFrame, key: str = "doc_id", text: str = "text", rarity: Rarity | None = None) -> DataFrame:
     """(key, text) to one row a text that has a letter: id, n_words, n_sentences and ``FEATURES``.
 
     Null and blank texts and texts without a letter have no row. Whole texts are read.
@@ -84,12 +109,12 @@ def features(texts: DataFrame, key: str = "doc_id", text: str = "text", rarity:
     shared = texts.sparkSession.sparkContext.broadcast(rarity)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, joins, opens = shared.value, _table(CONNECTIVES), _table(SUBORDINATORS)
+        rare_bits, joins, opens = shared.value, _table(CONNECTIVES), _table(SUBORDINATORS)
         for batch in batches:
             texts_ = batch.column(1).to_pylist()
             rows = []
             for first, h, at in word_hashes(texts_):
-                sums = [np.concatenate([[0], np.cumsum(x)]) for x in (bits[(h >> U(64 - BUCKET_BITS)).astype(np.int64)].astype(np.float64), _hits(h, joins), _hits(h, opens))]
+                sums = [np.concatenate([[0], np.cumsum(x)]) for x in (rare_bits(h), _hits(h, joins), _hits(h, opens))]
                 rare, con, sub = ((s[at[1:]] - s[at[:-1]]).tolist() for s in sums)
                 for d in range(len(at) - 1):
                     n = int(at[d + 1] - at[d])
@@ -99,8 +124,8 @@ def features(texts: DataFrame, key: str = "doc_id", text: str = "text", rarity:
                     w, s = sentences.count(t)
                     types = len(np.unique(h[at[d] : at[d + 1]]))
                     commas = t.count(",") + t.count(";") + t.count(":")
-                    rows.append((first + d, w, s, np.log(n), np.log(w / s), (len(t) - t.count(" ")) / n, types / np.sqrt(2 * n), rare[d] / n, con[d] / n, (sub[d] + commas) / s))
-            cols = list(zip(*rows)) or [()] * 10
+                    rows.append((first + d, w, s, np.log(n), (len(t) - t.count(" ")) / n, types / np.sqrt(2 * n), rare[d] / n, con[d] / n, (sub[d] + commas) / n))
+            cols = list(zip(*rows)) or [()] * (3 + len(FEATURES))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), *(pa.array(c, pa.float64()) for c in cols[3:])],
                 names=["id", "n_words", "n_sentences", *FEATURES],
@@ -190,5 +215,3 @@ def reading_levels(texts: DataFrame, key: str = "doc_id", text: str = "text", mo
 def easy_texts(levels: DataFrame, words: float = GRADES[0]) -> DataFrame:
     """Texts with fewer than so many words a sentence."""
     return levels.where(F.col("words_per_sentence") < words)
-
-
