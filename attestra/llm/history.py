@@ -42,8 +42,8 @@ APART = [top // 4 for top in TOP]
 SHARE = [3 * x // 10 + 2 for x in APART]
 #: Equal chunks that a lookup must find; so many fewer than ``SHARE`` of the commonest chunks aren't looked up.
 FOUND = [x // 8 + 1 for x in SHARE]
-#: Ids of candidate texts up to this number are broadcast, more are joined.
-BROADCAST_IDS = 2_000_000
+#: Keys of 24 bytes up to this number are broadcast (under 50 MB as a table in memory), more are joined.
+BROADCAST_IDS = 400_000
 TEXT_SCHEMA = "id {id}, class binary, runs int, chunks array<struct<h:bigint,n:int,level:int>>"
 
 # Query parameters that only track visits.
@@ -187,7 +187,7 @@ def chunk_pairs(left: DataFrame, right: DataFrame | None = None, similar: float
     """Candidate pairs of classes (a, b): all that can be similar, and others that share as many chunks.
 
     ``left`` has (class, runs, chunks), one row each. With ``right`` (class, runs, h, n, level: the chunk table
-    of a history) a is of ``right`` and b of ``left``, else both are of ``left`` and a < b. Two similar
+    of a history) one of the two is of ``left`` and the other of either, else both are of ``left``; a < b. Two similar
     texts have ``SHARE`` equal chunks of a level, so a text needn't be looked up by its commonest ones:
     without ``SHARE - FOUND`` of them, ``FOUND`` equal ones remain, less those that have no run in
     either text (n is the number of a text's chunks without a run; these are the commonest). Of the
@@ -202,8 +202,8 @@ def chunk_pairs(left: DataFrame, right: DataFrame | None = None, similar: float
     sides = [sides[0].select("text", "runs", "side", "c.h", "c.n", "c.level")]
     names = left.select(text, "class")
     if right is not None:
-        asked = sides[0].select("h").distinct()
-        sides.append(right.select(text, "runs", F.lit(1).alias("side"), "h", "n", "level").join(asked, "h", "left_semi"))
+        of_batch = left.select(F.explode("chunks.h").alias("h")).distinct()
+        sides.append(touched(right, of_batch, "h").select(text, "runs", F.lit(1).alias("side"), "h", "n", "level"))
     rows = reduce(DataFrame.unionByName, sides)
     often = rows.groupBy("h").agg(F.count("*").cast("int").alias("df")).where("df > 1")
     # by level: chunks that aren't looked up, those to find, most runs (level 0 follows from the text)
@@ -219,17 +219,25 @@ def chunk_pairs(left: DataFrame, right: DataFrame | None = None, similar: float
     hot = (F.col("level") == 0) & (F.col("df") > HOT) & (F.col("runs") > 1)
     two = kept.where(hot).join(kept.where(hot).select("text", "side", F.col("h").alias("h2")), ["text", "side"]).where("h < h2")
     keys = kept.where(~hot).select(*cols, F.col("h").alias("key")).unionByName(two.select(*cols, F.xxhash64("h", "h2").alias("key")))
-    side = lambda x, c: keys.where(c).select("key", "level", *(F.col(k).alias(f"{k}_{x}") for k in ("text", "runs", "need", "own")))
-    pairs = side("a", "side = 1" if right is not None else "true").join(side("b", "side = 0"), ["key", "level"]).where("text_a <> text_b" if right is not None else "text_a < text_b")
+    side = lambda x, c: keys.where(c).select("key", "level", *(F.col(k).alias(f"{k}_{x}") for k in ("text", "side", "runs", "need", "own")))
+    pairs = side("a", "true").join(side("b", "side = 0"), ["key", "level"]).where("text_a < text_b or (side_a = 1 and text_a <> text_b)")
     pairs = pairs.where((F.least("runs_a", "runs_b") >= similar * F.greatest("runs_a", "runs_b") - 1e-6) & ((F.col("level") == 0) | F.col("own_a") | F.col("own_b")))
+    pairs = pairs.select(F.least("text_a", "text_b").alias("text_a"), F.greatest("text_a", "text_b").alias("text_b"), "side_a", "level", "need_a", "need_b")
     # as many as both texts need
-    pairs = pairs.groupBy("text_a", "text_b", "level").agg(F.count("*").alias("found"), F.max(F.greatest("need_a", "need_b")).alias("need"))
+    pairs = pairs.groupBy("text_a", "text_b", "side_a", "level").agg(F.count("*").alias("found"), F.max(F.greatest("need_a", "need_b")).alias("need"))
     pairs = cut(pairs.where("found >= need").select("text_a", "text_b").distinct())
     if right is not None:
-        held = right.select(text, "class").join(pairs.select(F.col("text_a").alias("text")).distinct(), "text", "left_semi").distinct()
-    name = lambda of, x: of.select(F.col("text").alias(f"text_{x}"), F.col("class").alias(x))
-    pairs = pairs.join(name(names if right is None else held, "a"), "text_a").join(name(names, "b"), "text_b")
-    return pairs.where("a <> b").select(F.col("a"), F.col("b")) if right is not None else pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        ends = pairs.select(F.explode(F.array("text_a", "text_b")).alias("text")).distinct()
+        names = names.unionByName(right.select(text, "class").join(ends, "text", "left_semi")).distinct()
+    name = lambda x: names.select(F.col("text").alias(f"text_{x}"), F.col("class").alias(x))
+    pairs = pairs.join(name("a"), "text_a").join(name("b"), "text_b")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def touched(rows: DataFrame, asked: DataFrame, *on: str) -> DataFrame:
+    """The rows of a stored table whose keys are asked for; a batch's keys travel to the table where they are few enough."""
+    asked = cut(asked)
+    return rows.join(F.broadcast(asked) if asked.count() <= BROADCAST_IDS else asked, list(on), "left_semi")
 
 
 def near_identical(texts: DataFrame, similar: float = SIMILAR) -> tuple[DataFrame, DataFrame]:
@@ -239,19 +247,18 @@ def near_identical(texts: DataFrame, similar: float = SIMILAR) -> tuple[DataFram
     sets of three-word runs. Null texts and texts of fewer than 20 words are in neither; ids may
     repeat with other texts. No pairs are made within a class.
     """
-    spark = texts.sparkSession
     f = cut(features(texts))
     whole = f.groupBy("class").agg(F.min("id").alias("id"), F.first("runs").alias("runs"), F.first("chunks").alias("chunks"))
     pairs = cut(chunk_pairs(whole, similar=similar).select("a", "b"))
     one = f.groupBy("class").agg(F.min("id").alias("id"))
     want = cut(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(one, "class"))
-    sets = _sets(spark, texts, want)
+    sets = _sets(texts, want)
     x, y = sets.select(F.col("class").alias("a"), F.col("set").alias("x")), sets.select(F.col("class").alias("b"), F.col("set").alias("y"))
     links = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_similarity, "a binary, b binary, similar double")
     return f.select("id", "class"), links.where(F.col("similar") >= similar)
 
 
-def _sets(spark: SparkSession, texts: DataFrame, want: DataFrame) -> DataFrame:
+def _sets(texts: DataFrame, want: DataFrame) -> DataFrame:
     """(class, set of run hashes) of the wanted (class, id)."""
     ids = F.broadcast(want) if want.count() <= BROADCAST_IDS else want
     return cut(texts.join(ids, "id").select("class", "text").mapInArrow(_run_sets, "class binary, set binary").dropDuplicates(["class"]))
@@ -297,86 +304,110 @@ def batch_repeats(
 
 
 class History:
-    """Everything accepted so far, on storage: keys, the chunk-to-text table, sets of runs, accepted records.
+    """Everything so far, on storage: keys, the chunk-to-text table, sets of runs, accepted records.
 
     Rows of a batch become visible only when its name is written to the list of commits, after all its
-    tables, so that a batch that failed half-way leaves nothing behind and can be added again.
+    tables, so that a batch that failed half-way leaves nothing behind and can be added again. The
+    tables are narrow (no text is kept), and a batch reads on only the rows that its own keys, chunks
+    and classes touch.
     """
 
     TABLES = {
-        "keys": "by int, key binary, record {id}", "chunks": "class binary, runs int, h bigint, n int, level int", "texts": "class binary, record {id}, set binary", "accepted": "record {id}",
+        "keys": "by int, key binary, record {id}, seq int", "chunks": "class binary, runs int, h bigint, n int, level int", "texts": "class binary, record {id}, seq int, set binary",
+        "accepted": "record {id}, seq int",
     }
 
     def __init__(self, spark: SparkSession, path: str, record_id: str = "crawl_id", id_type: str = "bigint"):
         self.spark, self.path, self.record_id, self.id_type = spark, path.rstrip("/"), record_id, id_type
 
-    def _commits(self) -> list[str]:
+    def _commits(self) -> DataFrame | None:
         try:
-            return [r["batch"] for r in self.spark.read.schema("batch string").parquet(f"{self.path}/commits").distinct().collect()]  # one row a batch
+            return self.spark.read.schema("batch string, seq int").parquet(f"{self.path}/commits")
         except AnalysisException:
-            return []
+            return None
 
     def table(self, name: str) -> DataFrame:
         schema = self.TABLES[name].format(id=self.id_type)
         done = self._commits()
-        if not done:
+        if done is None:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(f"{schema}, batch string").parquet(f"{self.path}/{name}").where(F.col("batch").isin(done)).drop("batch")
+        return self.spark.read.schema(f"{schema}, batch string").parquet(f"{self.path}/{name}").join(done.select("batch"), "batch", "left_semi").drop("batch")
 
     def accepted(self) -> DataFrame:
-        return self.table("accepted")
+        return self.table("accepted").select("record")
 
-    def add(self, batch: DataFrame, similar: float = SIMILAR) -> DataFrame:
-        """(record, repeats): what each record of a batch repeats, null for what is accepted and appended.
+    def add(self, batch: DataFrame, similar: float = SIMILAR, against: str = "accepted") -> DataFrame:
+        """(record, repeats): what each record of a batch repeats, null for what is accepted.
 
         A record repeats an accepted record, or an earlier one (by id) of its own batch, with the same
-        document_id, file hash or address or a near-identical text; the smallest such id of the history
-        is given, else of the batch. Null keys and texts under 20 words match nothing, rows without id
-        are left out. Of the history the key, chunk and set tables are read, no text.
+        document_id, file hash or address or a near-identical text; of several the one of the earliest
+        batch, then of the smallest id. With ``against="all"`` rejected records are looked up too, so
+        that the batches one by one give what ``batch_repeats`` gives for all of them at once. Null keys
+        and texts under 20 words match nothing, rows without id are left out, repeated rows count once.
         """
-        spark = self.spark
-        own = cut(batch.select(F.col(self.record_id).cast(self.id_type).alias("id"), F.trim("document_id").alias("document_id"), file_key(F.col("sha256")).alias("sha256"), address_key(F.col("final_url")).alias("final_url"), "text").where("id is not null"))
+        if against not in ("accepted", "all"):
+            raise ValueError("against is 'accepted' or 'all'")
+        done = self._commits()
+        now = F.lit(done.count() if done is not None else 0)
         cols = ("document_id", "sha256", "final_url")
+        own = batch.select(F.col(self.record_id).cast(self.id_type).alias("id"), F.trim("document_id").alias("document_id"), file_key(F.col("sha256")).alias("sha256"), address_key(F.col("final_url")).alias("final_url"), "text")
+        own = cut(own.where("id is not null"))
         x = F.explode(F.array(*(F.struct(F.lit(i).alias("by"), F.when(F.col(c) != "", F.col(c)).alias("k")) for i, c in enumerate(cols))))
         keys = cut(own.select("id", x.alias("x")).where("x.k is not null").select("id", F.col("x.by").alias("by"), F.unhex(F.md5("x.k")).alias("key")).distinct())
-        old_first = self.table("keys").groupBy("by", "key").agg(F.min("record").alias("old"))
-        new_first = keys.groupBy("by", "key").agg(F.min("id").alias("new"))
-        hits = [keys.join(old_first, ["by", "key"]).select("id", "old", F.lit(None).cast(self.id_type).alias("new"))]
-        hits.append(keys.join(new_first, ["by", "key"]).where("new < id").select("id", F.lit(None).cast(self.id_type).alias("old"), "new"))
+        old = touched(self.table("keys"), keys.select("by", "key").distinct(), "by", "key")
+        at, own_at = F.struct("seq", F.col("record").alias("id")), F.struct(now.alias("seq"), "id")
+        first = old.select("by", "key", at.alias("at")).unionByName(keys.select("by", "key", own_at.alias("at"))).groupBy("by", "key").agg(F.min("at").alias("first"))
+        hits = keys.join(first, ["by", "key"]).select("id", "first")
 
         texts = own.select("id", "text").where("text is not null")
         f = cut(features(texts))
         whole = cut(f.groupBy("class").agg(F.min("id").alias("id"), F.first("runs").alias("runs"), F.first("chunks").alias("chunks")))
-        sets = _sets(spark, texts, whole.select("class", "id"))
-        old_sets = self.table("texts").select("class", "set").dropDuplicates(["class"])
-        inside, across = chunk_pairs(whole, similar=similar).select("a", "b"), chunk_pairs(whole, self.table("chunks"), similar).select("a", "b")
-        asked = cut(across)
-        new_set = lambda n: sets.select(F.col("class").alias(n), F.col("set").alias({"a": "x", "b": "y"}[n]))
-        schema = "a binary, b binary, similar double"
-        old_links = asked.join(old_sets.select(F.col("class").alias("a"), F.col("set").alias("x")), "a").join(new_set("b"), "b").select("a", "b", "x", "y").mapInArrow(_similarity, schema)
-        new_links = inside.join(new_set("a"), "a").join(new_set("b"), "b").select("a", "b", "x", "y").mapInArrow(_similarity, schema).where(F.col("similar") >= similar)
+        sets = _sets(texts, whole.select("class", "id"))
+        pairs = cut(chunk_pairs(whole, self.table("chunks"), similar))
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("class")).unionByName(whole.select("class")).distinct()
+        stored = cut(touched(self.table("texts"), ends, "class"))
+        all_sets = stored.select("class", "set").unionByName(sets).dropDuplicates(["class"])
+        side = lambda c, n: all_sets.select(F.col("class").alias(c), F.col("set").alias(n))
+        links = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(_similarity, "a binary, b binary, similar double").where(F.col("similar") >= similar)
+        earliest = stored.select("class", at.alias("at")).unionByName(whole.select("class", own_at.alias("at"))).groupBy("class").agg(F.min("at").alias("at"))
         same = whole.select(F.col("class").alias("a"), F.col("class").alias("b"))
-        held = self.table("texts").groupBy(F.col("class").alias("a")).agg(F.min("record").alias("old"))
-        old_near = old_links.where(F.col("similar") >= similar).select("a", "b").unionByName(same).join(held, "a").groupBy(F.col("b").alias("class")).agg(F.min("old").alias("old"))
-        first = whole.select(F.col("class").alias("a"), F.col("id").alias("new"))
-        both = new_links.select("a", "b").unionByName(new_links.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(same)
-        new_near = both.join(first, "a").groupBy(F.col("b").alias("class")).agg(F.min("new").alias("new"))
-        near = f.select("id", "class").join(old_near, "class", "left").join(new_near, "class", "left").select("id", "old", F.when(F.col("new") < F.col("id"), F.col("new")).alias("new"))
-        best = reduce(DataFrame.unionByName, [*hits, near]).groupBy("id").agg(F.coalesce(F.min("old"), F.min("new")).alias("repeats"))
-        out = cut(own.select("id").distinct().join(best, "id", "left").select(F.col("id").alias("record"), "repeats"))
-        self._append(out, keys, f, sets)
+        both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(same)
+        near = both.join(earliest.withColumnRenamed("class", "b"), "b").groupBy(F.col("a").alias("class")).agg(F.min("at").alias("first"))
+        best = hits.unionByName(f.select("id", "class").join(near, "class").select("id", "first")).where(F.col("first") < own_at)
+        out = own.select("id").distinct().join(best.groupBy("id").agg(F.min("first").alias("first")), "id", "left")
+        out = cut(out.select(F.col("id").alias("record"), F.col("first.id").alias("repeats")))
+        self._append(out if against == "all" else out.where("repeats is null"), out, now, keys, f, sets, stored)
         return out
 
-    def _append(self, out: DataFrame, keys: DataFrame, f: DataFrame, sets: DataFrame) -> None:
+    def _append(self, kept: DataFrame, out: DataFrame, now: Column, keys: DataFrame, f: DataFrame, sets: DataFrame, stored: DataFrame) -> None:
         name = uuid.uuid4().hex
-        new = out.where("repeats is null").select("record")
-        kept = f.join(new, F.col("id") == F.col("record")).groupBy("class").agg(F.min("record").alias("record"), F.first("runs").alias("runs"), F.first("chunks").alias("chunks"))
+        of = kept.select(F.col("record").alias("id"))
+        new = f.join(of, "id", "left_semi").join(stored.select("class"), "class", "left_anti")
+        new = new.groupBy("class").agg(F.min("id").alias("record"), F.first("runs").alias("runs"), F.first("chunks").alias("chunks"))
         tables = {
-            "keys": keys.join(new, F.col("id") == F.col("record")).select("by", "key", "record"),
-            "chunks": kept.select("class", "runs", F.explode("chunks").alias("c")).select("class", "runs", "c.h", "c.n", "c.level"),
-            "texts": kept.select("class", "record").join(sets, "class"),
-            "accepted": new,
+            "keys": keys.join(of, "id", "left_semi").select("by", "key", F.col("id").alias("record"), now.alias("seq")),
+            "chunks": new.select("class", "runs", F.explode("chunks").alias("c")).select("class", "runs", "c.h", "c.n", "c.level"),
+            "texts": new.select("class", "record", now.alias("seq")).join(sets, "class"),
+            "accepted": out.where("repeats is null").select("record", now.alias("seq")),
         }
         for table, rows in tables.items():
             rows.withColumn("batch", F.lit(name)).write.mode("append").parquet(f"{self.path}/{table}")
-        self.spark.createDataFrame([(name,)], "batch string").write.mode("append").parquet(f"{self.path}/commits")
+        self.spark.range(1).select(F.lit(name).alias("batch"), now.cast("int").alias("seq")).write.mode("append").parquet(f"{self.path}/commits")
+
+
+def deliveries(records: DataFrame, texts: DataFrame, path: str, record_id: str = "crawl_id", arrived: str = "downloaded") -> DataFrame:
+    """(record, earliest) of the batches of ``records`` given to a ``History`` at ``path`` one by one, in the order of batch_no.
+
+    ``records`` and ``texts`` as in ``batch_repeats``, whose rows these are: every record of an earlier
+    batch is looked up, whether it was accepted or not. Records without batch_no come last.
+    """
+    spark = records.sparkSession
+    store = History(spark, path, record_id, records.schema[record_id].dataType.simpleString())
+    own = records.where((F.col("status") == arrived) & F.col(record_id).isNotNull()).select(F.coalesce("batch_no", F.lit(2**31 - 1)).alias("batch_no"), record_id, "document_id", "sha256", "final_url")
+    own = cut(own.join(texts.select(record_id, "text"), record_id, "left"))
+    out = []
+    for n in sorted(r[0] for r in own.select("batch_no").distinct().collect()):  # one row a batch
+        out.append(store.add(own.where(F.col("batch_no") == n), against="all"))
+    if not out:
+        return own.select(F.col(record_id).alias("record"), F.col(record_id).alias("earliest"))
+    return reduce(DataFrame.unionByName, out).where("repeats is not null").select("record", F.col("repeats").alias("earliest")).distinct()

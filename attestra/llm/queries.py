@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestra.llm import chunker, consensus, history, leaks, lookalike, mixture, reading, splits
-from attestra.runtime import table
+from attestra.runtime import shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,6 +38,10 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_repeats(spark, d).select(F.col("earliest").alias("crawl_id_a"), F.col("record").alias("crawl_id_b"))
 
 
+def p4_history(spark: SparkSession, d: str) -> DataFrame:
+    return history.deliveries(table(spark, d, "crawl_documents"), table(spark, d, "documents"), f"{shared_dir(spark)}/attestra/history-{uuid.uuid4().hex}")
+
+
 def _consensus(spark: SparkSession, d: str) -> consensus.Consensus:
     return consensus.consensus(consensus.votes(table(spark, d, "adjudicated_b03")))
 
@@ -98,7 +103,7 @@ def p9_profile(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
-        p1_found, p1_splits, p2_found, p2_pieces, p4_found, p4_repeats, p5_found, p5_items, p5_labelers, p5_agreement, p6_found, p6_one_form,
+        p1_found, p1_splits, p2_found, p2_pieces, p4_found, p4_repeats, p4_history, p5_found, p5_items, p5_labelers, p5_agreement, p6_found, p6_one_form,
         p7_found, p7_leaks, p8_mixture, p8_shares, p9_found, p9_levels, p9_profile,
     )
 }
