@@ -22,6 +22,8 @@ from attestra.llm.sentences import ends
 #: Cost of a cut at the end of a paragraph, line, sentence, word, and inside a word; weight of unevenness.
 PARAGRAPH, LINE, SENTENCE, WORD, INSIDE = 0.0, 0.3, 0.5, 3.0, 12.0
 UNEVEN = 1.0
+#: Values of the profile ``default`` where the settings have none: size, sentences, overlap.
+FALLBACK = (600, 3, 0)
 #: Cost of each sentence too many that a piece touches with its overlap, where none can be avoided.
 CROWDED = 50.0
 _PARAGRAPH = re.compile(r"(?:\r?\n|\r)[^\S\r\n]*(?:(?:\r?\n|\r)\s*)+")
@@ -99,23 +101,26 @@ def _best(n: int, at: list[int], price: list[float], stops: list[int], lim: Limi
     opened = [bisect.bisect_right(stops, p) for p in first]
     known = opened if strict else begun
     endless = float("inf")
+    scale = UNEVEN / even**2
     best, back = [0.0] + [endless] * (len(points) - 1), [0] * len(points)
-    low, scale = 0, UNEVEN / even**2
+    # (end - even - first)^2 without the part that no choice of the begin changes
+    square, slope = [scale * f * f for f in first], [2 * scale * f for f in first]
+    fixed = [square[0]]
+    low = 0
     for j in range(1, len(points)):
         end = points[j]
-        least, need, reach = end - lim.size, reached[j] - lim.sentences, reached[j]
+        least, need = end - lim.size, reached[j] - lim.sentences
         while low < j and (first[low] < least or known[low] < need):
             low += 1
-        top, who, far = endless, 0, end - even
-        for i in range(low, j):
-            c = best[i] + scale * (far - first[i]) ** 2
-            if c < top:
-                if not strict and opened[i] < need:
-                    c += CROWDED * (need - opened[i])
-                    if c >= top:
-                        continue
-                top, who = c, i
-        best[j], back[j] = top + costs[j], who
+        far = end - even
+        if low < j:
+            found = [f - g * far for f, g in zip(fixed[low:j], slope[low:j])]
+            if not strict:
+                found = [c + CROWDED * max(0, need - o) for c, o in zip(found, opened[low:j])]
+            top = min(found)
+            back[j] = low + found.index(top)
+            best[j] = top + scale * far * far + costs[j]
+        fixed.append(best[j] + square[j])
     if best[-1] == endless:
         return None
     out, j = [], len(points) - 1
@@ -130,13 +135,16 @@ def pieces(text: str, lim: Limits) -> list[tuple[int, int]]:
 
     Every piece has at most ``size`` characters and, but for texts where no cut allows it, touches at
     most ``sentences`` sentences; each begins ``overlap`` characters before the end of the one before.
-    An overlap that would leave no room for new text is cut to half the size. Where sentences are so
-    short that the overlap alone holds too many, pieces exceed ``sentences`` by those of the overlap.
+    An overlap of the size or more leaves no room for new text and is taken as one character less than
+    the size; a size under one character raises. Where sentences are so short that the overlap alone
+    holds too many, pieces exceed ``sentences`` by those of the overlap.
     """
+    if lim.size < 1:
+        raise ValueError(f"no piece fits into {lim.size} characters")
     n = len(text)
     if n <= lim.size:
         return [(0, n)]
-    overlap = min(max(0, lim.overlap), lim.size // 2)
+    overlap = min(max(0, lim.overlap), lim.size - 1)
     room = lim.size - overlap
     natural, stops = boundaries(text)
     cuts: list[int] | None = None
@@ -148,7 +156,7 @@ def pieces(text: str, lim: Limits) -> list[tuple[int, int]]:
             break
     if cuts is None:
         cost = natural | {p: INSIDE for p in range(1, n) if p not in natural}
-        cuts = _best(n, sorted(cost), [cost[p] for p in sorted(cost)], stops, Limits(lim.size, n, overlap), overlap, False) or []
+        cuts = _best(n, sorted(cost), [cost[p] for p in sorted(cost)], stops, Limits(lim.size, n, overlap), overlap, False)
     edge = [0, *cuts, n]
     return [(max(0, a - overlap) if a else 0, b) for a, b in zip(edge, edge[1:])]
 
@@ -156,13 +164,14 @@ def pieces(text: str, lim: Limits) -> list[tuple[int, int]]:
 def limits(units: DataFrame, settings: DataFrame) -> DataFrame:
     """The settings' values beside each unit as lim_size, lim_sentences, lim_overlap.
 
-    A null settings_id, one that the settings don't have, and a null value mean the profile ``default``.
+    A null settings_id, one that the settings don't have, and a null value mean the profile ``default``,
+    and what that lacks (as with an empty settings table) means ``FALLBACK``.
     """
     names = ("chunk_size_chars", "max_sentences_per_chunk", "chunk_overlap_chars")
     short = ("lim_size", "lim_sentences", "lim_overlap")
     own = settings.select("settings_id", "profile", *names)
     base = own.where(F.lower(F.trim("profile")) == "default").agg(*(F.min(n).alias(n) for n in names)).first()
-    fallback = dict(zip(names, (base["chunk_size_chars"] or 600, base["max_sentences_per_chunk"] or 3, base["chunk_overlap_chars"] or 0)))
+    fallback = {n: f if base[n] is None else base[n] for n, f in zip(names, FALLBACK)}
     by_id = own.where("settings_id is not null").groupBy("settings_id").agg(*(F.min(n).alias(s) for n, s in zip(names, short)))
     small = F.broadcast(by_id) if settings.count() <= 100_000 else by_id
     out = units.drop(*short).join(small, "settings_id", "left")
