@@ -18,13 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestra.llm.words import U, mix, word_hashes
+from attestra.runtime import cut
 
 SPAN = 12
 #: Positions that each mask ignores.
 MASKS = tuple(tuple(i for i in range(SPAN) if i % 4 == k) for k in range(4))
-#: Words of test items held by a task at once; a larger test set is taken in blocks, one scan each.
-BLOCK_WORDS = 400_000
-_BITS = 22
+#: Words of test items held by a task at once (under 200 MB of seeds); a larger test set is taken in blocks, one scan each.
+BLOCK_WORDS = 1_000_000
 OUT = "doc_id {id}, item_id {item}, run_words int, overlap_words int, same_words int, item_words int"
 
 
@@ -64,8 +64,10 @@ class Items:
         self.key = key_[order]
         self.item = np.concatenate(item)[order] if item else np.zeros(0, dtype=np.int32)
         self.pos = np.concatenate(pos)[order] if pos else np.zeros(0, dtype=np.int32)
-        self.bits = np.zeros(1 << _BITS, dtype=bool)
-        self.bits[(self.key >> U(64 - _BITS)).astype(np.int64)] = True
+        # eight places a seed, so that few windows of the corpus pass by chance
+        self.shift = U(64 - max(16, (8 * len(self.key)).bit_length()))
+        self.bits = np.zeros(1 << (64 - int(self.shift)), dtype=bool)
+        self.bits[(self.key >> self.shift).astype(np.int64)] = True
 
     def hits(self, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Word positions and seeds of the windows, whole inside one text, that have a known seed."""
@@ -74,7 +76,7 @@ class Items:
             return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=U)
         found_p, found_s = [], []
         for s in seeds(h):
-            p = np.flatnonzero(self.bits[(s >> U(64 - _BITS)).astype(np.int64)])
+            p = np.flatnonzero(self.bits[(s >> self.shift).astype(np.int64)])
             k = np.searchsorted(self.key, s[p])
             p = p[(k < len(self.key)) & (self.key[np.minimum(k, len(self.key) - 1)] == s[p])]
             found_p.append(p)
@@ -123,8 +125,9 @@ def leaks(
     the length and the equal words of the best overlap that allows substitutions, ``item_words`` the
     item's length. Null and short texts (under ``SPAN`` words) of either side hit nothing; repeated
     rows of a document or an item give one row; other columns are ignored. The scan is narrow: only
-    the pairs found are shuffled. The items travel to the tasks in blocks of at most ``BLOCK_WORDS``
-    words, whatever their number.
+    the pairs found are shuffled. The items travel to the tasks in blocks of about ``BLOCK_WORDS``
+    words, whatever their number; with more than one block the hits of each are written before the
+    next is read, so that driver and tasks hold one block at a time.
     """
     spark = docs.sparkSession
     own = items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")).where("item_id is not null and text is not null").distinct()
@@ -139,6 +142,9 @@ def leaks(
         rows = part.collect()  # one block of at most about BLOCK_WORDS words
         shared = spark.sparkContext.broadcast(([r["item_id"] for r in rows], [r["text"] for r in rows]))
         one = corpus.mapInArrow(_scan(shared), schema)
+        if blocks > 1:
+            one = cut(one)
+            shared.destroy()
         found = one if found is None else found.unionByName(one)
     return found.groupBy("doc_id", "item_id").agg(
         F.max(F.struct("run_words", "overlap_words", "same_words", "item_words")).alias("b")
