@@ -32,31 +32,24 @@ def entity_names(docs: DataFrame, key: str, text: str, least: int = 3) -> DataFr
     return counts.groupBy(key).agg(F.min_by(F.struct("name", "n"), F.struct(-F.col("n"), F.col("name"))).alias("x")).select(key, "x.*")
 
 
-def held_out(groups: DataFrame, group: str, size: str, share: float, keep: int = 4096) -> DataFrame:
-    """Groups taken out whole: largest first, each if it still fits into ``share`` of the total.
+def held_out(groups: DataFrame, group: str, size: str, share: float) -> DataFrame:
+    """Groups taken out whole: largest first, each if it still fits into ``share`` of the total; of equal size those of the smallest names.
 
-    The fit is sequential by nature. It runs over the ``keep`` largest groups; the others follow in
-    order of size by a running sum in the room that is left, which for groups so small is the same rule.
+    The fit is sequential by nature, but all groups of one size fit alike: as many of them as the room
+    holds. So it runs over the distinct sizes, whose sum is no more than the total, and the driver
+    holds one number for each of them.
     """
-    g = groups.groupBy(group).agg(F.sum(size).alias("n")).where(F.col(group).isNotNull())
-    total = g.agg(F.sum("n")).first()[0] or 0
-    room = total * share
-    top = g.orderBy(F.desc("n"), group).limit(keep).collect()
-    taken = []
-    for r in top:
-        if r["n"] <= room:
-            taken.append((r[group], int(r["n"])))
-            room -= r["n"]
-    spark = groups.sparkSession
-    kind = g.schema[group].dataType.simpleString()
-    out = spark.createDataFrame(taken, f"`{group}` {kind}, n long")
-    if len(top) < keep:
-        return out
-    rest = g.join(spark.createDataFrame([(r[group],) for r in top], f"`{group}` {kind}"), group, "left_anti")
-    run = rest.groupBy("n").agg(F.count("*").alias("c")).withColumn("before", F.sum(F.col("n") * F.col("c")).over(Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)))
+    g = groups.groupBy(group).agg(F.sum(size).cast("long").alias("n")).where(F.col(group).isNotNull())
+    sizes = g.groupBy("n").agg(F.count("*").alias("c")).orderBy(F.desc("n")).collect()
+    room, take = sum(r["n"] * r["c"] for r in sizes) * share, []
+    for r in sizes:
+        fits = min(r["c"], int(room // r["n"])) if r["n"] > 0 else r["c"]
+        room -= fits * r["n"]
+        take.append((r["n"], fits))
+    kept = groups.sparkSession.createDataFrame([t for t in take if t[1]], "n long, fits long")
+    # only a size that fits in part needs an order; the others pass whole
     place = F.row_number().over(Window.partitionBy("n").orderBy(group))
-    fits = rest.join(run.select("n", F.coalesce("before", F.lit(0)).alias("before")), "n").withColumn("end", F.col("before") + place * F.col("n"))
-    return out.unionByName(fits.where(F.col("end") <= room).select(group, F.col("n").cast("long")))
+    return g.join(kept, "n").withColumn("place", place).where(F.col("place") <= F.col("fits")).select(group, "n")
 
 
 def leave_group_out(rows: DataFrame, cell: list[str], group: str, hit: Column) -> DataFrame:

@@ -117,16 +117,26 @@ def bootstrap(rows: DataFrame, value: str, cluster: str | None = None, replicate
     """One row: mean and its percentile interval by Poisson resampling of rows, or of whole clusters.
 
     Each unit is drawn Poisson(1) times in each replicate, from a hash of its name, so no row is
-    collected: a task adds up sums for every replicate, and the driver gets ``replicates`` pairs.
+    collected: a task adds up sums for every replicate, and the driver gets ``replicates`` pairs. Without
+    a cluster equal rows are drawn together, n of them Poisson(n) times, so that neither the order nor
+    the number of partitions changes a draw.
     """
-    unit = F.col(cluster).cast("string") if cluster else F.monotonically_increasing_id().cast("string")
-    own = rows.where(F.col(value).isNotNull()).select(F.xxhash64(F.coalesce(unit, F.lit(""))).alias("u"), F.col(value).cast("double").alias("v"))
+    own = rows.where(F.col(value).isNotNull())
+    if cluster:
+        own = own.select(F.xxhash64(F.coalesce(F.col(cluster).cast("string"), F.lit(""))).alias("u"), F.col(value).cast("double").alias("v"), F.lit(1).cast("long").alias("n"))
+    else:
+        own = own.select(F.xxhash64(*own.columns).alias("u"), F.col(value).cast("double").alias("v")).groupBy("u", "v").agg(F.count("*").alias("n"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         s, n = np.zeros(replicates), np.zeros(replicates)
         cdf = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
         for b in batches:
-            u, v = b["u"].to_numpy().astype(np.uint64), b["v"].to_numpy()
+            many = b["n"].to_numpy() > 1
+            for u, v, size in zip(b["u"][many], b["v"][many], b["n"][many]):
+                k = np.random.Generator(np.random.Philox(key=[int(u) % (1 << 64), seed])).poisson(size, replicates)
+                s += k * v
+                n += k
+            u, v = b["u"].to_numpy()[~many].astype(np.uint64), b["v"].to_numpy()[~many]
             for r in range(replicates):
                 h = (u ^ np.uint64((seed * 1_000_003 + r) * 0x9E3779B97F4A7C15 % (1 << 64))) * np.uint64(0xBF58476D1CE4E5B9)
                 h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)

@@ -113,8 +113,11 @@ def with_context(rows: DataFrame, partition: list[str], order: str, marker: Colu
 
 
 def assertions(x: Column) -> Column:
-    """A sentence split at ``;``, "đồng thời", "trong khi đó" and "mặt khác", if each part has six words and a figure and none begins with one."""
-    marked = F.regexp_replace(x, r"\s*;\s+|\s+(?:đồng thời|trong khi đó|mặt khác)\s+", tx.CUT)
+    """A sentence split at ``;``, "đồng thời", "trong khi đó" and "mặt khác", if each part has six words and a figure and none begins with one.
+
+    The words split only before twelve characters or more without a comma or semicolon.
+    """
+    marked = F.regexp_replace(x, r"\s*;\s+|\s+(?:đồng thời|trong khi đó|mặt khác)\s+(?=[^,;]{12})", tx.CUT)
     parts = F.filter(F.transform(F.split(marked, tx.CUT), lambda p: F.regexp_replace(p, "^[ ,;]+|[ ,;]+$", "")), lambda p: p != "")
     good = F.forall(parts, lambda p: (F.size(F.split(p, r"\s+")) >= 6) & p.rlike(r"\d") & ~p.rlike(r"^\d"))
     return F.when((F.size(parts) > 1) & good, parts).otherwise(F.array(x))

@@ -16,6 +16,8 @@ from attestra.runtime import cut
 K1, B, SQUASH = 1.5, 0.75, 3.0
 #: Distinct query terms up to this number are broadcast, more are joined.
 BROADCAST_TERMS = 1_000_000
+#: A term that no tokeniser gives.
+EVERY = "\x00"
 
 
 def _terms(queries: DataFrame, words: Column) -> DataFrame:
@@ -37,15 +39,14 @@ def bm25(corpus: DataFrame, queries: DataFrame, words=tx.tokens) -> DataFrame:
 
     ``corpus``: doc_id, text; ``queries``: query_id, text. Null texts count as documents without tokens.
     """
-    docs = corpus.select("doc_id", words(F.coalesce("text", F.lit(""))).alias("t"))
-    sized = docs.select("doc_id", "t", F.size("t").alias("len"))
-    whole = sized.agg(F.count("*").alias("n"), F.avg("len").alias("avg")).first()
-    n, avg = max(1, whole["n"]), max(1.0, whole["avg"] or 0.0)
     terms = _small(_terms(queries, words(F.col("text"))))
-    # outer: an inner explode would put a filter on the tokens' number before it, and take the tokens twice
-    counts = sized.select("doc_id", "len", F.explode_outer("t").alias("term")).join(_small(terms.select("term").distinct()), "term", "left_semi")
-    # by text once: counts of its terms, its scores and the first cut to the best of a task need no further shuffle
-    tf = counts.repartition("doc_id").groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
+    docs = corpus.select("doc_id", words(F.coalesce("text", F.lit(""))).alias("t")).select("doc_id", F.size("t").alias("len"), F.explode(F.array_append("t", F.lit(EVERY))).alias("term"))
+    asked = _small(terms.select("term").distinct().unionByName(docs.sparkSession.createDataFrame([(EVERY,)], "term string")))
+    # the texts are read once: a term that every text has carries their number and lengths
+    tf = cut(docs.join(asked, "term", "left_semi").groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf")))
+    whole = tf.where(F.col("term") == EVERY).agg(F.sum("tf").alias("n"), (F.sum(F.col("tf") * F.col("len")) / F.sum("tf")).alias("avg")).first()
+    n, avg = max(1, whole["n"] or 0), max(1.0, whole["avg"] or 0.0)
+    tf = tf.where(F.col("term") != EVERY)
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / avg))
@@ -113,15 +114,38 @@ def dense_cosine(vectors: DataFrame, queries: DataFrame, k: int, block: int = 20
     return out
 
 
-def reciprocal_rank_fusion(lists: DataFrame, k: int = 60) -> DataFrame:
-    """(query_id, doc_id, lexical, semantic) to the fused rank: sum of 1 / (k + rank) of both orders.
+def fused_top(lists: DataFrame, k: int, constant: int = 60) -> DataFrame:
+    """(query_id, doc_id, lexical, semantic) to the ``k`` rows of each query with the largest sum of 1 / (constant + rank) over both orders.
 
-    Ties in an order go to the smaller doc_id; the fused order is by the sum and then doc_id.
+    Ties in an order go to the smaller doc_id; the fused order is by the sum and then doc_id. No window
+    sorts all matches of a query: a row outside the first ``constant + 2 * k`` of both orders can't be
+    among the first k of the sum, so only those rows are ranked. A rank beyond that depth is counted:
+    each row of the list adds one to the place of its query's candidates that it comes before.
     """
+    depth = constant + 2 * k
     by = lambda c: Window.partitionBy("query_id").orderBy(F.desc(c), "doc_id")
-    ranked = lists.withColumns({"lexical_rank": F.row_number().over(by("lexical")), "semantic_rank": F.row_number().over(by("semantic"))})
-    fused = ranked.withColumn("rrf", 1 / (k + F.col("lexical_rank")) + 1 / (k + F.col("semantic_rank")))
-    return fused.withColumn("rank", F.row_number().over(by("rrf")))
+    own = lists.select("query_id", "doc_id", "lexical", "semantic")
+    tops = [own.withColumn("place", F.row_number().over(by(c))).where(F.col("place") <= depth).drop("place") for c in ("lexical", "semantic")]
+    # at most 2 * depth rows a query
+    pool = cut(tops[0].unionByName(tops[1]).distinct())
+    for c in ("lexical", "semantic"):
+        pool = _counted_rank(own, pool, c)
+    fused = pool.withColumn("rrf", 1 / (constant + F.col("lexical_rank")) + 1 / (constant + F.col("semantic_rank")))
+    return fused.withColumn("rank", F.row_number().over(by("rrf"))).where(F.col("rank") <= k)
+
+
+def _counted_rank(rows: DataFrame, pool: DataFrame, score: str) -> DataFrame:
+    """The rank of the pool's rows among all rows of their query, from counts between them."""
+    key = F.struct((-F.col(score)).alias("s"), F.col("doc_id").alias("d"))
+    marks = pool.groupBy("query_id").agg(F.array_sort(F.collect_list(key)).alias("marks"))
+    # of each row the first mark that doesn't come before it
+    found = rows.select("query_id", key.alias("own")).join(_small(marks), "query_id")
+    found = found.select("query_id", (F.size(F.filter("marks", lambda m: m < F.col("own"))) + 1).alias("at")).groupBy("query_id", "at").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("query_id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    place = pool.withColumn("at", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(score), "doc_id")))
+    ahead = found.withColumn("ahead", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    # the row itself is the first that its mark stops
+    return place.join(ahead.select("query_id", "at", "ahead", "n"), ["query_id", "at"]).withColumn(f"{score}_rank", F.col("ahead") + F.col("n")).drop("at", "ahead", "n")
 
 
 def admissible(ranked: DataFrame, least: float = 0.12, floor_k: int = 3) -> DataFrame:

@@ -13,6 +13,10 @@ from attestra.operators import lexicon, passages, quantities, retrieval
 from attestra.runtime import cut
 
 
+#: Passages of the fused ranking that the threshold is put to.
+POOL = 30
+
+
 def claims(docs: DataFrame, types: list[lexicon.Bucket]) -> DataFrame:
     """Claim sentences of (doc_id, text): claim_id, doc_id, passage_id, pos, text, claim_type, n_figures, period, baseline, reject_reason.
 
@@ -21,9 +25,9 @@ def claims(docs: DataFrame, types: list[lexicon.Bucket]) -> DataFrame:
     """
     cut_docs = passages.passages(docs)
     rows = cut_docs.select("doc_id", "passage_id", "block", F.posexplode(tx.split_sentences(F.col("text"))).alias("pos", "text"))
-    rows = rows.withColumn("m", tx.match_form(F.col("text"))).withColumn("claim_type", lexicon.best_bucket(F.col("m"), types))
-    # written before it is filtered: pushed below, the filter would compute the matching form once for each term
-    rows = cut(rows).where("claim_type is not null")
+    # one element of an array binds the matching form, which each term would compute anew otherwise
+    typed = lambda m: F.struct(m.alias("m"), lexicon.best_bucket(m, types).alias("claim_type"))
+    rows = rows.select("*", F.inline(F.filter(F.transform(F.array(tx.match_form(F.col("text"))), typed), lambda x: x["claim_type"].isNotNull())))
     y = tx.years(F.col("text"))
     rows = rows.select(
         tx.stable_id(F.col("passage_id"), F.col("text")).alias("claim_id"), "doc_id", "passage_id", "block", "pos", "text", "claim_type",
@@ -40,13 +44,13 @@ def claims(docs: DataFrame, types: list[lexicon.Bucket]) -> DataFrame:
 
 def evidence(docs: DataFrame, queries: DataFrame, k: int = 5, least: float = 0.12) -> DataFrame:
     """The k passages of the documents that fused ranking puts first for each (query_id, text): query_id, doc_id (of the passage), rank, score, text."""
-    corpus = cut(passages.passages(docs).select(F.col("passage_id").alias("doc_id"), "text").dropDuplicates(["doc_id"]))
+    corpus = passages.passages(docs).select(F.col("passage_id").alias("doc_id"), "text").dropDuplicates(["doc_id"])
     lex = retrieval.bm25(corpus, queries).select("query_id", "doc_id", F.col("score").alias("lexical"))
-    sem = retrieval.jaccard(corpus, queries).select("query_id", "doc_id", F.col("score").alias("semantic"))
-    both = lex.join(sem, ["query_id", "doc_id"], "full").fillna(0.0, ["lexical", "semantic"])
-    fused = retrieval.reciprocal_rank_fusion(both).withColumn("score", 0.55 * F.col("lexical") + 0.45 * F.col("semantic"))
+    sem = retrieval.tfidf_cosine(corpus, queries).select("query_id", "doc_id", F.col("score").alias("semantic"))
+    both = cut(lex.join(sem, ["query_id", "doc_id"], "full").fillna(0.0, ["lexical", "semantic"]))
+    fused = retrieval.fused_top(both, max(k, POOL)).withColumn("score", 0.55 * F.col("lexical") + 0.45 * F.col("semantic"))
     top = retrieval.admissible(fused, least).where(F.col("rank") <= k)
-    return top.select("query_id", "doc_id", "rank", "score", "below_threshold").join(corpus, "doc_id")
+    return cut(top.select("query_id", "doc_id", "rank", "score", "below_threshold")).join(corpus, "doc_id")
 
 
 def compared(queries: DataFrame, found: DataFrame) -> DataFrame:

@@ -58,10 +58,18 @@ def sq(x: str) -> str:
     return SQ.format(x=x)
 
 
+_NARROW = tx.NARROW.replace("'", "''")
+
+
 def fold_sql(x: str) -> str:
     return f"translate(lower({x}), '{tx.FOLD_FROM}', '{tx.FOLD_TO}')"
 
 
+def match_sql(x: str) -> str:
+    """The matching form as the survey has it: plain forms, blanks, lower case, accents off, đ as d."""
+    return "replace(lower(strip_accents(" + sq(f"translate({x}, '{tx.WIDE}', '{_NARROW}')") + ")), 'đ', 'd')"
+
+
 _SENTENCES = (
     "list_filter(list_transform(regexp_split_to_array(regexp_replace(regexp_replace("
     + sq("text")
@@ -73,9 +81,14 @@ def sentences_sql(least: int) -> str:
     return _SENTENCES.replace("@LEAST@", str(least))
 
 
-TOKENS = r"list_filter(regexp_extract_all(lower({x}), '[\p{{L}}\p{{N}}_%+./-]+'), t -> length(t) > 1)"
+
+
+def tokens_sql(x: str) -> str:
+    return f"list_filter(regexp_extract_all({match_sql(x)}, '{tx.TOKEN}'), t -> length(t) > 1)"
+
+
 STOP = "[" + ",".join(f"'{w}'" for w in tx.STOPWORDS) + "]"
-CONTENT = "regexp_extract_all(lower(" + sq("text") + r"), '[\p{L}\p{N}_%]+')"
+CONTENT = f"regexp_extract_all(lower(nfc_normalize(translate(text, '{tx.WIDE}', '{_NARROW}'))), " + r"'[\p{L}\p{N}_%]+')"
 
 # --- sentences, passages, tokens ------------------------------------------------------------------
 
@@ -116,7 +129,7 @@ def claim_evidence_candidates(spark: SparkSession, d: str) -> DataFrame:
     return passages.candidates(table(spark, d, "documents"))
 
 
-@query(f"SELECT candidate_id, len(t)::BIGINT AS n_tokens, len(list_distinct(t))::BIGINT AS n_types FROM (SELECT candidate_id, {TOKENS.format(x='text')} AS t FROM candidates WHERE text IS NOT NULL)")
+@query(f"SELECT candidate_id, len(t)::BIGINT AS n_tokens, len(list_distinct(t))::BIGINT AS n_types FROM (SELECT candidate_id, {tokens_sql('text')} AS t FROM candidates WHERE text IS NOT NULL)")
 def token_counts(spark: SparkSession, d: str) -> DataFrame:
     own = table(spark, d, "candidates").where("text is not null").select("candidate_id", tx.tokens(F.col("text")).alias("t"))
     return own.select("candidate_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct("t")).cast("long").alias("n_types"))
@@ -138,7 +151,7 @@ def content_bigrams(spark: SparkSession, d: str) -> DataFrame:
     return own.select("candidate_id", F.size(tx.content_bigrams(F.col("text"))).cast("long").alias("n_bigrams"))
 
 
-@query(f"SELECT doc_id, md5({fold_sql(sq('text'))}) AS folded FROM documents WHERE text IS NOT NULL")
+@query(f"SELECT doc_id, md5({match_sql('text')}) AS folded FROM documents WHERE text IS NOT NULL")
 def match_form(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where("text is not null").select("doc_id", F.md5(tx.match_form(F.col("text"))).alias("folded"))
 
@@ -159,15 +172,16 @@ def year_mentions(spark: SparkSession, d: str) -> DataFrame:
     return own.select("doc_id", tx.first_year(F.col("text")).alias("first_year"), tx.last_year(F.col("text")).alias("last_year"), F.size(tx.years(F.col("text"))).cast("long").alias("n_years"))
 
 
-HEADING_SQL = r"""
-CASE WHEN regexp_matches(t, '\.{4,}\s*\d+\s*$') THEN 'table_of_contents'
- WHEN regexp_matches(lower(t), '^\s*(?:tấn|tonnes?|tons?|gj|mj|tj|kwh|mwh|gwh|m3|kg|%|tco2e?|ha)\s*[\d(]') THEN 'table_row'
- WHEN contains(t, ' | ') OR regexp_matches(t, '^\s*(?:\d+(?:\.\d+)*|[IVXivx]+|[A-Za-z])\s*[.)|:–—-]\s*\S') OR regexp_matches(t, '^\s*\d+(?:\.\d+)*\s+\p{Lu}{2,}') THEN 'section_label'
- WHEN regexp_matches(t, '(?:^|[^\p{L}])\p{Lu}{2,}[\s&/,-]+\p{Lu}{2,}[\s&/,-]+\p{Lu}{2,}(?:[^\p{L}]|$)') THEN 'caps_run'
- WHEN regexp_matches(t, '\s\d{1,3}\s*$') AND w < 10 AND NOT regexp_matches(lower(t), '\d\s*%|tco2|tấn|kwh|mwh') THEN 'table_of_contents'
- WHEN length(regexp_replace(t, '[^\p{L}]', '', 'g')) >= 3 AND length(regexp_replace(t, '[^\p{Lu}]', '', 'g')) >= length(regexp_replace(t, '[^\p{L}]', '', 'g')) * 0.7 THEN 'all_caps'
- WHEN w < 6 AND NOT regexp_matches(t, '\d') THEN 'too_short'
- WHEN f <> '' AND regexp_matches(f, '^\p{Ll}') AND w < 15 THEN 'fragment' END"""
+HEADING_SQL = f"""
+CASE WHEN regexp_matches(t, '{tx.CONTENTS_DOTS}') THEN 'table_of_contents'
+ WHEN regexp_matches(t, '{tx.INDEX_CODE}') OR regexp_matches({match_sql('t')}, '{tx.UNIT_FIRST}') THEN 'table_row'
+ WHEN contains(t, ' | ') OR regexp_matches(t, '{tx.ITEM_LABEL}') OR regexp_matches(t, '{tx.NUMBERED_CAPITALS}') THEN 'section_label'
+ WHEN regexp_matches(t, '{tx.CAPITALS_RUN}') THEN 'caps_run'
+ WHEN regexp_matches(t, '{tx.PAGE_LAST}') AND w < 10 AND NOT regexp_matches(lower(t), '{tx.MEASURED}') THEN 'table_of_contents'
+ WHEN length(regexp_replace(t, '[^\\p{{L}}]', '', 'g')) >= 3 AND length(regexp_replace(t, '[^\\p{{Lu}}]', '', 'g')) >= length(regexp_replace(t, '[^\\p{{L}}]', '', 'g')) * 0.7 THEN 'all_caps'
+ WHEN w < 6 AND NOT regexp_matches(t, '\\d') THEN 'too_short'
+ WHEN f <> '' AND regexp_matches(f, '^\\p{{Ll}}') AND w < 15 THEN 'fragment'
+ WHEN NOT CASE WHEN {fold_sql('t')} <> lower(t) THEN regexp_matches(lower(t), '{tx.whole_words(tx.PREDICATES_VI)}') ELSE regexp_matches(lower(t), '{tx.whole_words(tx.PREDICATES_EN)}') END THEN 'no_predicate' END"""
 
 
 @query(
@@ -202,7 +216,7 @@ def pattern_lines(spark: SparkSession, d: str) -> DataFrame:
     return own.select("doc_id", "line_no", F.coalesce(tx.secret_kind(F.col("line")), F.lit("number")).alias("kind"))
 
 
-@query("SELECT doc_id, " + " OR ".join(f"contains({fold_sql(sq('text'))}, '{p}')" for p in tx.INJECTIONS) + " AS injected FROM documents WHERE text IS NOT NULL")
+@query("SELECT doc_id, " + " OR ".join(f"contains({match_sql('text')}, '{p}')" for p in tx.INJECTIONS) + " AS injected FROM documents WHERE text IS NOT NULL")
 def injection_flags(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where("text is not null").select("doc_id", tx.injected(F.col("text")).alias("injected"))
 
@@ -243,21 +257,21 @@ def _hits_sql(x: str, terms: tuple[str, ...]) -> str:
 BEST_SQL = "list_max(list_filter([" + ", ".join(f"{{'hits': {_hits_sql('m', b.terms)}, 'priority': {b.priority}, 'name': '{b.name}'}}" for b in TYPES) + "], s -> s.hits > 0)).name"
 
 
-@query(f"SELECT candidate_id, {BEST_SQL} AS claim_type FROM (SELECT candidate_id, {fold_sql(sq('text'))} AS m FROM candidates WHERE text IS NOT NULL)")
+@query(f"SELECT candidate_id, {BEST_SQL} AS claim_type FROM (SELECT candidate_id, {match_sql('text')} AS m FROM candidates WHERE text IS NOT NULL)")
 def lexicon_claim_type(spark: SparkSession, d: str) -> DataFrame:
     own = table(spark, d, "candidates").where("text is not null").select("candidate_id", tx.match_form(F.col("text")).alias("m"))
     return own.select("candidate_id", lexicon.best_bucket(F.col("m"), TYPES).alias("claim_type"))
 
 
 @query(
-    f"SELECT candidate_id, CASE WHEN greatest(v, e) = 0 THEN 'unknown' WHEN v >= e THEN 'vi' ELSE 'en' END AS language FROM (SELECT candidate_id, {_hits_sql('m', LANGUAGES['vi'])} AS v, {_hits_sql('m', LANGUAGES['en'])} AS e FROM (SELECT candidate_id, {fold_sql(sq('text'))} AS m FROM candidates WHERE text IS NOT NULL))"
+    f"SELECT candidate_id, CASE WHEN greatest(v, e) = 0 THEN 'unknown' WHEN v >= e THEN 'vi' ELSE 'en' END AS language FROM (SELECT candidate_id, {_hits_sql('m', LANGUAGES['vi'])} AS v, {_hits_sql('m', LANGUAGES['en'])} AS e FROM (SELECT candidate_id, {match_sql('text')} AS m FROM candidates WHERE text IS NOT NULL))"
 )
 def lexicon_language(spark: SparkSession, d: str) -> DataFrame:
     own = table(spark, d, "candidates").where("text is not null").select("candidate_id", tx.match_form(F.col("text")).alias("m"))
     return own.select("candidate_id", lexicon.vote_language(F.col("m"), LANGUAGES).alias("language"))
 
 
-@query("SELECT candidate_id, CASE " + " ".join("WHEN " + " OR ".join(f"contains(m, '{t}')" for t in b.terms) + f" THEN '{b.name}'" for b in TYPES) + f" END AS bucket FROM (SELECT candidate_id, {fold_sql(sq('text'))} AS m FROM candidates WHERE text IS NOT NULL)")
+@query("SELECT candidate_id, CASE " + " ".join("WHEN " + " OR ".join(f"contains(m, '{t}')" for t in b.terms) + f" THEN '{b.name}'" for b in TYPES) + f" END AS bucket FROM (SELECT candidate_id, {match_sql('text')} AS m FROM candidates WHERE text IS NOT NULL)")
 def lexicon_first_bucket(spark: SparkSession, d: str) -> DataFrame:
     own = table(spark, d, "candidates").where("text is not null").select("candidate_id", tx.match_form(F.col("text")).alias("m"))
     return own.select("candidate_id", lexicon.first_bucket(F.col("m"), TYPES).alias("bucket"))
@@ -342,9 +356,9 @@ def _cache(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _bm25_sql(corpus: str, key: str) -> str:
-    return f"""WITH docs AS (SELECT {key} AS doc_id, {TOKENS.format(x="coalesce(text, '')")} AS t FROM {corpus}),
+    return f"""WITH docs AS (SELECT {key} AS doc_id, {tokens_sql("coalesce(text, '')")} AS t FROM {corpus}),
 stat AS (SELECT count(*) AS n, greatest(1.0, avg(len(t))) AS av FROM docs),
-q AS (SELECT item_id AS query_id, unnest(list_distinct({TOKENS.format(x="text")})) AS term FROM gold_claims),
+q AS (SELECT item_id AS query_id, unnest(list_distinct({tokens_sql("text")})) AS term FROM gold_claims),
 tf AS (SELECT doc_id, l, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS l, unnest(t) AS term FROM docs) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
 s AS (SELECT query_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * l / av))) AS s FROM tf JOIN df USING (term) JOIN q USING (term) CROSS JOIN stat GROUP BY ALL)
@@ -361,7 +375,7 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
 def passages_topk(spark: SparkSession, d: str) -> DataFrame:
     """The five best passages of all documents for each held-out claim."""
     own = passages.passages(table(spark, d, "documents")).select(F.concat_ws(":", F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lpad(F.col("block").cast("string"), 6, "0")).alias("doc_id"), "text")
-    return retrieval.top_k(retrieval.bm25(cut(own), _claims(spark, d)).withColumn("score", F.round("score", 6)), 5)
+    return retrieval.top_k(retrieval.bm25(own, _claims(spark, d)).withColumn("score", F.round("score", 6)), 5)
 
 
 def _grams_sql(x: str) -> str:
@@ -383,8 +397,8 @@ def tfidf_char_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 JACCARD_SQL = f"""SELECT query_id, doc_id, count(*) / (any_value(n) + any_value(m) - count(*)) AS score FROM
-(SELECT doc_id, len(t) AS n, unnest(t) AS term FROM (SELECT cache_id AS doc_id, list_distinct({TOKENS.format(x="coalesce(text, '')")}) AS t FROM text_cache)) JOIN
-(SELECT query_id, len(t) AS m, unnest(t) AS term FROM (SELECT item_id AS query_id, list_distinct({TOKENS.format(x="text")}) AS t FROM gold_claims)) USING (term) GROUP BY query_id, doc_id"""
+(SELECT doc_id, len(t) AS n, unnest(t) AS term FROM (SELECT cache_id AS doc_id, list_distinct({tokens_sql("coalesce(text, '')")}) AS t FROM text_cache)) JOIN
+(SELECT query_id, len(t) AS m, unnest(t) AS term FROM (SELECT item_id AS query_id, list_distinct({tokens_sql("text")}) AS t FROM gold_claims)) USING (term) GROUP BY query_id, doc_id"""
 
 
 @query(f"SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id)::INT AS rank FROM ({JACCARD_SQL}) QUALIFY rank <= 5")
@@ -403,7 +417,8 @@ def dense_cosine_topk(spark: SparkSession, d: str) -> DataFrame:
 def _lists(spark: SparkSession, d: str) -> DataFrame:
     lex = retrieval.bm25(_cache(spark, d), _claims(spark, d)).select("query_id", "doc_id", F.round("score", 6).alias("lexical"))
     sem = retrieval.jaccard(_cache(spark, d), _claims(spark, d)).select("query_id", "doc_id", F.round("score", 6).alias("semantic"))
-    return lex.join(sem, ["query_id", "doc_id"])
+    # written once: tops and counts are both taken from the scores
+    return cut(lex.join(sem, ["query_id", "doc_id"]))
 
 
 RRF_SQL = f"""SELECT *, 1 / (60 + lexical_rank) + 1 / (60 + semantic_rank) AS rrf FROM (SELECT query_id, doc_id, lexical, semantic, row_number() OVER (PARTITION BY query_id ORDER BY lexical DESC, doc_id) AS lexical_rank, row_number() OVER (PARTITION BY query_id ORDER BY semantic DESC, doc_id) AS semantic_rank FROM
@@ -412,19 +427,20 @@ RRF_SQL = f"""SELECT *, 1 / (60 + lexical_rank) + 1 / (60 + semantic_rank) AS rr
 
 @query(f"SELECT query_id, doc_id, rank FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, doc_id)::INT AS rank FROM ({RRF_SQL})) WHERE rank <= 10")
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.reciprocal_rank_fusion(_lists(spark, d)).where("rank <= 10").select("query_id", "doc_id", "rank")
+    return retrieval.fused_top(_lists(spark, d), 10).select("query_id", "doc_id", "rank")
 
 
-@query(f"""WITH r AS (SELECT query_id, doc_id, lexical AS score, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, doc_id) AS rank FROM ({RRF_SQL})),
+@query(f"""WITH r AS (SELECT query_id, doc_id, lexical AS score, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, doc_id) AS rank FROM ({RRF_SQL}) QUALIFY rank <= 30),
 m AS (SELECT *, score >= 0.93 AS passing, count(*) FILTER (score >= 0.93) OVER (PARTITION BY query_id) AS np FROM r), p AS (SELECT *, row_number() OVER (PARTITION BY query_id, passing ORDER BY rank) AS place FROM m)
 SELECT query_id, doc_id, rank::INT AS rank, NOT passing AS below_threshold FROM p WHERE passing OR place <= 3 - np""")
 def admissible_floor(spark: SparkSession, d: str) -> DataFrame:
-    ranked = retrieval.reciprocal_rank_fusion(_lists(spark, d)).withColumnRenamed("lexical", "score")
+    """Of the 30 passages that fused ranking puts first those that reach the threshold, and what fills up to three."""
+    ranked = retrieval.fused_top(_lists(spark, d), 30).withColumnRenamed("lexical", "score")
     return retrieval.admissible(ranked, 0.93, 3).select("query_id", "doc_id", "rank", "below_threshold")
 
 
-PAIR_SQL = f"""WITH c AS (SELECT item_id, company_id, list_distinct({TOKENS.format(x="text")}) AS q FROM gold_claims), e AS (SELECT DISTINCT candidate_id, company_id, text FROM candidates WHERE candidate_type = 'evidence' AND text IS NOT NULL),
-t AS (SELECT candidate_id, company_id, list_distinct({TOKENS.format(x="text")}) AS t FROM e)
+PAIR_SQL = f"""WITH c AS (SELECT item_id, company_id, list_distinct({tokens_sql("text")}) AS q FROM gold_claims), e AS (SELECT DISTINCT candidate_id, company_id, text FROM candidates WHERE candidate_type = 'evidence' AND text IS NOT NULL),
+t AS (SELECT candidate_id, company_id, list_distinct({tokens_sql("text")}) AS t FROM e)
 SELECT item_id, candidate_id, len(list_intersect(q, t))::INT AS shared, row_number() OVER (PARTITION BY item_id ORDER BY len(list_intersect(q, t)) DESC, candidate_id)::INT AS rank FROM c JOIN t USING (company_id) QUALIFY rank <= 5"""
 
 
@@ -887,9 +903,28 @@ def word_diff(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select("candidate_id", F.posexplode(edits.word_diff(F.col("before"), F.col("text"))).alias("pos", "x")).select("candidate_id", "pos", "x.*")
 
 
-@query()
+STATUTE = (
+    "Chương I\nQUY ĐỊNH CHUNG\nĐiều 1 - Phạm vi\nÁp dụng cho mọi cơ sở.\nMục 2. Báo cáo\nĐiều 2. Nghĩa vụ\nCác nghĩa vụ:\n1. Báo cáo\na) hằng năm\nb) khi có lệnh\n2) Nộp phí\n"
+    "PHỤ LỤC I: Mẫu\n1. Dòng đầu\n1. Dòng sau"
+)
+
+
+@query(
+    """SELECT * FROM (VALUES (1, 'art1', 'I', NULL, 'Phạm vi', 'Áp dụng cho mọi cơ sở.'), (1, 'art2', 'I', '2', 'Nghĩa vụ', 'Các nghĩa vụ:'), (1, 'art2.1', 'I', '2', 'Nghĩa vụ', 'Báo cáo'), (1, 'art2.1.a', 'I', '2', 'Nghĩa vụ', 'hằng năm'),
+(1, 'art2.1.b', 'I', '2', 'Nghĩa vụ', 'khi có lệnh'), (1, 'art2.2', 'I', '2', 'Nghĩa vụ', 'Nộp phí'), (1, 'annexI.001', NULL, NULL, 'Mẫu', 'Dòng đầu'), (1, 'annexI.002', NULL, NULL, 'Mẫu', 'Dòng sau')) AS x(doc_id, path, chapter, section, heading, text)"""
+)
 def statute_clauses(spark: SparkSession, d: str) -> DataFrame:
-    return edits.clause_rows(table(spark, d, "documents"))
+    """Clauses of a small statute; the tables hold none."""
+    own = spark.createDataFrame([(1, STATUTE), (2, None), (3, "Không có điều nào.")], "doc_id int, text string")
+    return edits.clause_rows(own).select("doc_id", "path", "chapter", "section", "heading", "text")
+
+
+@query(
+    """SELECT * FROM (VALUES ('art1', 'Điều 1 Luật A'), ('art2', 'Điều 2 Luật A'), ('art2.1', 'khoản 1 Điều 2 Luật A'), ('art2.1.a', 'điểm a khoản 1 Điều 2 Luật A'), ('art2.1.b', 'điểm b khoản 1 Điều 2 Luật A'), ('art2.2', 'khoản 2 Điều 2 Luật A'),
+('annexI.001', 'Phụ lục I Luật A'), ('annexI.002', 'Phụ lục I Luật A')) AS x(path, citation)"""
+)
+def clause_citations(spark: SparkSession, d: str) -> DataFrame:
+    return statute_clauses(spark, d).select("path", edits.clause_citation(F.lit("Luật A"), F.col("path")).alias("citation"))
 
 
 @query()
@@ -1008,7 +1043,7 @@ def figure_places(spark: SparkSession, d: str) -> DataFrame:
     return own.select("quantity_id", corpus.figure_place(F.col("value"), F.col("sentence")).alias("place"))
 
 
-@query(f"SELECT doc_id, array_to_string(list_sort(list_distinct(flatten(list_transform(regexp_extract_all({fold_sql(sq('text'))}, '(?:scope|pham vi)\\s*((?:[123]\\b\\s*(?:,|va\\b|and\\b|&|\\+|-|to\\b|den\\b)?\\s*)+)', 1), r -> regexp_extract_all(r, '[123]'))))), ',') AS scopes FROM documents WHERE text IS NOT NULL")
+@query(f"SELECT doc_id, array_to_string(list_sort(list_distinct(flatten(list_transform(regexp_extract_all({match_sql('text')}, '(?:scope|pham vi)\\s*((?:[123]\\b\\s*(?:,|va\\b|and\\b|&|\\+|-|to\\b|den\\b)?\\s*)+)', 1), r -> regexp_extract_all(r, '[123]'))))), ',') AS scopes FROM documents WHERE text IS NOT NULL")
 def emission_scopes(spark: SparkSession, d: str) -> DataFrame:
     own = table(spark, d, "documents").where("text is not null")
     return own.select("doc_id", F.array_join(tx.emission_scopes(F.col("text")).cast("array<string>"), ",").alias("scopes"))
@@ -1094,11 +1129,21 @@ def unparsed_company_years(spark: SparkSession, d: str) -> DataFrame:
     return pair("crawl_documents").subtract(pair("units"))
 
 
+_RUN_SQL = (
+    f"list_max(list_transform(string_split(array_to_string(list_transform(regexp_split_to_array(regexp_replace(t, '{tx.QUOTED}', ' , ', 'g'), '\\s+'), w -> (CASE WHEN regexp_matches(regexp_replace(w, '{tx.AROUND}', '', 'g'), '"
+    + tx.CAPITALISED.replace("'", "''")
+    + f"') THEN 'C' WHEN regexp_replace(w, '{tx.AROUND}', '', 'g') = '' THEN '' ELSE '|' END) || (CASE WHEN regexp_matches(w, '[,;.:]$') THEN '|' ELSE '' END)), ''), '|'), r -> length(r)))"
+)
+
+
 @query(
-    r"SELECT candidate_id, CASE WHEN i >= 3 OR g >= 2 OR (g >= 1 AND i >= 2) THEN 'layout_glue' WHEN regexp_matches(t, '(?:(?:19|20)\d{2}[\s|,]+){3}') THEN 'layout_glue' "
-    r"WHEN (regexp_matches(t, '[\w.+-]+@[\w-]+\.[\w.]+|\+84[\s\d.]{6,}') OR regexp_matches(lower(t), '(?:điện thoại|tel|fax|hotline)\s*[:.]')) AND len(regexp_split_to_array(t, '\s+')) < 20 THEN 'contact_line' "
-    r"WHEN regexp_matches(t, '^\s*(?:ISO|TCVN|IFRS|ISSB|SASB|TCFD)\s*[\w.-]*\s*:') THEN 'standard_title' WHEN l >= 2 AND NOT regexp_matches(lower(t), 'công ty|tập đoàn|chúng tôi|nhà máy|tuân thủ|thực hiện|the company|the group|comply|complied') THEN 'legal_text' END AS reason "
-    r"FROM (SELECT candidate_id, t, len(regexp_extract_all(t, '(?:^|\s)(\d{1,3})(?:\s|$)', 1)) AS i, len(regexp_extract_all(t, '\b(?:20[1-9]|30[1-9]|4[01]\d)-\d{1,2}\b')) AS g, len(regexp_extract_all(lower(t), 'luật|nghị định|thông tư|quyết định')) AS l FROM (SELECT candidate_id, trim(text) AS t FROM candidates WHERE text IS NOT NULL))"
+    f"""SELECT candidate_id, CASE WHEN i >= 3 OR g >= 2 OR (g >= 1 AND i >= 2) OR regexp_matches(t, '{tx.YEARS_IN_A_ROW}') OR gas >= 4 OR run >= CASE WHEN {fold_sql('t')} <> lower(t) THEN 8 ELSE 6 END THEN 'layout_glue'
+WHEN (regexp_matches(t, '{tx.MAIL_OR_PHONE}') OR regexp_matches(lower(t), '{tx.CONTACT_WORD}')) AND len(regexp_split_to_array(t, '\\s+')) < 20 THEN 'contact_line'
+WHEN regexp_matches(lower(t), '{tx.STANDARD_TITLE}') THEN 'standard_title' WHEN l >= 2 AND NOT regexp_matches(lower(t), '{tx.whole_words(tx.ACTORS)}') THEN 'legal_text' END AS reason
+FROM (SELECT candidate_id, t, len(list_filter(regexp_split_to_array(regexp_replace(regexp_replace(lower(t), '{tx._LABELLED}', ' ', 'g'), '{tx._MEASURE}', ' ', 'g'), '\\s+'), w -> regexp_full_match(w, '[0-9]{{1,3}}'))) AS i,
+len(regexp_extract_all(t, '{tx.GRI_CODE}')) AS g, len(regexp_extract_all(t, '{tx.GASES}', 1)) AS gas, {_RUN_SQL} AS run,
+len(list_filter(regexp_split_to_array(lower(t), '[^\\p{{L}}-]+'), w -> w IN ('luật', 'nđ-cp', 'tt-btc', 'qđ-ttg'))) + len(regexp_extract_all(lower(t), 'nghị định|thông tư|quyết định')) AS l
+FROM (SELECT candidate_id, trim(text) AS t FROM candidates WHERE text IS NOT NULL))"""
 )
 def suspect_reasons(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "candidates").where("text is not null").select("candidate_id", tx.suspect_reason(F.col("text")).alias("reason"))
@@ -1125,7 +1170,7 @@ CASES = "(VALUES ('R1', array('energy', 'water'), DATE '1992-01-01', NULL), ('R2
 
 
 @query(
-    f"SELECT rule_id, claim_type, count(*) AS n FROM (SELECT candidate_id, publication_year, {BEST_SQL} AS claim_type FROM (SELECT candidate_id, publication_year, {fold_sql(sq('text'))} AS m FROM candidates WHERE text IS NOT NULL AND publication_year IS NOT NULL)) "
+    f"SELECT rule_id, claim_type, count(*) AS n FROM (SELECT candidate_id, publication_year, {BEST_SQL} AS claim_type FROM (SELECT candidate_id, publication_year, {match_sql('text')} AS m FROM candidates WHERE text IS NOT NULL AND publication_year IS NOT NULL)) "
     "JOIN (VALUES ('R1', ['energy', 'water'], DATE '1992-01-01', NULL::DATE), ('R2', []::VARCHAR[], NULL, DATE '2021-12-31'), ('R3', ['waste'], NULL, NULL)) AS r(rule_id, kinds, f, t) ON (len(kinds) = 0 OR claim_type IS NULL OR list_contains(kinds, claim_type)) AND coalesce(f <= make_date(publication_year, 12, 31), TRUE) AND coalesce(make_date(publication_year, 12, 31) <= t, TRUE) GROUP BY ALL"
 )
 def rule_applicability(spark: SparkSession, d: str) -> DataFrame:
