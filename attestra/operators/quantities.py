@@ -79,7 +79,9 @@ def published(raw: str) -> tuple[float, float] | None:
 
 def _blanked(text: str) -> str:
     blank = lambda m: " " * len(m.group())
-    return _LOOKS_ONLY.sub(blank, folded(_HEADING.sub(blank, text)))
+    # capitals that are a unit head nothing
+    heading = lambda m: m.group() if _MONEY.match(text, m.end() - 1) or (units.read_unit(text, m.end() - 1) or (1, None))[1] else blank(m)
+    return _LOOKS_ONLY.sub(blank, folded(_HEADING.sub(heading, text)))
 
 
 def _unit(view: str, begin: int, end: int) -> tuple[float, str | None, float]:

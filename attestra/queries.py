@@ -750,6 +750,16 @@ def majority_vote(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.majority(_votes(spark, d), "item_id", "label").withColumn("agreement", F.round("agreement", 6))
 
 
+def verdict_votes(spark: SparkSession, d: str) -> DataFrame:
+    """(item_id, labeler, label) as ``VOTES_SQL``."""
+    return _votes(spark, d)
+
+
+def voted_majority(spark: SparkSession, d: str) -> DataFrame:
+    """(item_id, label, agreement, n_votes) as ``MAJORITY_SQL``."""
+    return evaluate.majority(_votes(spark, d), "item_id", "label")
+
+
 def _gold_pred(spark: SparkSession, d: str) -> DataFrame:
     v = _votes(spark, d)
     return v.where("labeler = 'rv-01'").select("item_id", F.col("label").alias("pred")).join(evaluate.majority(v, "item_id", "label").select("item_id", F.col("label").alias("gold")), "item_id")
