@@ -14,7 +14,7 @@ import math
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import cache, reduce
+from functools import cache, lru_cache, reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -82,6 +82,8 @@ def tidy(text: str | None) -> str:
     """Composed characters, one blank for each run of blanks, no unseen characters."""
     if not text:
         return ""
+    if text.isascii() and text.isprintable():
+        return text.strip() if "  " not in text else " ".join(text.split())
     t = "".join(c for c in unicodedata.normalize("NFC", text) if unicodedata.category(c) != "Cf")
     return re.sub(r"\s+", " ", t).strip()
 
@@ -171,6 +173,13 @@ def whole_unit(text: str) -> tuple[float, str | None, float] | None:
     return got if got and _pattern().match(text).end() == len(text) else None
 
 
+@lru_cache(1 << 16)
+def spelt(field: str | None) -> tuple[float, str | None, float] | None:
+    """``whole_unit`` of a field; the spellings in use are few."""
+    unit = tidy(field)
+    return whole_unit(unit) if unit else None
+
+
 _NUMBERS = re.compile(rf"(?<![\w.,])(?:{NUMBER})(?![\w]*\d)")
 _HEADER = re.compile(r"\(\s*(?:đơn vị(?: tính)?|đvt|unit|units|in)\s*[:：]?\s*([^()]*)\)", re.I)
 
@@ -201,16 +210,15 @@ Reading = tuple[float, str, str]
 
 def text_figure(value_text: str | None, unit_text: str | None, multiplier_text: str | None, sentence: str | None) -> list[Reading]:
     """Readings (amount, kind, where the unit stood) of a figure as text; several where the sentence allows them."""
-    value, unit, times, said = tidy(value_text), tidy(unit_text), tidy(multiplier_text), readings(tidy(sentence))
-    own = whole_unit(unit) if unit else None
-    outer = whole_unit(times) if times else None
+    value = tidy(value_text)
+    own, outer = spelt(unit_text), spelt(multiplier_text)
     factor = outer[0] if outer else 1.0
     m = re.match(rf"[+\-−]?(?:{NUMBER})", value)
     number = parse_number(m.group()) if m else None
     if number is None:
-        if value or not said:
+        if value:
             return []
-        found = [r for r in said if r[2]]
+        found = [r for r in readings(tidy(sentence)) if r[2]]
         return [(n * t * f, k, "sentence") for n, t, k, f in found] if len(found) == 1 else []
     inner = read_unit(value, m.end())
     if own and own[1]:
@@ -221,7 +229,7 @@ def text_figure(value_text: str | None, unit_text: str | None, multiplier_text:
     if outer and outer[1]:
         return [(number * (given[0] if given else 1.0) * outer[2], outer[1], "multiplier")]
     out = []
-    for n, t, k, f in said:
+    for n, t, k, f in readings(tidy(sentence)):
         if k and _same(n, number):
             out.append((number * (given[0] if given else t) * f, k, "sentence"))
     return list(dict.fromkeys(out))
@@ -235,7 +243,7 @@ def number_figure(value: float | None, unit: str | None, sentence: str | None) -
     """
     if value is None or value != value:
         return []
-    own = whole_unit(tidy(unit)) if unit and tidy(unit) else None
+    own = spelt(unit)
     if own and own[1]:
         return [(value * own[0] * own[2], own[1], "field")]
     found = []
@@ -298,13 +306,15 @@ def amounts(ir_figures: DataFrame, numeric_facts: DataFrame) -> DataFrame:
 def same_amounts(read: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """(quantity_id_a, quantity_id_b), a < b, of one key and kind whose amounts differ by ``tolerance`` of the larger at most.
 
+    An amount that isn't unique is not known and matches nothing; ``amounts`` flags it.
+
     Amounts meet in logarithmic bands, so that a group of many records makes no more pairs than match.
     Records with a null key, kind or amount match nothing.
     """
     key = ["company_id", "subject_text", "metric", "period", "kind"]
     width = -math.log(1 - tolerance) * 1.0001
     band = F.when(F.col("amount") == 0, F.lit(0)).otherwise(F.floor(F.log(F.abs("amount")) / width))
-    own = read.dropna(subset=[*key, "amount"]).select("quantity_id", *key, "amount", F.signum("amount").cast("int").alias("sign"), band.alias("band")).distinct()
+    own = read.where("is_unique").dropna(subset=[*key, "amount"]).select("quantity_id", *key, "amount", F.signum("amount").cast("int").alias("sign"), band.alias("band")).distinct()
     a = own.select(*key, "sign", "band", F.col("quantity_id").alias("quantity_id_a"), F.col("amount").alias("x"))
     b = own.select(*key, "sign", F.explode(F.array(*(F.col("band") + d for d in (-1, 0, 1)))).alias("band"), F.col("quantity_id").alias("quantity_id_b"), F.col("amount").alias("y"))
     near = F.abs(F.col("x") - F.col("y")) <= tolerance * F.greatest(F.abs("x"), F.abs("y")) * (1 + 1e-12)

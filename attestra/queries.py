@@ -957,9 +957,16 @@ def claim_evidence(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def inferred_units(spark: SparkSession, d: str) -> DataFrame:
-    """The unit each unit spelling stands for, from recorded values against the numbers printed for the same quantity."""
-    facts = table(spark, d, "lineitem").select("l_suppkey", F.col("l_extendedprice").alias("price"), "l_quantity", (F.col("l_extendedprice") / F.col("l_quantity") * 1000).alias("unit_price"))
-    return units.infer_units(facts, "l_suppkey", {"price": {"full": 1.0}, "l_quantity": {"one": 1.0, "dozen": 12.0}, "unit_price": {"full": 1.0, "thousandth": 0.001}}, {"price": 1.0, "l_quantity": -1.0, "unit_price": -1.0})
+    """The factor that each unit spelling of the numeric facts stands for, from their values against amounts that other records state for the same quantity.
+
+    The spelling itself is not read: recorded value x factor = amount is the identity, and all factors of the unit table compete.
+    """
+    key = ["company_id", "subject_text", "metric", "period"]
+    read = units.amounts(table(spark, d, "ir_figures"), table(spark, d, "numeric_facts").limit(0)).where("amount > 0 and is_unique").select(*key, "amount")
+    own = table(spark, d, "numeric_facts").where("unit is not null and value > 0").select(F.lower(F.trim("unit")).alias("spelling"), *key, "value").distinct()
+    factors = sorted({f for _, by in units.UNITS.values() for f in by})
+    out = units.infer_units(own.join(read, key), "spelling", {"value": {f"{f:.6g}": f for f in factors}, "amount": {"common": 1.0}}, {"value": 1.0, "amount": -1.0})
+    return out.select("spelling", F.col("value_unit").cast("double").alias("factor"), F.round("residual", 6).alias("residual"), "is_unique", "n_rows")
 
 
 # --- corpus views ---------------------------------------------------------------------------------
