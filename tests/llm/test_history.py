@@ -150,6 +150,16 @@ def test_gathered_edits_moved_blocks_and_boilerplate_lose_no_link(spark):
     assert len(want) > 60 * 59 // 2 and got == set(want)
 
 
+def test_texts_of_few_different_runs_and_hot_runs(spark):
+    rng = random.Random(4)
+    texts = ["same " * n for n in range(20, 60)] + ["one two " * n for n in range(10, 40)] + ["a b c " * n for n in range(7, 30)] + ["a b c d " * n + "a " * (n % 3) for n in range(6, 30)]
+    head = [f"h{i}" for i in range(24)]
+    texts += [" ".join(head[: 20 + i % 5] + [f"t{rng.randrange(9)}", f"u{rng.randrange(9)}"]) for i in range(60)]
+    texts += [" ".join([f"p{k}" for k in range(28 + i % 14)]) for i in range(40)] + [" ".join([f"p{k}" for k in range(i % 5, 36)]) for i in range(10)]
+    got, want = links_and_truth(spark, texts)
+    assert len(want) > 300 and got == set(want)
+
+
 def test_batch_by_batch_gives_what_the_whole_delivery_gives(spark, sf, tmp_path):
     from attestra.runtime import table
 
