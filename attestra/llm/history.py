@@ -1,11 +1,11 @@
 """New batches of documents against everything accepted before.
 
-A text's pieces are its distinct three-word runs, cut and known by their content alone. A table holds, of
-each text, its runs of smallest hash: so many that any similar text must have several of them among
-its own, whatever the edits. Texts that share enough of them are compared in full, and no pair of
-similar texts is missed. Identical texts are one class and are never paired with each other.
-``batch_repeats`` checks a whole delivery at once, ``History`` keeps the table on storage and checks
-batch by batch.
+A text's distinct three-word runs are dealt by their own hash into chunks, so an edit changes only the
+chunks of the runs that it touches. There are so many chunks that similar texts must have several of
+them whole in common, whatever the edits. Chunk hashes with the text that holds them form a table; texts
+that share enough chunks are compared in full, and no pair of similar texts is missed. Identical texts
+are one class and are never paired with each other. ``batch_repeats`` checks a whole delivery at once,
+``History`` keeps the chunk table on storage and checks batch by batch.
 
 Fixed by the statement of the problem: runs of three words, similarity 0.8, at least 20 words.
 """
@@ -13,6 +13,7 @@ Fixed by the statement of the problem: runs of three words, similarity 0.8, at l
 from __future__ import annotations
 
 import uuid
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import reduce
 
@@ -26,13 +27,26 @@ from attestra.llm.words import U, _powers, mix, runs_of, word_hashes
 from attestra.runtime import cut
 
 RUN, SIMILAR, LEAST_WORDS = 3, 0.8, 20
-#: Texts of fewer runs are looked up by pairs of hot runs, longer ones by each; between this and a quarter more by both.
+#: Texts of fewer runs are looked up by single runs (level 0), others by chunks (level 1 and up).
 LEAST_RUNS = 32
-#: A run in more classes than this is hot.
+#: A single run in more classes than this is looked up together with a second such run of the text.
 HOT = 16
+#: Largest number of runs of the texts whose level this is (level 1 first). A text similar to one of a level has at
+#: most a quarter more runs, so it is of that level or of the next.
+TOP = [LEAST_RUNS * 5 // 4 - 1]
+while TOP[-1] < 2**31:
+    TOP.append(TOP[-1] * 3 // 2)
+#: Of a text of n runs and a similar one no shorter, at most n / 4 runs are in one of them only, each in one chunk. With
+#: ``SHARE`` chunks more than that, so many chunks at least are equal (of both texts without a run, or the same in both).
+APART = [top // 4 for top in TOP]
+SHARE = [x // 5 + 2 for x in APART]
+#: Equal chunks that a lookup must find; so many fewer than ``SHARE`` of the commonest chunks aren't looked up.
+FOUND = [x // 5 + 1 for x in SHARE]
+#: The last bits of a chunk's key are its level.
+LEVELS = 128
 #: Keys of 24 bytes up to this number are broadcast (under 50 MB as a table in memory), more are joined.
 BROADCAST_IDS = 400_000
-TEXT_SCHEMA = "id {id}, class binary, runs int, chunks array<bigint>"
+TEXT_SCHEMA = "id {id}, class binary, runs int, chunks array<bigint>, empty array<struct<level:int,n:int>>"
 
 # Query parameters that only track visits.
 TRACKING = r"^(utm_[a-z_]*|gclid|fbclid|dclid|gbraid|wbraid|msclkid|yclid|twclid|igshid|mc_cid|mc_eid|_ga|_gl|ref_src)$"
@@ -71,23 +85,32 @@ def file_key(sha: Column) -> Column:
 # --- texts ---------------------------------------------------------------------------------------
 
 
-def shared(runs: Column | int) -> Column | int:
-    """Runs of the table that two similar texts share at least, by the runs of the shorter one."""
-    return F.least(3 + F.floor(runs * 3 / 50), runs) if isinstance(runs, Column) else min(3 + runs * 3 // 50, runs)
+def levels(runs: int) -> list[int]:
+    """Levels of a text of so many distinct runs: its own, and the one below if a similar text may be of that; two similar texts share that of the shorter one."""
+    if runs < LEAST_RUNS:
+        return [0]
+    own = 1 + bisect_left(TOP, runs)
+    return [own - 1, own] if own == 1 or 4 * runs <= 5 * TOP[own - 2] else [own]
 
 
-def wanted(runs: Column) -> Column:
-    """Shared runs that a lookup must find: two, and more the longer the text; one if it has no other."""
-    return F.least(2 + F.floor(runs / 100), runs)
+def chunks(runs: np.ndarray, sums: np.ndarray, level: int) -> tuple[np.ndarray, int]:
+    """Hashes of a level's chunks that have a run, and the number of those without; ``runs`` are distinct and sorted.
 
+    ``sums`` are prefix sums of the mixed runs. The chunk of a run follows from its upper bits, so
+    chunks are stretches of the sorted runs.
+    """
+    k = APART[level - 1] + SHARE[level - 1]
+    place = ((runs >> U(32)) * U(k)) >> U(32)
+    start = np.flatnonzero(np.concatenate([_TRUE, place[1:] != place[:-1]]))
+    end = np.append(start[1:], len(runs))
+    return sums[end] - sums[start] + place[start] * U(0x9FB21C651E98DF25) + U(level * 0xD1B54A32D192ED03 % (1 << 64)), k - len(start)
 
-def held(runs: int) -> int:
-    """Runs of smallest hash that the table holds of a text.
 
-    Of texts that share o of their runs, the n - o + l first in any one order have l in common; two texts of
-    a similarity of 0.8 share at least 0.8 of the longer one's runs.
-    """
-    return min(runs, runs - (4 * runs + 4) // 5 + shared(runs))
+_TRUE = np.ones(1, dtype=bool)
+
+
+def _keyed(hashes: np.ndarray, level: int) -> np.ndarray:
+    return (mix(hashes) & ~U(LEVELS - 1)) | U(level)
 
 
 def _sums(x: np.ndarray, up: np.ndarray) -> np.ndarray:
@@ -97,9 +120,9 @@ def _sums(x: np.ndarray, up: np.ndarray) -> np.ndarray:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Everything that can be done for many texts at once is: hashes of runs, sums that stand for a text's words."""
+    """Hashes of runs and sums that stand for a text's words, for many texts at once; then each text's chunks."""
     for batch in batches:
-        row, count, sizes, keys, classes = [], [], [0], [], []
+        row, count, sizes, keys, classes, empties = [], [], [0], [], [], []
         for first, h, at in word_hashes(batch.column(1).to_pylist()):
             up, down = _powers(max(1 << 21, 1 << (len(h) + 1).bit_length()))
             runs, sums = runs_of(h, RUN), _sums(h, up)
@@ -110,11 +133,28 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             classes.append(np.stack([mix((s[b] - s[a]) * down[a] + (b - a).astype(U)) for s in (sums, other)], axis=1))
             for d, i, j in zip(long.tolist(), a.tolist(), b.tolist()):
                 r = np.unique(runs[i : j - RUN + 1])
+                u = len(r)
                 row.append(first + d)
-                count.append(len(r))
-                keys.append(r[: held(len(r))])
-                sizes.append(sizes[-1] + len(keys[-1]))
-        flat = mix(np.concatenate(keys)).view(np.int64) if keys else np.zeros(0, dtype=np.int64)
+                count.append(u)
+                total = np.zeros(u + 1, dtype=U)
+                np.cumsum(mix(r), out=total[1:])
+                at_levels = levels(u)
+                single, n, empty = at_levels[0] == 0, 0, []
+                for level in at_levels:
+                    if level:
+                        k, none = chunks(r, total, level)
+                        # chunks without a run aren't stored; texts with so many of them that these could be all that is equal are looked up by runs too
+                        single |= none >= SHARE[level - 1]
+                        keys.append(_keyed(k, level))
+                        empty.append({"level": level, "n": none})
+                        n += len(k)
+                if single:
+                    keys.append(_keyed(r, 0))
+                    empty.append({"level": 0, "n": 0})
+                    n += u
+                empties.append(empty)
+                sizes.append(sizes[-1] + n)
+        flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, dtype=np.int64)
         cls = np.concatenate(classes) if classes else np.zeros((0, 2), dtype=U)
         yield pa.RecordBatch.from_arrays(
             [
@@ -122,8 +162,9 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array([c.tobytes() for c in cls], pa.binary()),
                 pa.array(count, pa.int32()),
                 pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat)),
+                pa.array(empties, pa.list_(pa.struct([("level", pa.int32()), ("n", pa.int32())]))),
             ],
-            names=["id", "class", "runs", "chunks"],
+            names=["id", "class", "runs", "chunks", "empty"],
         )
 
 
@@ -151,47 +192,52 @@ def features(texts: DataFrame) -> DataFrame:
 
 
 def chunk_pairs(left: DataFrame, right: DataFrame | None = None, similar: float = SIMILAR) -> DataFrame:
-    """Candidate pairs of classes (a, b), a < b: all that can be similar, and others that share as many runs of the table.
-
-    ``left`` has (class, runs, chunks), one row each. With ``right`` (class, runs, h: the table of a history)
-    one of the two is of ``left`` and the other of either, else both are of ``left``. Two similar texts
-    share ``shared`` runs of the table, so a text needn't be looked up by its commonest ones: without
-    those above ``wanted`` at the length of the shortest similar text, ``wanted`` remain. Runs of one
-    class pair nothing and are dropped first; of the history only rows of the runs looked up are read on.
-    A short text is looked up by its hot runs two by two, of which it has few.
+    """Candidate pairs of classes (a, b), a < b: all that can be similar, and others that share as many chunks.
+
+    ``left`` has (class, runs, chunks, empty), one row each. With ``right`` (class, runs, empty, h: the chunk table
+    of a history) one of the two is of ``left`` and the other of either, else both are of ``left``. Two similar
+    texts have ``SHARE`` equal chunks of a level, so a text needn't be looked up by its commonest ones:
+    without ``SHARE - FOUND`` of them, ``FOUND`` equal ones remain, less those that have no run in
+    either text (``empty`` counts a text's; these are the commonest). Chunks of one class pair nothing and are
+    dropped while a row is a key and a text; of the history only rows of the chunks looked up are read
+    on. Single runs (level 0) go the same way, 80 % of a text's being shared; one held by more than
+    ``HOT`` classes is looked up together with each other such run of the text, for which one run more
+    than needed is kept.
     """
     if similar < SIMILAR:
-        raise ValueError(f"the table is made for a similarity of {SIMILAR} and above")
+        raise ValueError(f"chunks are made for a similarity of {SIMILAR} and above")
     text = F.xxhash64("class").alias("text")
     rows = left.select(text, F.explode("chunks").alias("h"))
-    names = left.select(text, "class", "runs")
+    names = left.select(text, "class", "runs", "empty")
     if right is not None:
         old = cut(touched(right, rows.select("h").distinct(), "h"))
-        names = names.unionByName(old.select(text, "class", "runs")).distinct()
+        names = names.unionByName(old.select(text, "class", "runs", "empty")).dropDuplicates(["text"])
         rows = rows.withColumn("side", F.lit(0)).unionByName(old.select(text, "h", F.lit(1).alias("side")))
-    else:
-        rows = rows.withColumn("side", F.lit(0))
     often = rows.groupBy("h").agg(F.count("*").cast("int").alias("df")).where("df > 1")
-    found = rows.join(often, "h").join(names.select("text", "runs").distinct(), "text")
-    after = F.row_number().over(Window.partitionBy("text", "side").orderBy(F.desc("df"), F.desc("h")))
-    spare = shared(F.ceil(F.col("runs") * 4 / 5 - 1e-6)) - wanted(F.col("runs"))
-    found = found.withColumn("after", after).where((F.col("side") == 1) | (F.col("after") > spare)).select("text", "side", "runs", "h", (F.col("df") > HOT).alias("hot"))
-    kept = cut(found)
-    short, long = F.col("runs") <= LEAST_RUNS * 5 // 4, (F.col("runs") >= LEAST_RUNS) | (F.col("runs") == 1)
-    single = kept.where(~F.col("hot") | long).select("text", "side", "runs", F.col("h").alias("key"), F.when(F.col("hot"), 1).otherwise(0).alias("kind"))
-    pair = kept.where(F.col("hot") & short)
-    pair = pair.join(pair.select("text", "side", F.col("h").alias("h2")), ["text", "side"]).where("h < h2").select("text", "side", "runs", F.xxhash64("h", "h2").alias("key"), F.lit(2).alias("kind"))
-    keys = single.unionByName(pair)
-    one = lambda x, c: keys.where(c).select("key", "kind", *(F.col(k).alias(f"{k}_{x}") for k in ("text", "side", "runs")))
-    pairs = one("a", "true").join(one("b", "side = 0"), ["key", "kind"]).where("text_a < text_b or (side_a = 1 and text_a <> text_b)")
-    pairs = pairs.where(F.least("runs_a", "runs_b") >= similar * F.greatest("runs_a", "runs_b") - 1e-6)
-    ends = [F.least("text_a", "text_b").alias("text_a"), F.greatest("text_a", "text_b").alias("text_b")]
-    counts = pairs.groupBy(*ends, "side_a", F.least("runs_a", "runs_b").alias("runs")).agg(*(F.count_if(F.col("kind") == k).alias(f"n{k}") for k in range(3)))
-    # so many hot runs make n2 pairs; one alone makes none
-    hot = F.greatest(F.col("n1"), F.floor((1 + F.sqrt(1 + 8 * F.col("n2"))) / 2))
-    pairs = cut(counts.where(F.col("n0") + hot >= wanted(F.col("runs"))).select("text_a", "text_b").distinct())
-    ids = names.select("text", "class").distinct()
-    name = lambda x: ids.select(F.col("text").alias(f"text_{x}"), F.col("class").alias(x))
+    found = rows.join(often, "h").withColumn("level", F.col("h").bitwiseAND(LEVELS - 1).cast("int"))
+    found = found if right is not None else found.withColumn("side", F.lit(0))
+    # by level: chunks that aren't looked up, those to find, most runs (level 0 follows from the text)
+    rules = [(0, 0, 1, 2**31 - 1), *((i + 1, s - f, f, min(top, 2**31 - 1)) for i, (s, f, top) in enumerate(zip(SHARE, FOUND, TOP)))]
+    rules = F.broadcast(left.sparkSession.createDataFrame(rules, "level int, spare int, found int, top int"))
+    info = names.select("text", "runs", F.inline("empty")).join(rules, "level")
+    skip = F.when(F.col("level") == 0, F.ceil(similar * F.col("runs") - 1e-6).cast("int") - 2).otherwise(F.col("spare") - F.col("n"))
+    need = F.when(F.col("level") == 0, 1).otherwise(F.col("found") - F.greatest(F.col("n") - F.col("spare"), F.lit(0)))
+    info = info.select("text", "level", "runs", skip.alias("skip"), need.cast("int").alias("need"), (F.col("runs") <= F.col("top")).alias("own"))
+    after = F.row_number().over(Window.partitionBy("text", "side", "level").orderBy(F.desc("df"), F.desc("h"))) - 1
+    kept = found.join(info, ["text", "level"]).withColumn("after", after).where((F.col("side") == 1) | (F.col("after") >= F.col("skip")))
+    kept = cut(kept.select("text", "side", "level", "runs", "h", "df", "need", "own"))
+    cols = ["text", "side", "level", "runs", "need", "own"]
+    hot = (F.col("level") == 0) & (F.col("df") > HOT) & (F.col("runs") > 1)
+    two = kept.where(hot).join(kept.where(hot).select("text", "side", F.col("h").alias("h2")), ["text", "side"]).where("h < h2")
+    keys = kept.where(~hot).select(*cols, F.col("h").alias("key")).unionByName(two.select(*cols, F.xxhash64("h", "h2").alias("key")))
+    side = lambda x, c: keys.where(c).select("key", "level", *(F.col(k).alias(f"{k}_{x}") for k in ("text", "side", "runs", "need", "own")))
+    pairs = side("a", "true").join(side("b", "side = 0"), ["key", "level"]).where("text_a < text_b or (side_a = 1 and text_a <> text_b)")
+    pairs = pairs.where((F.least("runs_a", "runs_b") >= similar * F.greatest("runs_a", "runs_b") - 1e-6) & ((F.col("level") == 0) | F.col("own_a") | F.col("own_b")))
+    pairs = pairs.select(F.least("text_a", "text_b").alias("text_a"), F.greatest("text_a", "text_b").alias("text_b"), "side_a", "level", "need_a", "need_b")
+    # as many as both texts need
+    pairs = pairs.groupBy("text_a", "text_b", "side_a", "level").agg(F.count("*").alias("found"), F.max(F.greatest("need_a", "need_b")).alias("need"))
+    pairs = cut(pairs.where("found >= need").select("text_a", "text_b").distinct())
+    name = lambda x: names.select(F.col("text").alias(f"text_{x}"), F.col("class").alias(x))
     pairs = pairs.join(name("a"), "text_a").join(name("b"), "text_b")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
@@ -210,7 +256,7 @@ def near_identical(texts: DataFrame, similar: float = SIMILAR) -> tuple[DataFram
     repeat with other texts. No pairs are made within a class.
     """
     f = cut(features(texts))
-    whole = f.groupBy("class").agg(F.min("id").alias("id"), F.first("runs").alias("runs"), F.first("chunks").alias("chunks"))
+    whole = f.groupBy("class").agg(F.min("id").alias("id"), F.first("runs").alias("runs"), F.first("chunks").alias("chunks"), F.first("empty").alias("empty"))
     pairs = cut(chunk_pairs(whole, similar=similar).select("a", "b"))
     one = f.groupBy("class").agg(F.min("id").alias("id"))
     want = cut(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(one, "class"))
@@ -275,7 +321,7 @@ class History:
     """
 
     TABLES = {
-        "keys": "by int, key binary, record {id}, seq int", "chunks": "class binary, runs int, h bigint", "texts": "class binary, record {id}, seq int, set binary",
+        "keys": "by int, key binary, record {id}, seq int", "chunks": "class binary, runs int, empty array<struct<level:int,n:int>>, h bigint", "texts": "class binary, record {id}, seq int, set binary",
         "accepted": "record {id}, seq int",
     }
 
@@ -323,7 +369,7 @@ class History:
 
         texts = own.select("id", "text").where("text is not null")
         f = cut(features(texts))
-        whole = cut(f.groupBy("class").agg(F.min("id").alias("id"), F.first("runs").alias("runs"), F.first("chunks").alias("chunks")))
+        whole = cut(f.groupBy("class").agg(F.min("id").alias("id"), F.first("runs").alias("runs"), F.first("chunks").alias("chunks"), F.first("empty").alias("empty")))
         sets = _sets(texts, whole.select("class", "id"))
         pairs = cut(chunk_pairs(whole, self.table("chunks"), similar))
         ends = pairs.select(F.explode(F.array("a", "b")).alias("class")).unionByName(whole.select("class")).distinct()
@@ -345,10 +391,10 @@ class History:
         name = uuid.uuid4().hex
         of = kept.select(F.col("record").alias("id"))
         new = f.join(of, "id", "left_semi").join(stored.select("class"), "class", "left_anti")
-        new = new.groupBy("class").agg(F.min("id").alias("record"), F.first("runs").alias("runs"), F.first("chunks").alias("chunks"))
+        new = new.groupBy("class").agg(F.min("id").alias("record"), F.first("runs").alias("runs"), F.first("chunks").alias("chunks"), F.first("empty").alias("empty"))
         tables = {
             "keys": keys.join(of, "id", "left_semi").select("by", "key", F.col("id").alias("record"), now.alias("seq")),
-            "chunks": new.select("class", "runs", F.explode("chunks").alias("h")),
+            "chunks": new.select("class", "runs", "empty", F.explode("chunks").alias("h")),
             "texts": new.select("class", "record", now.alias("seq")).join(sets, "class"),
             "accepted": out.where("repeats is null").select("record", now.alias("seq")),
         }
