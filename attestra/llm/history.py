@@ -35,13 +35,13 @@ HOT = 16
 #: most a quarter more runs, so it is of that level or of the next.
 TOP = [LEAST_RUNS * 5 // 4 - 1]
 while TOP[-1] < 2**31:
-    TOP.append(TOP[-1] * 3 // 2)
+    TOP.append(TOP[-1] * 5 // 4)
 #: Of a text of n runs and a similar one no shorter, at most n / 4 runs are in one of them only, each in one chunk. With
 #: ``SHARE`` chunks more than that, so many chunks at least are equal (of both texts without a run, or the same in both).
 APART = [top // 4 for top in TOP]
-SHARE = [x // 5 + 2 for x in APART]
+SHARE = [3 * x // 10 + 2 for x in APART]
 #: Equal chunks that a lookup must find; so many fewer than ``SHARE`` of the commonest chunks aren't looked up.
-FOUND = [x // 5 + 1 for x in SHARE]
+FOUND = [x // 8 + 1 for x in SHARE]
 #: The last bits of a chunk's key are its level.
 LEVELS = 128
 #: Keys of 24 bytes up to this number are broadcast (under 50 MB as a table in memory), more are joined.
@@ -233,9 +233,11 @@ def chunk_pairs(left: DataFrame, right: DataFrame | None = None, similar: float
     side = lambda x, c: keys.where(c).select("key", "level", *(F.col(k).alias(f"{k}_{x}") for k in ("text", "side", "runs", "need", "own")))
     pairs = side("a", "true").join(side("b", "side = 0"), ["key", "level"]).where("text_a < text_b or (side_a = 1 and text_a <> text_b)")
     pairs = pairs.where((F.least("runs_a", "runs_b") >= similar * F.greatest("runs_a", "runs_b") - 1e-6) & ((F.col("level") == 0) | F.col("own_a") | F.col("own_b")))
-    pairs = pairs.select(F.least("text_a", "text_b").alias("text_a"), F.greatest("text_a", "text_b").alias("text_b"), "side_a", "level", "need_a", "need_b")
+    # a level and what both texts need of it in one number, with the side: fewer bytes for each pair
+    code = (F.greatest("need_a", "need_b").cast("long") * LEVELS + F.col("level")) * 2 + F.col("side_a")
+    pairs = pairs.select(F.least("text_a", "text_b").alias("text_a"), F.greatest("text_a", "text_b").alias("text_b"), code.alias("code"))
     # as many as both texts need
-    pairs = pairs.groupBy("text_a", "text_b", "side_a", "level").agg(F.count("*").alias("found"), F.max(F.greatest("need_a", "need_b")).alias("need"))
+    pairs = pairs.groupBy("text_a", "text_b", "code").agg(F.count("*").alias("found")).withColumn("need", F.floor(F.col("code") / (2 * LEVELS)))
     pairs = cut(pairs.where("found >= need").select("text_a", "text_b").distinct())
     name = lambda x: names.select(F.col("text").alias(f"text_{x}"), F.col("class").alias(x))
     pairs = pairs.join(name("a"), "text_a").join(name("b"), "text_b")
