@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from attestra.llm.words import U, _powers, mix, runs_of, word_hashes
-from attestra.runtime import cut
+from attestra.runtime import cut, cut_path, forget
 
 RUN, SIMILAR, LEAST_WORDS = 3, 0.8, 20
 #: Texts of fewer runs are looked up by single runs (level 0), others by chunks (level 1 and up).
@@ -191,7 +191,7 @@ def features(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(_features, TEXT_SCHEMA.format(id=texts.schema["id"].dataType.simpleString()))
 
 
-def chunk_pairs(left: DataFrame, right: DataFrame | None = None, similar: float = SIMILAR) -> DataFrame:
+def chunk_pairs(left: DataFrame, right: DataFrame | None = None, similar: float = SIMILAR, drop: str | None = None) -> DataFrame:
     """Candidate pairs of classes (a, b), a < b: all that can be similar, and others that share as many chunks.
 
     ``left`` has (class, runs, chunks, empty), one row each. With ``right`` (class, runs, empty, h: the chunk table
@@ -202,7 +202,8 @@ def chunk_pairs(left: DataFrame, right: DataFrame | None = None, similar: float
     dropped while a row is a key and a text; of the history only rows of the chunks looked up are read
     on. Single runs (level 0) go the same way, 80 % of a text's being shared; one held by more than
     ``HOT`` classes is looked up together with each other such run of the text, for which one run more
-    than needed is kept.
+    than needed is kept. ``drop`` is the path of the written table that ``left`` is read from; it is
+    removed as soon as its chunks have been looked up.
     """
     if similar < SIMILAR:
         raise ValueError(f"chunks are made for a similarity of {SIMILAR} and above")
@@ -213,6 +214,7 @@ def chunk_pairs(left: DataFrame, right: DataFrame | None = None, similar: float
         old = cut(touched(right, rows.select("h").distinct(), "h"))
         names = names.unionByName(old.select(text, "class", "runs", "empty")).dropDuplicates(["text"])
         rows = rows.withColumn("side", F.lit(0)).unionByName(old.select(text, "h", F.lit(1).alias("side")))
+    names = cut(names) if drop else names
     often = rows.groupBy("h").agg(F.count("*").cast("int").alias("df")).where("df > 1")
     found = rows.join(often, "h").withColumn("level", F.col("h").bitwiseAND(LEVELS - 1).cast("int"))
     found = found if right is not None else found.withColumn("side", F.lit(0))
@@ -226,6 +228,7 @@ def chunk_pairs(left: DataFrame, right: DataFrame | None = None, similar: float
     after = F.row_number().over(Window.partitionBy("text", "side", "level").orderBy(F.desc("df"), F.desc("h"))) - 1
     kept = found.join(info, ["text", "level"]).withColumn("after", after).where((F.col("side") == 1) | (F.col("after") >= F.col("skip")))
     kept = cut(kept.select("text", "side", "level", "runs", "h", "df", "need", "own"))
+    forget(left.sparkSession, drop)
     cols = ["text", "side", "level", "runs", "need", "own"]
     hot = (F.col("level") == 0) & (F.col("df") > HOT) & (F.col("runs") > 1)
     two = kept.where(hot).join(kept.where(hot).select("text", "side", F.col("h").alias("h2")), ["text", "side"]).where("h < h2")
@@ -258,14 +261,22 @@ def near_identical(texts: DataFrame, similar: float = SIMILAR) -> tuple[DataFram
     repeat with other texts. No pairs are made within a class.
     """
     f = cut(features(texts))
-    whole = f.groupBy("class").agg(F.min("id").alias("id"), F.first("runs").alias("runs"), F.first("chunks").alias("chunks"), F.first("empty").alias("empty"))
-    pairs = cut(chunk_pairs(whole, similar=similar).select("a", "b"))
-    one = f.groupBy("class").agg(F.min("id").alias("id"))
+    members = cut(f.select("id", "class"))
+    pairs = cut(chunk_pairs(_representatives(f), similar=similar, drop=cut_path(f)))
+    one = members.groupBy("class").agg(F.min("id").alias("id"))
     want = cut(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(one, "class"))
     sets = _sets(texts, want)
     x, y = sets.select(F.col("class").alias("a"), F.col("set").alias("x")), sets.select(F.col("class").alias("b"), F.col("set").alias("y"))
     links = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_similarity, "a binary, b binary, similar double")
-    return f.select("id", "class"), links.where(F.col("similar") >= similar)
+    return members, links.where(F.col("similar") >= similar)
+
+
+def _representatives(f: DataFrame) -> DataFrame:
+    """One row of each class. Where ids tell rows apart and are few enough to be broadcast, the chunks stay where they are."""
+    one = cut(f.groupBy("class").agg(F.min("id").alias("id")))
+    if one.count() <= BROADCAST_IDS and f.select("id", "class").distinct().count() == f.count():
+        return f.join(F.broadcast(one), ["id", "class"], "left_semi")
+    return f.groupBy("class").agg(F.min("id").alias("id"), F.first("runs").alias("runs"), F.first("chunks").alias("chunks"), F.first("empty").alias("empty"))
 
 
 def _sets(texts: DataFrame, want: DataFrame) -> DataFrame:
