@@ -9,14 +9,20 @@ from attestra.functions import text as tx
 
 # Words that come before the name of a legal person.
 LEGAL_FORMS = ("Công ty", "Tập đoàn", "Tổng công ty", "Company", "Group", "Corporation")
+MOST_CLASSES = 10_000
 
 
 def profile(docs: DataFrame, role: str, kind: str, text: str, top: int = 6) -> DataFrame:
-    """One row: texts, texts by role and kind as sorted ``name:count`` lists, the most mentioned years, whether each is present."""
+    """One row: texts, texts by role and kind as sorted ``name:count`` lists, the most mentioned years.
+
+    A role or kind with more than ``MOST_CLASSES`` classes is no class and raises.
+    """
     one = docs.agg(F.count("*").alias("n_texts"), F.count_if(F.col(text).isNull()).alias("n_missing"))
 
     def tally(c: str) -> str:
-        counts = docs.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("n")).collect()  # one row a class
+        counts = docs.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("n")).limit(MOST_CLASSES + 1).collect()
+        if len(counts) > MOST_CLASSES:
+            raise ValueError(f"{c} has more than {MOST_CLASSES} classes")
         return ",".join(sorted(f"{r[c]}:{r['n']}" for r in counts))
 
     y = docs.select(F.explode(tx.years(F.col(text))).alias("y")).groupBy("y").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "y").limit(top).collect()

@@ -93,7 +93,7 @@ def eligibility(a: dict[str, Column], b: dict[str, Column]) -> Column:
     sets = lambda d: F.coalesce((F.size(a[d]) > 0) & (F.size(b[d]) > 0) & (F.array_sort(a[d]) != F.array_sort(b[d])), F.lit(False))
     target = lambda x: F.coalesce(x["is_target"], F.lit(False))
     small, large = F.least(F.abs(a["value"]), F.abs(b["value"])), F.greatest(F.abs(a["value"]), F.abs(b["value"]))
-    ratio = large / F.greatest(small, F.lit(1e-9))
+    ratio = F.when(a["value"].isNotNull() & b["value"].isNotNull(), large / F.greatest(small, F.lit(1e-9)))
     unknown = F.greatest(*(known(x[d]).isNull().cast("int") for x in (a, b) for d in ("basis", "boundary"))) == 1
     pair = lambda s, r: F.struct(F.lit(s).alias("status"), F.lit(r).cast("string").alias("reason"))
     out = F.when(F.coalesce(a["unit"] != b["unit"], F.lit(True)), pair("NOT_COMPARABLE", "different_unit"))

@@ -577,10 +577,12 @@ def hhi_concentration(spark: SparkSession, d: str) -> DataFrame:
     return one.select("n_keys", F.round("hhi", 9).alias("hhi"), F.round("effective_n", 6).alias("effective_n"))
 
 
-@query("SELECT lang, text, doc_id FROM (SELECT lang, text, doc_id, row_number() OVER (PARTITION BY crawl_id ORDER BY doc_id) AS r FROM documents WHERE crawl_id IS NOT NULL) WHERE r = 1")
+@query("SELECT company_id, coalesce(g, c) AS title FROM (SELECT company_id, min(company_id || ':' || split) AS g FROM gold_claims WHERE company_id IS NOT NULL GROUP BY 1) FULL JOIN (SELECT company_id, min(title) AS c FROM documents WHERE company_id IS NOT NULL GROUP BY 1) USING (company_id)")
 def precedence_merge(spark: SparkSession, d: str) -> DataFrame:
-    own = table(spark, d, "documents").where("crawl_id is not null").select("crawl_id", "lang", "text", "doc_id")
-    return records.first_occurrence(own, F.col("crawl_id"), ["doc_id"]).select("lang", "text", "doc_id")
+    """One row a company: that of the held-out claims if they have one, else that of the documents."""
+    gold = table(spark, d, "gold_claims").where("company_id is not null").groupBy("company_id").agg(F.min(F.concat_ws(":", "company_id", "split")).alias("title"))
+    docs = table(spark, d, "documents").where("company_id is not null").groupBy("company_id").agg(F.min("title").alias("title"))
+    return records.by_precedence([gold, docs], "company_id")
 
 
 @query(
@@ -987,7 +989,11 @@ def entity_names(spark: SparkSession, d: str) -> DataFrame:
     return corpus.entity_names(table(spark, d, "documents"), "source", "text")
 
 
-@query()
+@query(
+    """WITH RECURSIVE o AS (SELECT company_id, n, row_number() OVER (ORDER BY n DESC, company_id) AS r FROM (SELECT company_id, count(*) AS n FROM candidates WHERE company_id IS NOT NULL GROUP BY 1)),
+w AS (SELECT 0::BIGINT AS r, NULL::VARCHAR AS company_id, 0::BIGINT AS n, FALSE AS taken, (SELECT sum(n) FROM o)::DOUBLE * 0.2 AS room UNION ALL SELECT o.r, o.company_id, o.n, o.n <= w.room, CASE WHEN o.n <= w.room THEN w.room - o.n ELSE w.room END FROM w JOIN o ON o.r = w.r + 1)
+SELECT company_id, n FROM w WHERE taken"""
+)
 def held_out_companies(spark: SparkSession, d: str) -> DataFrame:
     own = table(spark, d, "candidates").where("company_id is not null").groupBy("company_id").agg(F.count("*").alias("size"))
     return corpus.held_out(own, "company_id", "size", 0.2)

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestra.functions import numbers
 from attestra.functions import text as tx
 from attestra.operators import facts, passages, review
 from attestra.queries import DECIMALS_SQL, MAJORITY_SQL, NUMBER_SQL, ORACLES, VOTES_SQL, match_sql, query, table, verdict_votes, voted_majority
+from attestra.runtime import own_dir
+from attestra.streaming import streams
 
 # --- facts ----------------------------------------------------------------------------------------
 
@@ -337,3 +341,20 @@ def newest_runs(spark: SparkSession, d: str) -> DataFrame:
     """The 20 newest records: the listing is the feature."""
     own = table(spark, d, "crawl_documents").select(F.col("crawl_id").alias("run_id"), "batch_no", F.col("downloaded_at").alias("created_at"))
     return review.listed_runs(own, 20).select(F.col("run_id").alias("crawl_id"), "batch_no")
+
+
+# --- streams --------------------------------------------------------------------------------------
+
+
+@query("SELECT event_type, count(*) AS n_events, round(sum(value), 4) AS total, time_bucket(INTERVAL 6 hours, ts, TIMESTAMP '2024-01-01') AS window_start FROM events GROUP BY event_type, window_start")
+def streamed_windows(spark: SparkSession, d: str) -> DataFrame:
+    """The windowed counts of the events read as a stream, all files that are there in one go."""
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    where = f"{own_dir(spark)}/stream-{uuid.uuid4().hex}"
+    # the whole result of each trigger takes the place of the one before
+    write = lambda df, _: df.write.mode("overwrite").parquet(f"{where}/result")
+    query = streams.windowed_counts(stream).writeStream.foreachBatch(write).outputMode("complete").option("checkpointLocation", f"{where}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    out = spark.read.parquet(f"{where}/result")
+    return out.select("event_type", "n_events", "total", F.col("window_start").cast("timestamp_ntz").alias("window_start"))

@@ -58,7 +58,8 @@ def shared_dir(spark: SparkSession) -> str:
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where:
         return where.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
@@ -68,6 +69,31 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[app]
 
 
+#: Applications whose tables are removed at exit.
+_CLEANED: set[str] = set()
+
+
+def own_dir(spark: SparkSession) -> str:
+    """The application's folder of intermediate tables; it is removed when the driver's Python ends, or by ``clean``."""
+    app = spark.sparkContext.applicationId
+    if app not in _CLEANED:
+        _CLEANED.add(app)
+        atexit.register(_clean_quietly, spark)
+    return f"{shared_dir(spark)}/attestra/{app}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Remove all tables that ``cut`` wrote in this application; DataFrames that read them can't be used any more."""
+    forget(spark, f"{shared_dir(spark)}/attestra/{spark.sparkContext.applicationId}")
+
+
+def _clean_quietly(spark: SparkSession) -> None:
+    try:
+        clean(spark)
+    except Exception:  # the session is gone
+        pass
+
+
 def cut(df: DataFrame, drop: str | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back, so that its lineage ends there.
 
@@ -75,7 +101,7 @@ def cut(df: DataFrame, drop: str | None = None) -> DataFrame:
     ``cut_path`` of an older step that is no longer needed; it is removed after the write.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/attestra/{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._attestra_path = path
