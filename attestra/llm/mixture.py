@@ -25,13 +25,17 @@ def source_key(source: Column) -> Column:
 
 
 def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(id, source, n_tokens) of each document by a public byte-level vocabulary; a null text has 0 tokens."""
+    """(id, source, n_tokens) of each document by a public byte-level vocabulary; a null text has 0 tokens.
+
+    The vocabulary file (about a megabyte) is read where the driver has it and travels to the tasks.
+    """
+    with open(f"{tokenizers}/{vocabulary}", "rb") as f:
+        shared = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
 
-        with open(f"{tokenizers}/{vocabulary}", "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, shared.value.splitlines())}
         encode = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         for batch in batches:
             n = [len(encode(t)) if t else 0 for t in batch.column(2).to_pylist()]

@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.llm import chunker, consensus, history, leaks, lookalike, mixture, reading, splits
-from attestra.runtime import shared_dir, table
+from attestra.llm import chunker, consensus, history, leaks, look, lookalike, mixture, reading, splits
+from attestra.runtime import own_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,7 +39,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_history(spark: SparkSession, d: str) -> DataFrame:
-    return history.deliveries(table(spark, d, "crawl_documents"), table(spark, d, "documents"), f"{shared_dir(spark)}/attestra/history-{uuid.uuid4().hex}")
+    return history.deliveries(table(spark, d, "crawl_documents"), table(spark, d, "documents"), f"{own_dir(spark)}/history-{uuid.uuid4().hex}")
 
 
 def _consensus(spark: SparkSession, d: str) -> consensus.Consensus:
@@ -116,7 +116,24 @@ _VERDICT = "CASE regexp_replace(upper(resolved.holistic_verdict.value), '[\\s\\p
 _VOTES = f"""SELECT item_id, labeler, arg_max(verdict, {{'t': labeled_at, 'i': annotation_id}}) AS verdict FROM (SELECT item_id, nullif(lower(trim(labeler)), '') AS labeler, {_VERDICT} AS verdict, labeled_at, annotation_id FROM adjudicated_b03
 WHERE lower(trim(coalesce(review_status, ''))) <> 'withdrawn') WHERE item_id IS NOT NULL AND labeler IS NOT NULL AND verdict IS NOT NULL GROUP BY item_id, labeler"""
 
+_STEPS = [(b, a) for a, b in look.relations() if len(b) == 1 and len(a) == 1]
+_FROM, _TO = "".join(b for b, _ in _STEPS).replace("'", "''"), "".join(a for _, a in _STEPS).replace("'", "''")
+_UNSEEN = "".join(f"\\x{{{ord(c):x}}}" for c in sorted(look.unseen()))
+
+
+def _form(x: str) -> str:
+    """A text as it looks: no unseen characters, one line end, plain letters, composed."""
+    return f"trim(nfc_normalize(translate(replace(regexp_replace({x}, '[{_UNSEEN}]+', '', 'g'), chr(13) || chr(10), chr(10)), '{_FROM}', '{_TO}')), ' ')"
+
+
+_WORDS = f"regexp_extract_all(lower({_form('text')}), '[\\p{{L}}\\p{{N}}\\p{{M}}]+')"
+
 ORACLES: dict[str, str] = {
+    "p6_found": f"""WITH t AS (SELECT DISTINCT cache_id, text, {_form('text')} AS f FROM text_cache WHERE text IS NOT NULL AND cache_id IS NOT NULL)
+SELECT DISTINCT a.cache_id AS cache_id_a, b.cache_id AS cache_id_b FROM t a JOIN t b ON a.f = b.f AND a.cache_id < b.cache_id AND a.text <> b.text WHERE a.f <> ''""",
+    "p7_found": f"""WITH i AS (SELECT DISTINCT item_id, {_WORDS} AS w FROM gold_claims WHERE text IS NOT NULL), d AS (SELECT DISTINCT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL),
+x AS (SELECT DISTINCT item_id, array_to_string(w[p:p + 11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS p FROM i)), y AS (SELECT DISTINCT doc_id, array_to_string(w[p:p + 11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS p FROM d))
+SELECT DISTINCT doc_id, item_id FROM y JOIN x USING (g)""",
     "p1_found": f"""WITH RECURSIVE s AS (SELECT company_id, ticker FROM crawl_documents UNION SELECT company_id, ticker FROM candidates),
 e AS (SELECT DISTINCT nullif(trim(company_id), '') AS c, CASE WHEN regexp_full_match(b, '[A-Z]{{3,5}}') AND b NOT IN {(*splits.EXCHANGES, *splits.PLACEHOLDERS)} THEN b END AS t FROM (SELECT company_id, {_BARE} AS b FROM s)),
 l AS (SELECT DISTINCT x.c AS a, y.c AS b FROM e x JOIN e y ON x.t = y.t WHERE x.c IS NOT NULL AND y.c IS NOT NULL),
