@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from attestra import runtime
 from attestra.functions import address, numbers
 from attestra.functions import text as tx
-from attestra.operators import corpus, edits, evaluate, figures, lexicon, passages, quantities, records, retrieval, temporal, units
+from attestra.operators import corpus, edits, evaluate, figures, lexicon, passages, quantities, ranking, records, retrieval, temporal, units
 from attestra.plans import evidence
 from attestra.runtime import cut
 from attestra.sources import readers
@@ -392,8 +392,7 @@ q AS (SELECT query_id, term, tf * idf AS v FROM qt JOIN df USING (term)), nq AS
 s AS (SELECT query_id, doc_id, sum(w * v) AS dot FROM w JOIN q USING (term) GROUP BY ALL)
 SELECT query_id, doc_id, round(dot / norm / qnorm, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(dot / norm / qnorm, 6) DESC, doc_id)::INT AS rank FROM s JOIN nd USING (doc_id) JOIN nq USING (query_id) QUALIFY rank <= 5""")
 def tfidf_char_topk(spark: SparkSession, d: str) -> DataFrame:
-    scored = retrieval.tfidf_cosine(_cache(spark, d), _claims(spark, d)).withColumn("score", F.round("score", 6))
-    return retrieval.top_k(scored, 5)
+    return ranking.tfidf_top(_cache(spark, d), _claims(spark, d), 5, 6)
 
 
 JACCARD_SQL = f"""SELECT query_id, doc_id, count(*) / (any_value(n) + any_value(m) - count(*)) AS score FROM
