@@ -134,8 +134,8 @@ class Queries:
         return [range(i, min(i + QUERY_BLOCK, len(self.ids))) for i in range(0, len(self.ids), QUERY_BLOCK)]
 
 
-def indexed(corpus: DataFrame, queries: Queries, words=tx.tokens) -> DataFrame:
-    """The corpus with n (tokens), own (distinct tokens) and terms, tf (those that queries have, by number), written once: the texts' tokens are read only here."""
+def indexed(corpus: DataFrame, queries: Queries, keep: tuple[str, ...] = ("doc_id",), words=tx.tokens) -> DataFrame:
+    """Columns of the corpus with n (tokens), own (distinct tokens) and terms, tf (those that queries have, by number), written once: the texts' tokens are read only here."""
     terms = corpus.sparkSession.sparkContext.broadcast(queries.terms)
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,10 +157,9 @@ def indexed(corpus: DataFrame, queries: Queries, words=tx.tokens) -> DataFrame:
             cols = [*batch.columns[:-1], pa.array(np.diff(at).astype(np.int32)), pa.array(own.astype(np.int32)), *lists]
             yield pa.RecordBatch.from_arrays(cols, [*batch.schema.names[:-1], "n", "own", "terms", "tf"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in corpus.schema)
-    rows = corpus.select("*", F.coalesce(words(F.col("text")), F.array().cast("array<string>")).alias("_t"))
-    keep = corpus.columns
-    return cut(rows.select(*keep, "_t").mapInArrow(reduce, f"{schema}, n int, own int, terms array<int>, tf array<int>"))
+    schema = ", ".join(f"`{c}` {corpus.schema[c].dataType.simpleString()}" for c in keep)
+    rows = corpus.select(*keep, words(F.coalesce("text", F.lit(""))).alias("_t"))
+    return cut(rows.mapInArrow(reduce, f"{schema}, n int, own int, terms array<int>, tf array<int>"))
 
 
 def _matrix(rows: list[dict[int, float]], n: int) -> np.ndarray:
@@ -448,7 +447,7 @@ def bm25_top(corpus: DataFrame, queries: DataFrame, k: int, digits: int) -> Data
     own = Queries.of(queries)
     if own is None:
         return retrieval.top_k(retrieval.bm25(corpus, queries).withColumn("score", F.round("score", digits)), k)
-    index = indexed(corpus, own).drop("text")
+    index = indexed(corpus, own)
     return top(index, own, Bm25(own, index), k, digits)
 
 
@@ -459,3 +458,23 @@ def tfidf_top(corpus: DataFrame, queries: DataFrame, k: int, digits: int) -> Dat
     if fit is None:
         return retrieval.top_k(retrieval.tfidf_cosine(corpus, queries).withColumn("score", F.round("score", digits)), k)
     return top(corpus, own, fit, k, digits)
+
+
+def jaccard_top(corpus: DataFrame, queries: DataFrame, k: int, digits: int) -> DataFrame:
+    """As ``bm25_top`` by ``retrieval.jaccard``."""
+    own = Queries.of(queries)
+    if own is None:
+        return retrieval.top_k(retrieval.jaccard(corpus, queries).withColumn("score", F.round("score", digits)), k)
+    return top(indexed(corpus, own), own, Jaccard(own), k, digits)
+
+
+def token_fusion(corpus: DataFrame, queries: DataFrame, k: int, digits: int) -> DataFrame:
+    """``retrieval.fused_top`` of ``retrieval.bm25`` and ``retrieval.jaccard`` with rounded scores; doc_id is unique."""
+    own = Queries.of(queries)
+    if own is None:
+        lex = retrieval.bm25(corpus, queries).select("query_id", "doc_id", F.round("score", digits).alias("lexical"))
+        sem = retrieval.jaccard(corpus, queries).select("query_id", "doc_id", F.round("score", digits).alias("semantic"))
+        # written once: tops and counts are both taken from the scores
+        return retrieval.fused_top(cut(lex.join(sem, ["query_id", "doc_id"])), k)
+    index = indexed(corpus, own)
+    return fused_top(index, own, Bm25(own, index), Jaccard(own), k, digits)

@@ -402,7 +402,7 @@ JACCARD_SQL = f"""SELECT query_id, doc_id, count(*) / (any_value(n) + any_value(
 
 @query(f"SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id)::INT AS rank FROM ({JACCARD_SQL}) QUALIFY rank <= 5")
 def jaccard_topk(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.top_k(retrieval.jaccard(_cache(spark, d), _claims(spark, d)).withColumn("score", F.round("score", 6)), 5)
+    return ranking.jaccard_top(_cache(spark, d), _claims(spark, d), 5, 6)
 
 
 @query("""WITH q AS (SELECT vec_id AS query_id, list_transform(embedding, x -> x::DOUBLE) AS q FROM embeddings WHERE vec_id % 100 = 0), v AS (SELECT vec_id AS doc_id, list_transform(embedding, x -> x::DOUBLE) AS v FROM embeddings)
@@ -413,20 +413,13 @@ def dense_cosine_topk(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.top_k(retrieval.dense_cosine(v, q, 15).drop("rank").withColumn("score", F.round("score", 6)), 10)
 
 
-def _lists(spark: SparkSession, d: str) -> DataFrame:
-    lex = retrieval.bm25(_cache(spark, d), _claims(spark, d)).select("query_id", "doc_id", F.round("score", 6).alias("lexical"))
-    sem = retrieval.jaccard(_cache(spark, d), _claims(spark, d)).select("query_id", "doc_id", F.round("score", 6).alias("semantic"))
-    # written once: tops and counts are both taken from the scores
-    return cut(lex.join(sem, ["query_id", "doc_id"]))
-
-
 RRF_SQL = f"""SELECT *, 1 / (60 + lexical_rank) + 1 / (60 + semantic_rank) AS rrf FROM (SELECT query_id, doc_id, lexical, semantic, row_number() OVER (PARTITION BY query_id ORDER BY lexical DESC, doc_id) AS lexical_rank, row_number() OVER (PARTITION BY query_id ORDER BY semantic DESC, doc_id) AS semantic_rank FROM
 (SELECT query_id, doc_id, round(score, 6) AS lexical FROM ({_bm25_sql("text_cache", "cache_id")})) JOIN (SELECT query_id, doc_id, round(score, 6) AS semantic FROM ({JACCARD_SQL})) USING (query_id, doc_id))"""
 
 
 @query(f"SELECT query_id, doc_id, rank FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, doc_id)::INT AS rank FROM ({RRF_SQL})) WHERE rank <= 10")
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.fused_top(_lists(spark, d), 10).select("query_id", "doc_id", "rank")
+    return ranking.token_fusion(_cache(spark, d), _claims(spark, d), 10, 6).select("query_id", "doc_id", "rank")
 
 
 @query(f"""WITH r AS (SELECT query_id, doc_id, lexical AS score, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, doc_id) AS rank FROM ({RRF_SQL}) QUALIFY rank <= 30),
@@ -434,7 +427,7 @@ m AS (SELECT *, score >= 0.93 AS passing, count(*) FILTER (score >= 0.93) OVER (
 SELECT query_id, doc_id, rank::INT AS rank, NOT passing AS below_threshold FROM p WHERE passing OR place <= 3 - np""")
 def admissible_floor(spark: SparkSession, d: str) -> DataFrame:
     """Of the 30 passages that fused ranking puts first those that reach the threshold, and what fills up to three."""
-    ranked = retrieval.fused_top(_lists(spark, d), 30).withColumnRenamed("lexical", "score")
+    ranked = ranking.token_fusion(_cache(spark, d), _claims(spark, d), 30, 6).withColumnRenamed("lexical", "score")
     return retrieval.admissible(ranked, 0.93, 3).select("query_id", "doc_id", "rank", "below_threshold")
 
 

@@ -7,8 +7,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from attestra.operators import ranking, retrieval
-from attestra.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -37,7 +37,28 @@ def test_tfidf(texts, monkeypatch):
     same(ranking.tfidf_top(*texts, 5, 6), want)
 
 
-@pytest.mark.parametrize("name", ["tfidf_char_topk"])
+def test_jaccard(texts):
+    same(ranking.jaccard_top(*texts, 5, 6), retrieval.top_k(retrieval.jaccard(*texts).withColumn("score", F.round("score", 6)), 5))
+
+
+def fused(df):
+    return sorted((r["query_id"], r["rank"], r["doc_id"], r["lexical_rank"], r["semantic_rank"]) for r in df.collect())
+
+
+def test_token_fusion(texts, monkeypatch):
+    monkeypatch.setattr(ranking, "BLOCK", 16)
+    got = fused(ranking.token_fusion(*texts, 7, 6))
+    monkeypatch.setattr(ranking, "MOST_QUERIES", 0)
+    assert got == fused(ranking.token_fusion(*texts, 7, 6)) and len(got) == 21
+
+
+@pytest.mark.parametrize("name", ["tfidf_char_topk", "jaccard_topk"])
 def test_no_rows_of_pairs(spark, sf, name):
-    plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    plan = entry.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "Generate" not in plan and "SortMergeJoin" not in plan
+
+
+def test_graded_systems_without_joined_pairs(spark, sf, monkeypatch):
+    for name in ("bm25", "jaccard", "tfidf_cosine"):
+        monkeypatch.setattr(retrieval, name, None)
+    assert entry.queries()["graded_systems"](spark, sf).count() == 2
