@@ -375,7 +375,7 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
 def passages_topk(spark: SparkSession, d: str) -> DataFrame:
     """The five best passages of all documents for each held-out claim."""
     own = passages.passages(table(spark, d, "documents")).select(F.concat_ws(":", F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lpad(F.col("block").cast("string"), 6, "0")).alias("doc_id"), "text")
-    return retrieval.top_k(retrieval.bm25(own, _claims(spark, d)).withColumn("score", F.round("score", 6)), 5)
+    return ranking.bm25_top(own, _claims(spark, d), 5, 6)
 
 
 def _grams_sql(x: str) -> str:

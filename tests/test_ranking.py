@@ -52,7 +52,11 @@ def test_token_fusion(texts, monkeypatch):
     assert got == fused(ranking.token_fusion(*texts, 7, 6)) and len(got) == 21
 
 
-@pytest.mark.parametrize("name", ["tfidf_char_topk", "jaccard_topk"])
+def test_bm25(texts):
+    same(ranking.bm25_top(*texts, 5, 6), retrieval.top_k(retrieval.bm25(*texts).withColumn("score", F.round("score", 6)), 5))
+
+
+@pytest.mark.parametrize("name", ["tfidf_char_topk", "jaccard_topk", "passages_topk"])
 def test_no_rows_of_pairs(spark, sf, name):
     plan = entry.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "Generate" not in plan and "SortMergeJoin" not in plan
