@@ -478,3 +478,16 @@ def token_fusion(corpus: DataFrame, queries: DataFrame, k: int, digits: int) ->
         return retrieval.fused_top(cut(lex.join(sem, ["query_id", "doc_id"])), k)
     index = indexed(corpus, own)
     return fused_top(index, own, Bm25(own, index), Jaccard(own), k, digits)
+
+
+def text_fusion(corpus: DataFrame, queries: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """``retrieval.fused_top`` of ``retrieval.bm25`` and ``retrieval.tfidf_cosine`` over all pairs that share a token or an n-gram, and the (doc_id, text) it read; doc_id is unique."""
+    own = Queries.of(queries)
+    index = None if own is None else indexed(corpus, own, ("doc_id", "text"))
+    fit = None if own is None else Tfidf.of(own, index)
+    if fit is not None:
+        return fused_top(index, own, Bm25(own, index), fit, k), index.select("doc_id", "text")
+    lex = retrieval.bm25(corpus, queries).select("query_id", "doc_id", F.col("score").alias("lexical"))
+    sem = retrieval.tfidf_cosine(corpus, queries).select("query_id", "doc_id", F.col("score").alias("semantic"))
+    both = cut(lex.join(sem, ["query_id", "doc_id"], "full").fillna(0.0, ["lexical", "semantic"]))
+    return retrieval.fused_top(both, k), corpus

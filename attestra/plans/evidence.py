@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestra.functions import text as tx
-from attestra.operators import lexicon, passages, quantities, retrieval
+from attestra.operators import lexicon, passages, quantities, ranking, retrieval
 from attestra.runtime import cut
 
 
@@ -45,10 +45,8 @@ def claims(docs: DataFrame, types: list[lexicon.Bucket]) -> DataFrame:
 def evidence(docs: DataFrame, queries: DataFrame, k: int = 5, least: float = 0.12) -> DataFrame:
     """The k passages of the documents that fused ranking puts first for each (query_id, text): query_id, doc_id (of the passage), rank, score, text."""
     corpus = passages.passages(docs).select(F.col("passage_id").alias("doc_id"), "text").dropDuplicates(["doc_id"])
-    lex = retrieval.bm25(corpus, queries).select("query_id", "doc_id", F.col("score").alias("lexical"))
-    sem = retrieval.tfidf_cosine(corpus, queries).select("query_id", "doc_id", F.col("score").alias("semantic"))
-    both = cut(lex.join(sem, ["query_id", "doc_id"], "full").fillna(0.0, ["lexical", "semantic"]))
-    fused = retrieval.fused_top(both, max(k, POOL)).withColumn("score", 0.55 * F.col("lexical") + 0.45 * F.col("semantic"))
+    fused, corpus = ranking.text_fusion(corpus, queries, max(k, POOL))
+    fused = fused.withColumn("score", 0.55 * F.col("lexical") + 0.45 * F.col("semantic"))
     top = retrieval.admissible(fused, least).where(F.col("rank") <= k)
     return cut(top.select("query_id", "doc_id", "rank", "score", "below_threshold")).join(corpus, "doc_id")
 
