@@ -81,3 +81,9 @@ def test_text_fusion(texts, monkeypatch):
     want = fused(ranking.text_fusion(*distinct, 9)[0])
     # ranks of texts with equal scores hang on the order of sums where pairs are joined
     assert [r[:2] for r in got] == [r[:2] for r in want] and sum(a != b for a, b in zip(got, want)) <= len(want) // 3
+
+
+def test_claim_verdicts_without_joined_pairs(spark, sf, monkeypatch):
+    for name in ("bm25", "tfidf_cosine", "fused_top"):
+        monkeypatch.setattr(retrieval, name, None)
+    assert entry.queries()["claim_verdicts"](spark, sf).count() > 0
