@@ -26,6 +26,10 @@ MOST_QUERIES, QUERY_BLOCK = 4096, 256
 MOST_GRAMS = 4_000_000
 #: Texts of a block, and n-grams that are counted at once.
 BLOCK, GRAMS = 4096, 1 << 20
+#: Words whose products with the queries a task keeps.
+KEPT_WORDS = 1 << 15
+#: What ``\\s`` is in the JVM.
+BLANKS = r"[ \t\n\x0B\f\r]+"
 U = np.uint64
 
 
@@ -33,6 +37,11 @@ def _words(x: Column) -> Column:
     return F.filter(F.split(F.lower(x), r"\s+"), lambda w: w != "")
 
 
+def _lower() -> Column:
+    """What ``_split`` parts into words: a string is far less work to send than its words."""
+    return F.lower(F.coalesce("text", F.lit(""))).alias("w")
+
+
 def _lists(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
     """Offsets from 0 and the values of a list column, null as empty."""
     sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
@@ -64,15 +73,15 @@ def gram_hashes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([[0], np.cumsum(per, dtype=np.int64)]), all_[kept]
 
 
-def _text_grams(column: pa.Array, ids) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first, last, text, id, count) of the n-grams of lists of words, for some texts at a time; ``ids`` maps hashes to ids below its second result."""
-    at, values = _lists(column)
-    if pa.types.is_dictionary(values.type):
-        values = values.dictionary_decode()
+def _split(column: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Offsets by text, numbers and distinct ones of the words of lower-case texts; blanks at an end give an empty word, which has no n-grams."""
+    at, values = _lists(pc.split_pattern_regex(column, BLANKS))
     coded = values.dictionary_encode()
-    code = _numbers(coded.indices).astype(np.int64)
-    offsets, hashes = gram_hashes(coded.dictionary.to_pylist())
-    known, most = ids(hashes)
+    return at, _numbers(coded.indices).astype(np.int64), coded.dictionary
+
+
+def _text_grams(at: np.ndarray, code: np.ndarray, offsets: np.ndarray, known: np.ndarray, most: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first, last, text, id, count) of the n-grams of texts of words, for some texts at a time; ``known`` are the ids, below ``most``, of the words' n-grams."""
     sizes = np.diff(offsets)
     ends = np.concatenate([[0], np.cumsum(sizes[code])])[at] if len(code) else np.zeros(len(at), np.int64)
     a = 0
@@ -93,24 +102,19 @@ def _gram_counts(texts: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have, n, rows = np.zeros(0, U), np.zeros(0, np.int64), 0
         for batch in batches:
-            seen: list[np.ndarray] = []
-
-            def local(h: np.ndarray) -> tuple[np.ndarray, int]:
-                u, back = np.unique(h, return_inverse=True)
-                seen.append(u)
-                return back, max(1, len(u))
-
-            got = [g for _, _, _, g, _ in _text_grams(batch.column(0), local)]
+            at, code, words = _split(batch.column(0))
+            offsets, hashes = gram_hashes(words.to_pylist())
+            seen, back = np.unique(hashes, return_inverse=True)
+            own = np.zeros(max(1, len(seen)), np.int64)
+            for _, _, _, g, _ in _text_grams(at, code, offsets, back, len(own)):
+                own += np.bincount(g, minlength=len(own))
             rows += batch.num_rows
-            if got:
-                keys = np.concatenate([have, seen[0]])
-                weight = np.concatenate([n, np.bincount(np.concatenate(got), minlength=len(seen[0]))[: len(seen[0])]])
-                have, back = np.unique(keys, return_inverse=True)
-                n = np.bincount(back, weight, len(have)).astype(np.int64)
+            have, back = np.unique(np.concatenate([have, seen]), return_inverse=True)
+            n = np.bincount(back, np.concatenate([n, own[: len(seen)]]), len(have)).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([rows], pa.int64())], ["gram", "n"])
         yield pa.RecordBatch.from_arrays([pa.array(have.view(np.int64)), pa.array(n)], ["gram", "n"])
 
-    return texts.select(_words(F.coalesce("text", F.lit(""))).alias("w")).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return texts.select(_lower()).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 class Queries:
@@ -250,16 +254,41 @@ class Tfidf:
         weights = _matrix([{int(column[t]): v for t, v in row.items()} for row in own], len(used))
         norms = np.maximum(np.sqrt((weights * weights).sum(0)), 1e-300)
 
-        def score(cols: dict[str, pa.Array]) -> Iterator[tuple[int, int, np.ndarray]]:
-            def ids(h: np.ndarray) -> tuple[np.ndarray, int]:
-                return _find(grams, h)[0], len(grams) + 1
+        # a text's product is the sum of its words' products, which are taken once
+        kept: list = [pa.array([], pa.string()), np.zeros((0, len(block)))]
+
+        def products(words: pa.Array, offsets: np.ndarray, known: np.ndarray) -> np.ndarray:
+            words = words.cast(pa.string())
+            new = np.nonzero(pc.is_null(pc.index_in(words, value_set=kept[0])).to_numpy(zero_copy_only=False))[0]
+            if len(kept[0]) + len(new) > KEPT_WORDS:
+                kept[:], new = [kept[0][:0], kept[1][:0]], np.arange(len(words))
+            if len(new):
+                n = np.diff(offsets)[new]
+                col_of = known[np.arange(n.sum()) + np.repeat(offsets[new] - (np.cumsum(n) - n), n)]
+                word, col = np.repeat(np.arange(len(new)), n), column[col_of]
+                asked = col >= 0
+                rows = _product(word[asked], col[asked], idf[col_of[asked]], weights, len(new))
+                kept[:] = [pa.concat_arrays([kept[0], words.take(pa.array(new))]), np.concatenate([kept[1], rows])]
+            return kept[1][pc.index_in(words, value_set=kept[0]).to_numpy(zero_copy_only=False)]
 
-            for a, b, text, gram, tf in _text_grams(cols["w"], ids):
+        def score(cols: dict[str, pa.Array]) -> Iterator[tuple[int, int, np.ndarray]]:
+            at, code, words = _split(cols["w"])
+            offsets, hashes = gram_hashes(words.to_pylist())
+            known = _find(grams, hashes)[0]
+            by_word = products(words, offsets, known)
+            # words in an order of their own: equal texts, and texts of the same words, get equal sums
+            sums = np.concatenate([np.zeros(1, U), np.cumsum(hashes, dtype=U)])
+            order = np.argsort(sums[offsets[1:]] - sums[offsets[:-1]], kind="stable")
+            order = order[by_word[order].any(1)]
+            place = np.full(len(words), -1, np.int64)
+            place[order] = np.arange(len(order))
+            by_word, most = by_word[order], max(1, len(order))
+            for a, b, text, gram, tf in _text_grams(at, code, offsets, known, len(grams) + 1):
                 w = tf * idf[gram]
                 norm = np.sqrt(np.bincount(text, w * w, b - a))
-                col = column[gram]
-                asked = col >= 0
-                dots = _product(text[asked], col[asked], w[asked], weights, b - a)
+                word, text = place[code[at[a] : at[b]]], np.repeat(np.arange(b - a), np.diff(at[a : b + 1]))
+                pairs, count = np.unique(text[word >= 0] * most + word[word >= 0], return_counts=True)
+                dots = _product(pairs // most, pairs % most, count.astype(float), by_word, b - a)
                 yield a, b, dots / np.where(norm > 0, norm, 1)[:, None] / norms
 
         return score
@@ -307,7 +336,7 @@ def _blocks(cols: dict[str, pa.Array], fits: list, digits: int | None) -> Iterat
 def _columns(source: DataFrame, needs: set[str]) -> DataFrame:
     cols = [F.col(c) for c in sorted(needs - {"w"})]
     if "w" in needs:
-        cols.append(_words(F.coalesce("text", F.lit(""))).alias("w"))
+        cols.append(_lower())
     return source.select("doc_id", *cols)
 
 
@@ -316,20 +345,31 @@ def _ids(column: pa.Array) -> np.ndarray:
     return np.array([x.encode() for x in column.to_pylist()]) if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else _numbers(column)
 
 
+def _first(held: list, new: list, by: int, k: int) -> list:
+    """The first k rows of each query of two lists of columns (q, id, key, scores), by measure ``by``."""
+    both = [pa.concat_arrays([x, y]) if isinstance(x, pa.Array) else np.concatenate([x, y]) for x, y in zip(held, new)]
+    rank = np.lexsort((both[1], -both[3 + by], both[0]))
+    q = both[0][rank]
+    rank = rank[np.arange(len(q)) - np.searchsorted(q, q) < k]
+    return [x.take(pa.array(rank)) if isinstance(x, pa.Array) else x[rank] for x in both]
+
+
 def _tops(source: DataFrame, measures: list, block: range, k: int, digits: int | None) -> DataFrame:
     """(q, doc_id, s0.., by): rows that can be among the first k of a query by measure ``by``."""
     fits, count = [m.fitted(block) for m in measures], len(block)
     names = [f"s{i}" for i in range(len(measures))]
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # what a block's k-th row of a query reaches, a later row has to reach as well
+        # by measure the first k rows of each query so far, and what the k-th of them reaches: a later row has to reach it as well
         least = [np.zeros(count) for _ in fits]
+        held: list = [None for _ in fits]
         for batch in batches:
             cols = dict(zip(batch.schema.names, batch.columns))
             keys = cols.pop("doc_id")
             for a, b, scores, some in _blocks(cols, fits, digits):
-                order = np.argsort(_ids(keys.slice(a, b - a)), kind="stable")
-                some = some[order]
+                ids = _ids(keys.slice(a, b - a))
+                order = np.argsort(ids, kind="stable")
+                ids, some = ids[order], some[order]
                 scores = [s[order] for s in scores]
                 for by, s in enumerate(scores):
                     s = np.where(some, s, -1.0)
@@ -343,8 +383,15 @@ def _tops(source: DataFrame, measures: list, block: range, k: int, digits: int |
                     q, row = q[rank], row[rank]
                     place = np.arange(len(q)) - np.searchsorted(q, q)
                     q, row = q[place < k], row[place < k]
-                    out = [pa.array(q.astype(np.int32)), keys.take(pa.array(order[row] + a)), *(pa.array(x[row, q]) for x in scores), pa.array(np.full(len(q), by, np.int32))]
-                    yield pa.RecordBatch.from_arrays(out, ["q", "doc_id", *names, "by"])
+                    new = [q, ids[row], keys.take(pa.array(order[row] + a)), *(x[row, q] for x in scores)]
+                    held[by] = new if held[by] is None else _first(held[by], new, by, k)
+                    full = np.searchsorted(held[by][0], np.arange(count), "right") - 1
+                    full = full[np.bincount(held[by][0], minlength=count)[:count] >= k]
+                    least[by][held[by][0][full]] = np.maximum(least[by][held[by][0][full]], held[by][3 + by][full])
+        for by, own in enumerate(held):
+            if own is not None:
+                out = [pa.array(own[0].astype(np.int32)), own[2], *map(pa.array, own[3:]), pa.array(np.full(len(own[0]), by, np.int32))]
+                yield pa.RecordBatch.from_arrays(out, ["q", "doc_id", *names, "by"])
 
     needs = set().union(*(m.needs for m in measures))
     kind = source.schema["doc_id"].dataType.simpleString()
@@ -392,9 +439,11 @@ def _ranked(source: DataFrame, measures: list, block: range, digits: int | None,
     q, keys = _numbers(pool["q"].combine_chunks()), pool["doc_id"].combine_chunks()
     ids = _ids(keys) if len(keys) else np.zeros(0)
     scores = [_numbers(pool[f"s{i}"].combine_chunks()) for i in (0, 1)]
-    orders = [np.lexsort((ids, -s, q)) for s in scores]
+    # ids as places among all of the pool: whole numbers compare faster
+    ids, place = np.unique(ids, return_inverse=True)
+    orders = [np.lexsort((place, -s, q)) for s in scores]
     begin = np.searchsorted(np.sort(q), np.arange(len(block) + 1))
-    marks = [(-s[o], ids[o]) for s, o in zip(scores, orders)]
+    marks = [(-s[o], place[o]) for s, o in zip(scores, orders)]
     shared, fits = spark.sparkContext.broadcast(marks), [m.fitted(block) for m in measures]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -403,12 +452,14 @@ def _ranked(source: DataFrame, measures: list, block: range, digits: int | None,
             cols = dict(zip(batch.schema.names, batch.columns))
             own = cols.pop("doc_id")
             for a, b, scores, some in _blocks(cols, fits, digits):
-                docs = _ids(own.slice(a, b - a))
+                docs = np.searchsorted(ids, _ids(own.slice(a, b - a))) if len(ids) else np.zeros(b - a, np.int64)
+                some = np.ascontiguousarray(some.T)
                 for by, s in enumerate(scores):
+                    s = -np.ascontiguousarray(s.T)
                     for i in range(len(begin) - 1):
                         value, mark = (x[begin[i] : begin[i + 1]] for x in shared.value[by])
-                        have = some[:, i]
-                        at = _place(value, mark, -s[have, i], docs[have])
+                        have = some[i]
+                        at = _place(value, mark, s[i, have], docs[have])
                         n[by][begin[i] : begin[i + 1]] += np.bincount(at, minlength=len(value) + 1)[: len(value)]
         for by, x in enumerate(n):
             at = np.nonzero(x)[0]

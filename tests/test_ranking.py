@@ -87,3 +87,29 @@ def test_claim_verdicts_without_joined_pairs(spark, sf, monkeypatch):
     for name in ("bm25", "tfidf_cosine", "fused_top"):
         monkeypatch.setattr(retrieval, name, None)
     assert entry.queries()["claim_verdicts"](spark, sf).count() > 0
+
+
+def test_tfidf_sends_texts_and_takes_products_by_word(spark, monkeypatch):
+    import pyarrow as pa
+
+    words = [f"word{i}" for i in range(40)]
+    rows = [(i, "  " + "\x0b \n".join(random.Random(i).choices(words, k=30)) + " x\t") for i in range(200)]
+    corpus, queries = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, "Word1 word2 word39"), (2, " x")], "query_id long, text string")
+    same(ranking.tfidf_top(corpus, queries, 5, 6), retrieval.top_k(retrieval.tfidf_cosine(corpus, queries).withColumn("score", F.round("score", 6)), 5))
+    assert dict(ranking._columns(corpus, {"w"}).dtypes)["w"] == "string"
+    own = ranking.Queries.of(queries)
+    score = ranking.Tfidf.of(own, corpus).fitted(own.blocks()[0])
+    products, taken = ranking._product, []
+    monkeypatch.setattr(ranking, "_product", lambda text, *rest: taken.append(len(text)) or products(text, *rest))
+    block = {"w": pa.array([t.lower() for _, t in rows])}
+    first, again = ([s for _, _, s in score(block)][0] for _ in range(2))
+    # of a word 12 n-grams or more would be summed in each text
+    assert (first == again).all() and sum(taken[1:]) <= 2 * 200 * 32
+
+
+def test_a_task_gives_only_its_first_rows(spark, texts, monkeypatch):
+    monkeypatch.setattr(ranking, "BLOCK", 7)
+    own = ranking.Queries.of(texts[1])
+    index = ranking.indexed(texts[0].coalesce(1), own)
+    rows = ranking._tops(index, [ranking.Bm25(own, index), ranking.Jaccard(own)], own.blocks()[0], 3, 6)
+    assert rows.groupBy("q", "by").count().agg(F.max("count")).first()[0] == 3
