@@ -44,6 +44,8 @@ SHARE = [3 * x // 10 + 2 for x in APART]
 FOUND = [x // 8 + 1 for x in SHARE]
 #: The last bits of a chunk's key are its level.
 LEVELS = 128
+#: Chunks are looked up in so many passes, by the first bits of their keys: a pass leaves on the disk what is held more than once.
+PASSES = 3
 #: Keys of 24 bytes up to this number are broadcast (under 50 MB as a table in memory), more are joined.
 BROADCAST_IDS = 400_000
 TEXT_SCHEMA = "id {id}, class binary, runs int, chunks array<bigint>, empty array<struct<level:int,n:int>>"
@@ -202,8 +204,9 @@ def chunk_pairs(left: DataFrame, right: DataFrame | None = None, similar: float
     dropped while a row is a key and a text; of the history only rows of the chunks looked up are read
     on. Single runs (level 0) go the same way, 80 % of a text's being shared; one held by more than
     ``HOT`` classes is looked up together with each other such run of the text, for which one run more
-    than needed is kept. ``drop`` is the path of the written table that ``left`` is read from; it is
-    removed as soon as its chunks have been looked up.
+    than needed is kept. ``drop`` is the path of the written table that ``left`` is read from; its chunks
+    are looked up in ``PASSES``, so that no more than a part of them is shuffled at a time, and it is
+    removed as soon as they have been.
     """
     if similar < SIMILAR:
         raise ValueError(f"chunks are made for a similarity of {SIMILAR} and above")
@@ -215,8 +218,10 @@ def chunk_pairs(left: DataFrame, right: DataFrame | None = None, similar: float
         names = names.unionByName(old.select(text, "class", "runs", "empty")).dropDuplicates(["text"])
         rows = rows.withColumn("side", F.lit(0)).unionByName(old.select(text, "h", F.lit(1).alias("side")))
     names = cut(names) if drop else names
-    often = rows.groupBy("h").agg(F.count("*").cast("int").alias("df")).where("df > 1")
-    found = rows.join(often, "h").withColumn("level", F.col("h").bitwiseAND(LEVELS - 1).cast("int"))
+    of = F.shiftright(F.shiftrightunsigned("h", 48) * PASSES, 16)
+    parts = [cut(_shared(rows.where(of == i))) for i in range(PASSES)] if drop else [_shared(rows)]
+    forget(left.sparkSession, drop)
+    found = reduce(DataFrame.unionByName, parts).withColumn("level", F.col("h").bitwiseAND(LEVELS - 1).cast("int"))
     found = found if right is not None else found.withColumn("side", F.lit(0))
     # by level: chunks that aren't looked up, those to find, most runs (level 0 follows from the text)
     rules = [(0, 0, 1, 2**31 - 1), *((i + 1, s - f, f, min(top, 2**31 - 1)) for i, (s, f, top) in enumerate(zip(SHARE, FOUND, TOP)))]
@@ -226,9 +231,11 @@ def chunk_pairs(left: DataFrame, right: DataFrame | None = None, similar: float
     need = F.when(F.col("level") == 0, 1).otherwise(F.col("found") - F.greatest(F.col("n") - F.col("spare"), F.lit(0)))
     info = info.select("text", "level", "runs", skip.alias("skip"), need.cast("int").alias("need"), (F.col("runs") <= F.col("top")).alias("own"))
     after = F.row_number().over(Window.partitionBy("text", "side", "level").orderBy(F.desc("df"), F.desc("h"))) - 1
-    kept = found.join(info, ["text", "level"]).withColumn("after", after).where((F.col("side") == 1) | (F.col("after") >= F.col("skip")))
+    # a row or two of a text: the chunks are sorted for the window alone
+    kept = found.join(info.hint("shuffle_hash"), ["text", "level"]).withColumn("after", after).where((F.col("side") == 1) | (F.col("after") >= F.col("skip")))
     kept = cut(kept.select("text", "side", "level", "runs", "h", "df", "need", "own"))
-    forget(left.sparkSession, drop)
+    for part in parts:
+        forget(left.sparkSession, cut_path(part))
     cols = ["text", "side", "level", "runs", "need", "own"]
     hot = (F.col("level") == 0) & (F.col("df") > HOT) & (F.col("runs") > 1)
     two = kept.where(hot).join(kept.where(hot).select("text", "side", F.col("h").alias("h2")), ["text", "side"]).where("h < h2")
@@ -242,11 +249,19 @@ def chunk_pairs(left: DataFrame, right: DataFrame | None = None, similar: float
     # as many as both texts need
     pairs = pairs.groupBy("text_a", "text_b", "code").agg(F.count("*").alias("found")).withColumn("need", F.floor(F.col("code") / (2 * LEVELS)))
     pairs = cut(pairs.where("found >= need").select("text_a", "text_b").distinct())
+    forget(left.sparkSession, cut_path(kept))
     name = lambda x: names.select(F.col("text").alias(f"text_{x}"), F.col("class").alias(x))
     pairs = pairs.join(name("a"), "text_a").join(name("b"), "text_b")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
+def _shared(rows: DataFrame) -> DataFrame:
+    """The rows with a key that others have too, and the number of these (df)."""
+    often = rows.groupBy("h").agg(F.count("*").cast("int").alias("df")).where("df > 1")
+    # far fewer than the rows, which needn't be sorted for them
+    return rows.join(often.hint("shuffle_hash"), "h")
+
+
 def touched(rows: DataFrame, asked: DataFrame, *on: str) -> DataFrame:
     """The rows of a stored table whose keys are asked for; a batch's keys travel to the table where they are few enough."""
     asked = cut(asked)
@@ -262,7 +277,8 @@ def near_identical(texts: DataFrame, similar: float = SIMILAR) -> tuple[DataFram
     """
     f = cut(features(texts))
     members = cut(f.select("id", "class"))
-    pairs = cut(chunk_pairs(_representatives(f), similar=similar, drop=cut_path(f)))
+    whole = _representatives(f, members)
+    pairs = cut(chunk_pairs(whole, similar=similar, drop=cut_path(whole) or cut_path(f)))
     one = members.groupBy("class").agg(F.min("id").alias("id"))
     want = cut(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(one, "class"))
     sets = _sets(texts, want)
@@ -271,12 +287,18 @@ def near_identical(texts: DataFrame, similar: float = SIMILAR) -> tuple[DataFram
     return members, links.where(F.col("similar") >= similar)
 
 
-def _representatives(f: DataFrame) -> DataFrame:
-    """One row of each class. Where ids tell rows apart and are few enough to be broadcast, the chunks stay where they are."""
-    one = cut(f.groupBy("class").agg(F.min("id").alias("id")))
-    if one.count() <= BROADCAST_IDS and f.select("id", "class").distinct().count() == f.count():
-        return f.join(F.broadcast(one), ["id", "class"], "left_semi")
-    return f.groupBy("class").agg(F.min("id").alias("id"), F.first("runs").alias("runs"), F.first("chunks").alias("chunks"), F.first("empty").alias("empty"))
+def _representatives(f: DataFrame, members: DataFrame) -> DataFrame:
+    """One row of each class. Where ids tell rows apart, and they or those of repeats are few enough to be broadcast, the chunks stay where they are."""
+    one = cut(members.groupBy("class").agg(F.min("id").alias("id")))
+    if members.distinct().count() == members.count():
+        if one.count() <= BROADCAST_IDS:
+            return f.join(F.broadcast(one), ["id", "class"], "left_semi")
+        rest = cut(members.join(one, ["id", "class"], "left_anti"))
+        if rest.count() <= BROADCAST_IDS:
+            return f.join(F.broadcast(rest), ["id", "class"], "left_anti")
+    whole = cut(f.groupBy("class").agg(F.min("id").alias("id"), F.first("runs").alias("runs"), F.first("chunks").alias("chunks"), F.first("empty").alias("empty")))
+    forget(f.sparkSession, cut_path(f))
+    return whole
 
 
 def _sets(texts: DataFrame, want: DataFrame) -> DataFrame:

@@ -168,3 +168,33 @@ def test_batch_by_batch_gives_what_the_whole_delivery_gives(spark, sf, tmp_path)
     got = {tuple(r) for r in h.deliveries(rec, docs, f"file://{tmp_path}/h").collect()}
     want = {(r["record"], r["earliest"]) for r in h.batch_repeats(rec, docs).collect()}
     assert got == want and want
+
+
+def test_chunks_are_looked_up_in_parts_and_their_shuffles_removed(spark, corpus, monkeypatch):
+    import attestra.runtime as rt
+
+    # a table's rows in a pass, and shuffle files that are there after each write
+    status = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get
+    kept, sizes = [], []
+
+    def cut(df, *a):
+        before = {x.toString() for x in blocks()}
+        out = rt.cut(df, *a)
+        kept.append(len({x.toString() for x in blocks()} - before))
+        if "df" in df.columns and "text" in df.columns and "side" not in df.columns:
+            sizes.append(out.count())
+        return out
+
+    def blocks():
+        found = status().blockManager().diskBlockManager().getAllBlocks()
+        return [found.apply(i) for i in range(found.size()) if found.apply(i).toString().startswith("shuffle_")]
+
+    monkeypatch.setattr(h, "cut", cut)
+    texts = spark.createDataFrame([(i, t) for i, t in enumerate(corpus)], "id long, text string")
+    want = {(bytes(r["a"]), bytes(r["b"])) for r in h.near_identical(texts)[1].collect()}
+    assert len(sizes) == h.PASSES and min(sizes) > 0 and max(sizes) < sum(sizes) / 2
+    assert sum(kept) == 0
+    # ids of repeats instead of all are sent, or chunks are written once more; the links stay
+    for most in (40, 0):
+        monkeypatch.setattr(h, "BROADCAST_IDS", most)
+        assert {(bytes(r["a"]), bytes(r["b"])) for r in h.near_identical(texts)[1].collect()} == want
